@@ -109,9 +109,58 @@ def yearend_chart_exprs() -> list[str]:
         f"{artist} AS artist",
         "l_orderkey AS src_order",
         "l_linenumber AS src_line",
+        "l_partkey AS partkey",
     ]
 
 
+_SONG_NULL = "l_orderkey % 7 = 0"
+_SONG_FEATURES = {
+    "danceability": "l_discount * 10",
+    "energy": "l_tax * 12",
+    "key": _d("l_partkey % 12"),
+    "loudness": "l_quantity - 60",
+    "mode": _d("l_suppkey % 2"),
+    "speechiness": "l_discount + l_tax",
+    "acousticness": "l_quantity / 50",
+    "instrumentalness": "CASE WHEN l_linenumber > 5 THEN l_discount ELSE 0.0 END",
+    "liveness": "l_tax * 5",
+    "valence": f"{_d('l_partkey % 100')} / 100",
+    "tempo": "60 + l_quantity * 2",
+}
+
+
+def songs_exprs(engine: str) -> list[str]:
+    """F10-shaped labelled rows from lineitem x orders: one song per line item.
+    label 1 = returned ('R'); year of the order date; features derived from
+    quantity, discount and tax; every seventh order has no features."""
+    yr = "year(o_orderdate)" if engine == "spark" else "year(o_orderdate)"
+    exprs = [
+        "l_orderkey * 10 + l_linenumber AS id",
+        "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label",
+        f"CAST({yr} AS INT) AS year",
+        "CASE WHEN l_returnflag = 'R' THEN CAST(1 + (l_orderkey * 3 + l_linenumber) % 100 AS INT) END AS peak_rank",
+        "CASE WHEN l_returnflag = 'R' THEN CAST(1 + l_partkey % 40 AS INT) END AS wks_on_chart",
+        "CAST(l_quantity * 2 AS INT) AS popularity",
+        "CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_tax > 0.04 END AS explicit",
+        "CAST(floor(l_extendedprice * 3) AS BIGINT) AS duration_ms",
+        f"NOT ({_SONG_NULL}) AS audio_features_available",
+    ]
+    for c in AUDIO_COLS:
+        exprs.append(f"CASE WHEN {_SONG_NULL} THEN NULL ELSE {_SONG_FEATURES[c]} END AS {c}")
+    return exprs
+
+
+def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return li.join(o, li.l_orderkey == o.o_orderkey).selectExpr(*songs_exprs("spark"))
+
+
+def sql_songs() -> str:
+    return (f"(SELECT {', '.join(songs_exprs('duckdb'))} FROM lineitem "
+            "JOIN orders ON l_orderkey = o_orderkey)")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(*catalog_exprs())
 

@@ -7,28 +7,13 @@ id subsets, modulo filters or row caps to stay cheap.
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as FX
 from . import oracle_sql as OS
 from .pipelines import expanded_dataset, dataset_profile
-
-QueryFn = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
-
-
-def register(name: str, sql: str | None):
-    def deco(fn: QueryFn) -> QueryFn:
-        REGISTRY[name] = (fn, sql)
-        return fn
-    return deco
-
-
-def r6(c: str):
-    return F.round(F.col(c), 6).alias(c)
+from .registry import REGISTRY, r6, register  # noqa: F401
 
 
 AUDIO = FX.AUDIO_COLS
@@ -74,3 +59,7 @@ def agg_a20(spark, sf_dir):
     counts = linked.groupBy("match_pass").agg(F.count(F.lit(1)).alias("n"))
     total = linked.select(F.count(F.lit(1))).scalar()
     return counts.select("match_pass", "n", F.round(F.col("n") * 100.0 / total, 6).alias("pct"))
+
+
+# Query families live in their own modules; importing them registers them.
+from . import q_text  # noqa: E402,F401
