@@ -25,6 +25,24 @@ from .fixtures import AUDIO_COLS
 TRACK_PAYLOAD = ["spotify_id", "popularity", "explicit", "duration_ms", "release_date"] + AUDIO_COLS
 
 
+# --- C1: year-end chart ------------------------------------------------------
+
+def clean_chart(raw: DataFrame, order=("src_order", "src_line"), reference: bool = False) -> DataFrame:
+    """Names, numeric year/rank, stripped text, cleaned title and credit, lead
+    artist; rows whose cleaned title or credit is empty are dropped; exact
+    duplicates on (year, rank, title_clean, artist_clean) keep the first row in
+    ``order`` (input order)."""
+    d = PC.standardise_names(raw)
+    d = (d.withColumn("year", PC.to_int("year")).withColumn("rank", PC.to_int("rank"))
+          .withColumn("title", TX.strip(F.col("title").cast("string")))
+          .withColumn("artist", TX.strip(F.col("artist").cast("string"))))
+    d = (d.withColumn("title_clean", TX.clean_title_v1("title", reference=reference))
+          .withColumn("artist_clean", TX.clean_artist("artist"))
+          .withColumn("primary_artist", TX.lead_artist("artist_clean", reference=reference)))
+    d = d.filter((F.length("title_clean") > 0) & (F.length("artist_clean") > 0))
+    return U.keep_best(d, ["year", "rank", "title_clean", "artist_clean"], [U.asc(c) for c in order])
+
+
 # --- C2: catalog -------------------------------------------------------------
 
 def prepare_catalog(raw: DataFrame, reference: bool = False) -> DataFrame:
