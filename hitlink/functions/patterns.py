@@ -95,3 +95,5 @@ COMMA_CUT = f",{DOT}*{END}"
 LIST_FIRST_SQ = f"^\\[{S}*'((?:[^'\\\\\\n]|\\\\{DOT})*)'{S}*[,\\]]"
 LIST_FIRST_DQ = f"^\\[{S}*\"((?:[^\"\\\\\\n]|\\\\{DOT})*)\"{S}*[,\\]]"
 UNESCAPE = r"\\(.)"
+LIST_START = f"^\\[{S}*['\"]"
+LIST_ITEM = "'[^'\\n]*'|\"[^\"\\n]*\""

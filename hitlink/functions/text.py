@@ -191,3 +191,11 @@ def identity_key(year, rank, title_clean, title, primary_artist, artist) -> Colu
         F.lower(strip(F.coalesce(_c(title_clean), _c(title)))).alias("k_title"),
         F.lower(strip(F.coalesce(_c(primary_artist), _c(artist)))).alias("k_artist"),
     )
+
+
+def list_items(c) -> Column:
+    """All names of a stringified list (``['a', "b"]``); a plain string is one name."""
+    c = _c(c)
+    quoted = F.regexp_extract_all(c, F.lit(P.LIST_ITEM), 0)
+    items = F.transform(quoted, lambda x: F.substring(x, 2, F.length(x) - 2))
+    return F.when(c.rlike(P.LIST_START), items).otherwise(F.array(c))

@@ -23,10 +23,14 @@ class Order:
     which is what pandas does in both directions)."""
 
     def __init__(self, col: str | Column, desc: bool = False, nulls_last: bool = True):
-        self.col = F.col(col) if isinstance(col, str) else col
+        self._col = col
         self.desc = desc
         self.nulls_last = nulls_last
 
+    @property
+    def col(self) -> Column:
+        return F.col(self._col) if isinstance(self._col, str) else self._col
+
     def sort_col(self) -> Column:
         c = self.col
         if self.desc:

@@ -45,11 +45,11 @@ def unique_lookup(right: DataFrame, keys: Sequence[str], order: Sequence[Order])
 
 
 def link(left: DataFrame, passes: Sequence[Pass], payload: Sequence[str],
-         pass_col: str = "match_pass", unmatched: str = "none") -> DataFrame:
+         pass_col: str = "match_pass", unmatched: str = "none", prefix: str = "") -> DataFrame:
     """Try the passes in order; the first that finds a row wins.
 
-    Adds the ``payload`` columns of the matched right row (NULL when unmatched)
-    and ``pass_col`` naming the winning pass.
+    Adds the ``payload`` columns of the matched right row (NULL when unmatched),
+    named ``prefix + column``, and ``pass_col`` naming the winning pass.
     """
     out = left
     found = []
@@ -67,7 +67,8 @@ def link(left: DataFrame, passes: Sequence[Pass], payload: Sequence[str],
     for name, m in reversed(found):
         which = F.when(m.isNotNull(), F.lit(name)).otherwise(which)
     out = out.withColumn("_match", chosen).withColumn(pass_col, which)
-    out = out.select(*[c for c in left.columns], *[F.col(f"_match.{c}").alias(c) for c in payload], pass_col)
+    out = out.select(*[c for c in left.columns], *[F.col(f"_match.{c}").alias(prefix + c) for c in payload],
+                     pass_col)
     return out
 
 
@@ -130,3 +131,14 @@ def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Order], k:
     d = d.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(*keys).orderBy(*sort)
     return d.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= k)
+
+
+def matched_split_counts(linked: DataFrame, source: DataFrame, match_col: str) -> DataFrame:
+    """Matched / unmatched counts; fails if any input row was lost or duplicated."""
+    status = F.when(F.col(match_col).isNull(), F.lit("unmatched")).otherwise(F.lit("matched"))
+    counts = linked.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    got = sum(r["n"] for r in counts.collect())  # at most two rows
+    want = source.count()
+    if got != want:
+        raise AssertionError(f"linkage changed the row count: {want} in, {got} out")
+    return counts

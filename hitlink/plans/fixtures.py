@@ -87,6 +87,8 @@ def weekly_chart_exprs(engine: str) -> list[str]:
         "CAST(l_linenumber + CAST(l_quantity AS INT) % 10 AS INT) AS wks_on_chart",
         "l_orderkey AS entry_order",
         "l_linenumber AS entry_line",
+        "l_partkey AS entry_part",
+        "l_suppkey AS entry_supp",
     ]
 
 
@@ -110,6 +112,7 @@ def yearend_chart_exprs() -> list[str]:
         "l_orderkey AS src_order",
         "l_linenumber AS src_line",
         "l_partkey AS partkey",
+        "l_suppkey AS src_supp",
     ]
 
 
@@ -135,7 +138,9 @@ def songs_exprs(engine: str) -> list[str]:
     quantity, discount and tax; every seventh order has no features."""
     yr = "year(o_orderdate)" if engine == "spark" else "year(o_orderdate)"
     exprs = [
-        "l_orderkey * 10 + l_linenumber AS id",
+        # (order, line, part, supplier) is the line item's unique key in the test data.
+        ("CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || "
+         "CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS id"),
         "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label",
         f"CAST({yr} AS INT) AS year",
         "CASE WHEN l_returnflag = 'R' THEN CAST(1 + (l_orderkey * 3 + l_linenumber) % 100 AS INT) END AS peak_rank",
@@ -166,7 +171,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weekly_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                 "l_quantity")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
@@ -174,7 +180,7 @@ def weekly_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yearend_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     return li.join(p, li.l_partkey == p.p_partkey).selectExpr(*yearend_chart_exprs())
 

@@ -37,7 +37,7 @@ def chart_ctes() -> str:
     return f"""
 wk AS {FX.sql_weekly_chart()},
 wk_d AS {_dedup("wk", "title, performer",
-                "peak_pos ASC NULLS LAST, chart_week ASC NULLS LAST, entry_order, entry_line")},
+                "peak_pos ASC NULLS LAST, chart_week ASC NULLS LAST, entry_order, entry_line, entry_part, entry_supp")},
 hk AS (SELECT CAST(year(TRY_CAST(chart_week AS TIMESTAMP)) AS INTEGER) AS year, chart_week,
               current_week AS peak_rank, title, performer AS artist, peak_pos, wks_on_chart,
               entry_order, entry_line,

@@ -141,3 +141,8 @@ def canonical_number_text(x: str) -> str:
     d = f"TRY_CAST({s} AS DOUBLE)"
     return (f"(CASE WHEN {d} IS NOT NULL AND {d} = floor({d}) AND abs({d}) < 1e15 "
             f"THEN CAST(CAST({d} AS BIGINT) AS VARCHAR) ELSE {s} END)")
+
+
+def list_items(x: str) -> str:
+    items = f"list_transform(regexp_extract_all({x}, {lit(P.LIST_ITEM)}), lambda s: s[2:-2])"
+    return f"(CASE WHEN regexp_matches({x}, {lit(P.LIST_START)}) THEN {items} ELSE [{x}] END)"

@@ -27,7 +27,10 @@ TRACK_PAYLOAD = ["spotify_id", "popularity", "explicit", "duration_ms", "release
 
 # --- C1: year-end chart ------------------------------------------------------
 
-def clean_chart(raw: DataFrame, order=("src_order", "src_line"), reference: bool = False) -> DataFrame:
+CHART_INPUT_ORDER = ("src_order", "src_line", "partkey", "src_supp")
+
+
+def clean_chart(raw: DataFrame, order=CHART_INPUT_ORDER, reference: bool = False) -> DataFrame:
     """Names, numeric year/rank, stripped text, cleaned title and credit, lead
     artist; rows whose cleaned title or credit is empty are dropped; exact
     duplicates on (year, rank, title_clean, artist_clean) keep the first row in
@@ -63,6 +66,37 @@ def base_lookup(catalog: DataFrame) -> DataFrame:
     return L.unique_lookup(catalog, ["ntb", "na"], [U.desc("popularity"), U.asc("spotify_id")])
 
 
+def catalog_by_id(catalog: DataFrame) -> DataFrame:
+    """One catalog row per id; on a repeated id the last row in
+    popularity-descending order wins (missing popularity sorts last there)."""
+    return L.unique_lookup(catalog, ["spotify_id"],
+                           [U.asc("popularity", nulls_last=False), U.asc("nt"), U.asc("na")])
+
+
+def enrich_three_pass(df: DataFrame, catalog: DataFrame, features=tuple(AUDIO_COLS),
+                      flag: str = "audio_features_available") -> DataFrame:
+    """Rows already flagged are left alone; the others are looked up by id,
+    then by exact key, then by base key (title falls back to ``title`` when
+    ``spotify_title`` is missing, D7) and take the matched row's features."""
+    features = [c for c in features]
+    done = df.filter(F.col(flag)).withColumn("match_pass", F.lit("already"))
+    todo = df.filter(~F.coalesce(F.col(flag), F.lit(False)))
+    title = F.coalesce(F.col("spotify_title"), F.col("title"))
+    artist = F.coalesce(F.col("primary_artist"), F.col("artist"))
+    keyed = (todo.withColumn("_kt", TX.norm(title, role="title"))
+                 .withColumn("_ktb", TX.norm_base(title, role="title"))
+                 .withColumn("_ka", TX.norm(artist, role="artist")))
+    linked = L.link(keyed, [L.Pass("id", catalog_by_id(catalog), ["spotify_id"], ["spotify_id"]),
+                            L.Pass("exact", catalog, ["_kt", "_ka"], ["nt", "na"]),
+                            L.Pass("base", base_lookup(catalog), ["_ktb", "_ka"], ["ntb", "na"])],
+                    payload=features, prefix="_new_")
+    hit = F.col("match_pass") != "none"
+    filled = linked.withColumns({c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in features
+                                 if c in df.columns})
+    filled = filled.withColumn(flag, hit)
+    return done.unionByName(filled.select(*df.columns, "match_pass"))
+
+
 # --- C3: weekly chart ---------------------------------------------------------
 
 def prepare_chart(raw: DataFrame, reference: bool = False) -> DataFrame:
@@ -73,7 +107,8 @@ def prepare_chart(raw: DataFrame, reference: bool = False) -> DataFrame:
     """
     d = raw.withColumn("year", PC.year_of("chart_week"))
     d = U.keep_best(d, ["title", "performer"],
-                    [U.asc("peak_pos"), U.asc("chart_week"), U.asc("entry_order"), U.asc("entry_line")])
+                    [U.asc("peak_pos"), U.asc("chart_week"), U.asc("entry_order"), U.asc("entry_line"),
+                     U.asc("entry_part"), U.asc("entry_supp")])
     d = d.withColumnRenamed("current_week", "peak_rank").withColumnRenamed("performer", "artist")
     return (d.withColumn("nt", TX.norm("title", role="title", reference=reference))
              .withColumn("ntb", TX.norm_base("title", role="title", reference=reference))

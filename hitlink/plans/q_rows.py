@@ -114,15 +114,16 @@ def dedup_u2(spark, sf_dir):
 
 
 def _sql_clean_chart() -> str:
-    return (f"(SELECT year, rank, title, artist, src_order, src_line, partkey, {OT.clean_title_v1('title')} AS title_clean, "
+    return (f"(SELECT year, rank, title, artist, src_order, src_line, partkey, src_supp, "
+            f"{OT.clean_title_v1('title')} AS title_clean, "
             f"{OT.clean_artist('artist')} AS artist_clean FROM (SELECT year, rank, {OT.strip('title')} AS title, "
-            f"{OT.strip('artist')} AS artist, src_order, src_line, partkey FROM {_YE}))")
+            f"{OT.strip('artist')} AS artist, src_order, src_line, partkey, src_supp FROM {_YE}))")
 
 
 def sql_c1() -> str:
     """C1 in SQL: clean, lead artist, drop empty, first row per (year, rank, title, artist)."""
     return (f"(SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY year, rank, title_clean, "
-            "artist_clean ORDER BY src_order, src_line) AS _rn FROM (SELECT *, "
+            "artist_clean ORDER BY src_order, src_line, partkey, src_supp) AS _rn FROM (SELECT *, "
             f"{OT.lead_artist('artist_clean')} AS primary_artist FROM {_sql_clean_chart()}) "
             "WHERE length(title_clean) > 0 AND length(artist_clean) > 0) WHERE _rn = 1)")
 
@@ -130,55 +131,63 @@ def sql_c1() -> str:
 @register("dedup_u3_exact_duplicates",
           f"SELECT year, rank, title_clean, artist_clean, primary_artist, src_order, src_line FROM {sql_c1()}")
 def dedup_u3(spark, sf_dir):
-    c = clean_chart(FX.yearend_chart(spark, sf_dir), order=["src_order", "src_line"])
+    c = clean_chart(FX.yearend_chart(spark, sf_dir))
     return c.select("year", "rank", "title_clean", "artist_clean", "primary_artist", "src_order", "src_line")
 
 
-_U4_SRC = (f"(SELECT 't' || CAST(partkey AS VARCHAR) AS spotify_id, year, 1 AS label, src_order AS o1, src_line AS o2 "
-           f"FROM {_YE} UNION ALL SELECT id, year, 0, 0, 0 FROM {_CAT})")
+_U4_SRC = (f"(SELECT 't' || CAST(partkey AS VARCHAR) AS spotify_id, year, 1 AS label, src_order AS o1, src_line AS o2, "
+           f"src_supp AS o3 FROM {_YE} UNION ALL SELECT id, year, 0, 0, 0, 0 FROM {_CAT})")
 
 
 @register("dedup_u4_by_id_year_label",
           "SELECT spotify_id, year, label, o1, o2 FROM (SELECT *, row_number() OVER (PARTITION BY spotify_id "
-          f"ORDER BY year ASC NULLS LAST, label DESC, o1, o2) AS _rn FROM {_U4_SRC}) WHERE _rn = 1")
+          f"ORDER BY year ASC NULLS LAST, label DESC, o1, o2, o3) AS _rn FROM {_U4_SRC}) WHERE _rn = 1")
 def dedup_u4(spark, sf_dir):
     y = FX.yearend_chart(spark, sf_dir).select(
         F.concat(F.lit("t"), F.col("partkey").cast("string")).alias("spotify_id"), "year",
-        F.lit(1).alias("label"), F.col("src_order").alias("o1"), F.col("src_line").alias("o2"))
+        F.lit(1).alias("label"), F.col("src_order").alias("o1"), F.col("src_line").alias("o2"),
+        F.col("src_supp").alias("o3"))
     c = FX.catalog(spark, sf_dir).select(F.col("id").alias("spotify_id"), "year", F.lit(0).alias("label"),
-                                         F.lit(0).cast("bigint").alias("o1"), F.lit(0).alias("o2"))
+                                         F.lit(0).cast("bigint").alias("o1"), F.lit(0).alias("o2"),
+                                         F.lit(0).cast("bigint").alias("o3"))
     both = y.unionByName(c)
-    return U.keep_best(both, ["spotify_id"], [U.asc("year"), U.desc("label"), U.asc("o1"), U.asc("o2")])
+    best = U.keep_best(both, ["spotify_id"], [U.asc("year"), U.desc("label"), U.asc("o1"), U.asc("o2"), U.asc("o3")])
+    return best.drop("o3")
 
 
 _U5_SRC = (f"(SELECT 't' || CAST(partkey AS VARCHAR) AS spotify_id, {OT.light_clean('title')} AS title_clean, "
-           f"{OT.strip(OT.lead_artist(OT.light_clean('artist')))} AS primary_artist, src_order, src_line FROM {_YE})")
+           f"{OT.strip(OT.lead_artist(OT.light_clean('artist')))} AS primary_artist, src_order, src_line, partkey, "
+           f"src_supp FROM {_YE})")
 
 
 @register("dedup_u5_two_stage",
           "WITH a AS (SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY spotify_id "
-          f"ORDER BY src_order, src_line) AS _rn FROM {_U5_SRC}) WHERE _rn = 1) "
+          f"ORDER BY src_order, src_line, partkey, src_supp) AS _rn FROM {_U5_SRC}) WHERE _rn = 1) "
           "SELECT spotify_id, title_clean, primary_artist, src_order, src_line FROM (SELECT *, row_number() OVER "
-          "(PARTITION BY title_clean, primary_artist ORDER BY src_order, src_line) AS _rn FROM a) WHERE _rn = 1")
+          "(PARTITION BY title_clean, primary_artist ORDER BY src_order, src_line, partkey, src_supp) AS _rn FROM a) "
+          "WHERE _rn = 1")
 def dedup_u5(spark, sf_dir):
     y = FX.yearend_chart(spark, sf_dir).select(
         F.concat(F.lit("t"), F.col("partkey").cast("string")).alias("spotify_id"),
         TX.light_clean("title").alias("title_clean"),
-        TX.strip(TX.lead_artist(TX.light_clean("artist"))).alias("primary_artist"), "src_order", "src_line")
-    order = [U.asc("src_order"), U.asc("src_line")]
+        TX.strip(TX.lead_artist(TX.light_clean("artist"))).alias("primary_artist"), "src_order", "src_line",
+        "partkey", "src_supp")
+    order = [U.asc(c) for c in ("src_order", "src_line", "partkey", "src_supp")]
     a = U.keep_best(y, ["spotify_id"], order)
-    return U.keep_best(a, ["title_clean", "primary_artist"], order)
+    b = U.keep_best(a, ["title_clean", "primary_artist"], order)
+    return b.select("spotify_id", "title_clean", "primary_artist", "src_order", "src_line")
 
 
 @register("dedup_u6_first_seen_across_groups",
           "SELECT partkey, year, src_line, rank, src_order FROM (SELECT *, row_number() OVER (PARTITION BY partkey "
-          f"ORDER BY year, src_line, rank, src_order) AS _rn FROM {_YE}) WHERE _rn = 1 AND src_line <> 4")
+          f"ORDER BY year, src_line, rank, src_order, src_supp) AS _rn FROM {_YE}) WHERE _rn = 1 AND src_line <> 4")
 def dedup_u6(spark, sf_dir):
     """An id is collected at its first (year, query, offset, position) even if that
     row is then filtered out (here: query 4 is filtered after the dedup)."""
-    y = FX.yearend_chart(spark, sf_dir).select("partkey", "year", "src_line", "rank", "src_order")
-    first = U.first_seen(y, "partkey", [U.asc("year"), U.asc("src_line"), U.asc("rank"), U.asc("src_order")])
-    return first.filter(F.col("src_line") != 4)
+    y = FX.yearend_chart(spark, sf_dir).select("partkey", "year", "src_line", "rank", "src_order", "src_supp")
+    first = U.first_seen(y, "partkey", [U.asc("year"), U.asc("src_line"), U.asc("rank"), U.asc("src_order"),
+                                        U.asc("src_supp")])
+    return first.filter(F.col("src_line") != 4).drop("src_supp")
 
 
 # --- set operations --------------------------------------------------------------

@@ -64,3 +64,4 @@ def agg_a20(spark, sf_dir):
 # Query families live in their own modules; importing them registers them.
 from . import q_text  # noqa: E402,F401
 from . import q_rows  # noqa: E402,F401
+from . import q_link  # noqa: E402,F401
