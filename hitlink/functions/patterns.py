@@ -24,7 +24,9 @@ NOT_WORD_NOT_SPACE = f"[^{WORD_CHARS}{WS_CHARS}]"
 DOT = r"[^\n]"
 END = r"\n?\z"
 
-# Python str.strip(): whitespace at both ends.
+# Python str.strip(): whitespace at both ends. As a character set (for btrim) it
+# is generated from Python itself: exactly the characters of the S class above.
+WS_STRING = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 STRIP = f"^{S}+|{S}+\\z"
 # Python str.split() separator.
 SPLIT_WS = f"{S}+"

@@ -26,8 +26,10 @@ def _sub(c: Column, pattern: str, repl: str = "") -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()`` (Unicode whitespace; ``trim`` only strips spaces)."""
-    return _sub(_c(c), P.STRIP)
+    """Python ``str.strip()``: Unicode whitespace at both ends (plain ``trim``
+    only strips spaces). ``btrim`` with the character set is ~4x cheaper than the
+    equivalent regex."""
+    return F.btrim(_c(c), F.lit(P.WS_STRING))
 
 
 def strip_quotes_v1(c) -> Column:
@@ -64,7 +66,7 @@ def clean_title_v1(c, reference: bool = False) -> Column:
     if not reference:
         t = remove_footnotes(t)
     t = punctuation_noise(strip_quotes_v1(t))
-    return strip(F.lower(t))
+    return F.lower(t)  # already stripped; lowering adds no whitespace
 
 
 def clean_title_v2(c) -> Column:
@@ -75,8 +77,8 @@ def clean_title_v2(c) -> Column:
 
 
 def clean_artist(c) -> Column:
-    """Noise, lower, strip."""
-    return strip(F.lower(punctuation_noise(c)))
+    """Noise, lower, strip (the noise step already strips)."""
+    return F.lower(punctuation_noise(c))
 
 
 def light_clean(c) -> Column:

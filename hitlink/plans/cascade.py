@@ -18,6 +18,7 @@ from ..functions import text as TX
 from ..operators import dedup as U
 from ..operators import linkage as L
 from ..operators.sampling import exact_sample
+from ..session import materialize
 
 POP_ORDER = [U.desc("popularity"), U.asc("spotify_id")]
 
@@ -50,6 +51,17 @@ def songs_to_match(clean: DataFrame) -> DataFrame:
         L.joinable(TX.norm("primary_artist")).alias("ak"))
 
 
+def cascade_inputs(catalog_raw: DataFrame, chart_clean: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Songs and search index written once: every search stage reads them."""
+    return (materialize(songs_to_match(chart_clean), "songs"),
+            materialize(search_index(catalog_raw), "search_index"))
+
+
+def unmatched_songs(songs: DataFrame, first: DataFrame) -> DataFrame:
+    """Songs the first pass did not match (input of the second pass)."""
+    return songs.join(first.filter(F.col("spotify_id").isNull()).select("song_id"), "song_id")
+
+
 def _results(index: DataFrame, keys, k: int) -> DataFrame:
     cols = list(keys) + ["spotify_id", "popularity", "track_artists"]
     idx = index.select(*cols)

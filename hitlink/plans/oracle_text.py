@@ -22,7 +22,7 @@ def sub(x: str, pattern: str, repl: str = "") -> str:
 
 
 def strip(x: str) -> str:
-    return sub(x, P.STRIP)
+    return f"trim({x}, {lit(P.WS_STRING)})"
 
 
 def strip_quotes_v1(x: str) -> str:

@@ -15,6 +15,7 @@ from .pipelines import (base_lookup, clean_chart, enrich_three_pass, link_hits,
                         prepare_chart)
 from .q_rows import sql_c1
 from .registry import r6, register
+from ..session import materialize
 
 _CAT = FX.sql_catalog()
 _YE = FX.sql_yearend_chart()
@@ -173,9 +174,10 @@ fp AS (SELECT s.song_id, coalesce(fs.stage, 0) AS stage, b.spotify_id, b.score F
        LEFT JOIN fs ON s.song_id = fs.song_id LEFT JOIN best b ON s.song_id = b.song_id)"""
 
 
-def _first_pass(spark, sf_dir):
-    songs = CS.songs_to_match(_c1(spark, sf_dir))
-    return songs, CS.first_pass(songs, CS.search_index(FX.catalog(spark, sf_dir)))
+def _first_pass(spark, sf_dir, with_index: bool = False):
+    songs, index = CS.cascade_inputs(FX.catalog(spark, sf_dir), _c1(spark, sf_dir))
+    fp = CS.first_pass(songs, index)
+    return (songs, fp, index) if with_index else (songs, fp)
 
 
 @register("link_j9_j11_first_pass",
@@ -230,18 +232,17 @@ sp AS (SELECT song_id, spotify_id, 'A' AS pass FROM pa UNION ALL SELECT song_id,
 
 @register("link_j10_j12_second_pass", f"WITH {_sql_second_pass()} SELECT song_id, spotify_id, pass FROM sp")
 def link_j10_j12(spark, sf_dir):
-    songs, fp = _first_pass(spark, sf_dir)
-    unmatched = songs.join(fp.filter(F.col("spotify_id").isNull()).select("song_id"), "song_id")
-    return CS.second_pass(unmatched, CS.search_index(FX.catalog(spark, sf_dir)))
+    songs, fp, index = _first_pass(spark, sf_dir, with_index=True)
+    return CS.second_pass(CS.unmatched_songs(songs, fp), index)
 
 
 @register("agg_a20_cascade_report",
           f"WITH {_sql_second_pass()} SELECT pass, count(*) AS n FROM (SELECT 'first' AS pass FROM fp "
           "WHERE spotify_id IS NOT NULL UNION ALL SELECT pass FROM sp) GROUP BY pass")
 def agg_a20_cascade(spark, sf_dir):
-    songs, fp = _first_pass(spark, sf_dir)
-    unmatched = songs.join(fp.filter(F.col("spotify_id").isNull()).select("song_id"), "song_id")
-    sp = CS.second_pass(unmatched, CS.search_index(FX.catalog(spark, sf_dir)))
+    songs, fp, index = _first_pass(spark, sf_dir, with_index=True)
+    fp = materialize(fp, "first_pass")
+    sp = CS.second_pass(CS.unmatched_songs(songs, fp), index)
     both = fp.filter(F.col("spotify_id").isNotNull()).select(F.lit("first").alias("pass")) \
         .unionByName(sp.select("pass"))
     return both.groupBy("pass").agg(F.count(F.lit(1)).alias("n"))
