@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +18,208 @@ def per_group_report(stages: dict[str, DataFrame], by: str) -> DataFrame:
 
     out = reduce(join, parts)
     return out.fillna(0, subset=list(stages)[1:])
+
+
+def _stack(row_struct_cols: list, alias: str = "s") -> "F.Column":
+    """One struct per feature in an array, to be exploded into long form."""
+    return F.explode(F.array(*row_struct_cols)).alias(alias)
+
+
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """A1."""
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
+    """A2: share of positives."""
+    return df.agg(F.avg(F.col(label).cast("double")).alias("positive_share"), F.count(F.lit(1)).alias("n"))
+
+
+def summary(df: DataFrame, cols) -> DataFrame:
+    """A3: count, mean, std (n-1), min, exact quartiles (linear), max per column,
+    in one aggregate pass, returned long (one row per column)."""
+    aggs = []
+    for c in cols:
+        aggs += [F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
+                 F.min(c).cast("double").alias(f"{c}__min"),
+                 F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(c).cast("double").alias(f"{c}__max")]
+    one = df.agg(*aggs)
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__n").alias("count"), F.col(f"{c}__mean").alias("mean"),
+                     F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
+                     F.col(f"{c}__q")[0].alias("p25"), F.col(f"{c}__q")[1].alias("p50"),
+                     F.col(f"{c}__q")[2].alias("p75"), F.col(f"{c}__max").alias("max")) for c in cols]
+    return one.select(_stack(rows)).select("s.*")
+
+
+def missing_audit(df: DataFrame, cols) -> DataFrame:
+    """A4: NULL count per column, only columns that have any."""
+    one = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in cols]
+    return one.select(_stack(rows)).select("s.*").filter(F.col("missing") > 0)
+
+
+def pivot_counts(df: DataFrame, row: str, col: str, values) -> DataFrame:
+    """A5: counts per (row, col value) as columns, absent = 0."""
+    p = df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1)))
+    return p.fillna(0, subset=[str(v) for v in values])
+
+
+def welch_moments(df: DataFrame, label: str, cols) -> DataFrame:
+    """A10 without the p-value: per feature the two class means, their
+    difference, Welch's t and its degrees of freedom. One aggregate pass."""
+    aggs = []
+    for c in cols:
+        for k in (1, 0):
+            x = F.when(F.col(label) == k, F.col(c))
+            aggs += [F.count(x).alias(f"{c}__n{k}"), F.avg(x).alias(f"{c}__m{k}"),
+                     F.var_samp(x).alias(f"{c}__v{k}")]
+    one = df.agg(*aggs)
+    rows = []
+    for c in cols:
+        n1, n0 = F.col(f"{c}__n1"), F.col(f"{c}__n0")
+        m1, m0 = F.col(f"{c}__m1"), F.col(f"{c}__m0")
+        a, b = F.col(f"{c}__v1") / n1, F.col(f"{c}__v0") / n0
+        t = (m1 - m0) / F.sqrt(a + b)
+        dof = (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1))
+        rows.append(F.struct(F.lit(c).alias("feature"), m1.alias("mean_hits"), m0.alias("mean_non_hits"),
+                             (m1 - m0).alias("difference"), t.alias("t"), dof.alias("dof")))
+    return one.select(_stack(rows)).select("s.*")
+
+
+def student_t_two_sided_p(t: float, dof: float) -> float:
+    """Two-sided p-value of Student's t: I_{dof/(dof+t^2)}(dof/2, 1/2), the
+    regularised incomplete beta by its continued fraction (no scipy needed)."""
+    import math
+    if t is None or dof is None or math.isnan(t) or math.isnan(dof) or dof <= 0:
+        return float("nan")
+    x = dof / (dof + t * t)
+    a, b = dof / 2.0, 0.5
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
+
+    def cf(a, b, x):
+        tiny, eps = 1e-300, 1e-15
+        c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        h = d
+        for m in range(1, 10000):
+            m2 = 2 * m
+            aa = m * (b - m) * x / ((a + m2 - 1) * (a + m2))
+            d = 1.0 + aa * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + aa / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+            aa = -(a + m) * (a + b + m) * x / ((a + m2) * (a + m2 + 1))
+            d = 1.0 + aa * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + aa / c
+            c = c if abs(c) > tiny else tiny
+            delta = d * c
+            h *= delta
+            if abs(delta - 1.0) < eps:
+                break
+        return h
+
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * cf(a, b, x) / a
+    return 1.0 - front * cf(b, a, 1.0 - x) / b
+
+
+def welch_test(df: DataFrame, label: str, cols, alpha: float = 0.05) -> DataFrame:
+    """A10: Welch's t-test per feature with its two-sided p-value, sorted by p.
+    The p-value is computed by an Arrow-batched pandas function over the
+    per-feature rows (one row per feature, after the aggregate)."""
+    from pyspark.sql.types import DoubleType
+
+    @F.pandas_udf(DoubleType())
+    def p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([student_t_two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64")
+
+    m = welch_moments(df, label, cols)
+    m = m.withColumn("p_value", p_value("t", "dof"))
+    return m.withColumn("significant", F.col("p_value") < alpha)
+
+
+def outliers_iqr(df: DataFrame, cols, k: float = 3.0) -> DataFrame:
+    """Q1, Q3, IQR, count outside [Q1 - k*IQR, Q3 + k*IQR] and its share of
+    all rows (NULLs count in the denominator). Two passes: quartiles, then counts."""
+    q = df.agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in cols]).first()  # 2 numbers per column
+    total = F.count(F.lit(1))
+    aggs = [total.alias("__total")]
+    bounds = {}
+    for c in cols:
+        q1, q3 = q[c][0], q[c][1]
+        lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+        bounds[c] = (q1, q3)
+        aggs.append(F.sum(((F.col(c) < lo) | (F.col(c) > hi)).cast("long")).alias(c))
+    one = df.agg(*aggs)
+    rows = [F.struct(F.lit(c).alias("feature"), F.lit(bounds[c][0]).alias("q1"), F.lit(bounds[c][1]).alias("q3"),
+                     F.lit(bounds[c][1] - bounds[c][0]).alias("iqr"), F.coalesce(F.col(c), F.lit(0)).alias("outliers"),
+                     (F.coalesce(F.col(c), F.lit(0)) * 100.0 / F.col("__total")).alias("pct_rows")) for c in cols]
+    return one.select(_stack(rows)).select("s.*")
+
+
+def correlations(df: DataFrame, cols) -> DataFrame:
+    """Pearson r for every pair (upper triangle), pairwise complete, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    one = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    rows = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs]
+    return one.select(_stack(rows)).select("s.*")
+
+
+def strong_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """A14."""
+    return corr.filter(F.abs(F.col("r")) > threshold)
+
+
+def histogram(df: DataFrame, col: str, bins: int, by=(), density: bool = True) -> DataFrame:
+    """Equal-width bins over each group's own [min, max], last bin closed
+    (numpy rules, including a constant column: range widened by 0.5 each side).
+    Returns group, bin, count and density = count / (n * width)."""
+    by = list(by)
+    x = F.col(col)
+    d = df.filter(x.isNotNull())
+    grouped = bool(by)
+    if not grouped:  # one overall range: join it on a constant key
+        d, by = d.withColumn("_all", F.lit(0)), ["_all"]
+    rng = d.groupBy(*by).agg(F.min(x).cast("double").alias("_mn"), F.max(x).cast("double").alias("_mx"),
+                              F.count(F.lit(1)).alias("_n"))
+    rng = (rng.withColumn("_lo", F.when(F.col("_mx") == F.col("_mn"), F.col("_mn") - 0.5).otherwise(F.col("_mn")))
+              .withColumn("_hi", F.when(F.col("_mx") == F.col("_mn"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))))
+    # One row per group (labels, or the single overall range): a bounded broadcast.
+    j = d.join(F.broadcast(rng), by)
+    b = F.least(F.floor((x.cast("double") - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))),
+                F.lit(bins - 1)).cast("int")
+    counts = j.groupBy(*by, b.alias("bin"), "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count"))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    out = counts.withColumn("bin_start", F.col("_lo") + F.col("bin") * width)
+    if density:
+        out = out.withColumn("density", F.col("count") / (F.col("_n") * width))
+    out = out.drop("_lo", "_hi", "_n")
+    return out if grouped else out.drop("_all")
+
+
+def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFrame:
+    """Quartiles per group and whiskers at the last point inside 1.5 IQR."""
+    x = F.col(col)
+    q = df.groupBy(by).agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"))
+    q = q.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    j = df.select(by, x.alias("_x")).join(F.broadcast(q), by)  # one row per group
+    iqr = F.col("q3") - F.col("q1")
+    inside_lo = F.when(F.col("_x") >= F.col("q1") - whisker * iqr, F.col("_x"))
+    inside_hi = F.when(F.col("_x") <= F.col("q3") + whisker * iqr, F.col("_x"))
+    return j.groupBy(by, "q1", "median", "q3").agg(F.min(inside_lo).cast("double").alias("whisker_low"),
+                                                   F.max(inside_hi).cast("double").alias("whisker_high"))
+
+
+def bucket_counts(df: DataFrame, bucket: str, buckets) -> DataFrame:
+    """Count per bucket in bucket order, empty buckets shown as 0."""
+    spark = df.sparkSession
+    order = spark.createDataFrame([(b, i) for i, b in enumerate(buckets)], f"{bucket} string, bucket_order int")
+    n = df.filter(F.col(bucket).isNotNull()).groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    return F.broadcast(order).join(n, bucket, "left").select(bucket, "bucket_order", F.coalesce("n", F.lit(0)).alias("n"))

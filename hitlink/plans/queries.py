@@ -65,3 +65,4 @@ def agg_a20(spark, sf_dir):
 from . import q_text  # noqa: E402,F401
 from . import q_rows  # noqa: E402,F401
 from . import q_link  # noqa: E402,F401
+from . import q_stats  # noqa: E402,F401
