@@ -76,11 +76,16 @@ def exact_sample_strict(df: DataFrame, n: int, key: str, seed: int = 42,
     return exact_sample(df, n, key, seed, tiebreak=tiebreak)
 
 
-def shuffle_order(df: DataFrame, key: str, seed: int = 42, name: str = "shuffle_pos") -> Column:
-    """A seeded permutation expressed as a sort key; callers sort or rank on it."""
+def shuffle_order(key: str, seed: int = 42) -> Column:
+    """A seeded permutation as a sort key."""
     return draw(key, seed)
 
 
+def shuffle_positions(df: DataFrame, key: str, seed: int = 42, name: str = "pos") -> DataFrame:
+    """The 1-based position of every row in a seeded full shuffle."""
+    return _rank_per_group(df, [], key, seed).withColumnRenamed("_r", name)
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
                      seed: int = 42, name: str = "is_test") -> DataFrame:
     """M2: exact stratified split. Within each label the ``round(f * n_label)``
@@ -107,7 +112,8 @@ def _rank_per_group(df: DataFrame, by: Sequence[str], key: str, seed: int) -> Da
     by = list(by)
     d = df.withColumn(_H, draw(key, seed)).withColumn(_B, F.substring(_H, 1, 4))
     hist = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    # At most 65,536 bucket counts per group feed this running sum.
+    w = (Window.partitionBy(*by) if by else Window).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offs = hist.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
     j = d.join(offs, on=by + [_B], how="inner")
     rw = Window.partitionBy(*by, _B).orderBy(F.col(_H), F.col(key))

@@ -155,6 +155,21 @@ def songs_exprs(engine: str) -> list[str]:
     return exprs
 
 
+# A fixed score standing in for a model's class-1 probability (ranking and
+# evaluation queries are checked by SQL on it).
+SCORE_EXPR = ("coalesce(danceability, CAST(0 AS DOUBLE)) * CAST(0.5 AS DOUBLE) + "
+              "coalesce(energy, CAST(0 AS DOUBLE)) * CAST(0.3 AS DOUBLE) + "
+              "(CAST(1 AS DOUBLE) - coalesce(acousticness, CAST(0 AS DOUBLE))) * CAST(0.2 AS DOUBLE)")
+
+
+def scored_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return songs(spark, sf_dir).selectExpr("*", f"{SCORE_EXPR} AS score")
+
+
+def sql_scored_songs() -> str:
+    return f"(SELECT *, {SCORE_EXPR} AS score FROM {sql_songs()})"
+
+
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
