@@ -67,3 +67,4 @@ from . import q_rows  # noqa: E402,F401
 from . import q_link  # noqa: E402,F401
 from . import q_stats  # noqa: E402,F401
 from . import q_rank  # noqa: E402,F401
+from . import q_ml  # noqa: E402,F401
