@@ -195,8 +195,12 @@ def weekly_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yearend_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return yearend_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def yearend_from(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    p = part.select("p_partkey", "p_name", "p_brand", "p_type")
     return li.join(p, li.l_partkey == p.p_partkey).selectExpr(*yearend_chart_exprs())
 
 
