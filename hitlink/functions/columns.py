@@ -116,3 +116,13 @@ RANK_BUCKETS = ["Top 10", "11-50", "51-100"]
 def round_half_even(c, places: int = 3) -> Column:
     """Numpy-style rounding for display."""
     return F.bround(_c(c), places)
+
+
+def optional_range(c, start=None, end=None) -> Column:
+    """Optional inclusive range; None or 0 means that end is open."""
+    cond = F.lit(True)
+    if start:
+        cond = cond & (_c(c) >= F.lit(start))
+    if end:
+        cond = cond & (_c(c) <= F.lit(end))
+    return cond

@@ -42,8 +42,12 @@ def clean_chart(raw: DataFrame, order=CHART_INPUT_ORDER, reference: bool = False
     d = (d.withColumn("title_clean", TX.clean_title_v1("title", reference=reference))
           .withColumn("artist_clean", TX.clean_artist("artist"))
           .withColumn("primary_artist", TX.lead_artist("artist_clean", reference=reference)))
-    d = d.filter((F.length("title_clean") > 0) & (F.length("artist_clean") > 0))
-    return U.keep_best(d, ["year", "rank", "title_clean", "artist_clean"], [U.asc(c) for c in order])
+    best = U.keep_best(d, ["year", "rank", "title_clean", "artist_clean"], [U.asc(c) for c in order])
+    # Dropping empty rows after the dedup gives the same rows (an empty key's
+    # group holds only empty rows) and keeps the filter above the aggregate:
+    # before it, Catalyst would push it under the projection and evaluate the
+    # cleaning expressions twice.
+    return best.filter((F.length("title_clean") > 0) & (F.length("artist_clean") > 0))
 
 
 # --- C2: catalog -------------------------------------------------------------

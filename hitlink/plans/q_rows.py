@@ -257,3 +257,13 @@ def set_o5(spark, sf_dir):
                     F.array_join(F.array_sort(F.array_intersect(wa, wb)), " ").alias("common"),
                     F.array_join(F.array_sort(F.array_union(wa, wb)), " ").alias("either"),
                     F.array_join(F.array_sort(F.array_except(wa, wb)), " ").alias("only_first"))
+
+
+@register("pipe_c1_clean_chart",
+          f"SELECT year, rank, title, artist, title_clean, artist_clean, primary_artist FROM {sql_c1()} "
+          "WHERE year >= 1995")
+def pipe_c1(spark, sf_dir):
+    """C1 with the optional year range of the sampler (P16: start 1995, no end)."""
+    c = clean_chart(FX.yearend_chart(spark, sf_dir))
+    return c.filter(PC.optional_range("year", 1995, 0)).select(
+        "year", "rank", "title", "artist", "title_clean", "artist_clean", "primary_artist")
