@@ -28,9 +28,10 @@ def test_query_matches_oracle(spark, small_dir, name):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small_dir}/{t}.parquet')")
     df = E.queries()[name](spark, small_dir)
-    got = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in
-                 df.select(*sorted(df.columns)).collect())
+    got = sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in
+                  df.select(*sorted(df.columns)).collect()), key=repr)
     rel = con.sql(E.oracle_sql()[name])
-    want = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in
-                  con.sql(f"SELECT {', '.join(sorted(rel.columns))} FROM ({E.oracle_sql()[name]})").fetchall())
+    want = sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in
+                   con.sql(f"SELECT {', '.join(sorted(rel.columns))} FROM ({E.oracle_sql()[name]})").fetchall()),
+                  key=repr)
     assert got == want
