@@ -66,24 +66,20 @@ def pivot_counts(df: DataFrame, row: str, col: str, values) -> DataFrame:
 
 def welch_moments(df: DataFrame, label: str, cols) -> DataFrame:
     """A10 without the p-value: per feature the two class means, their
-    difference, Welch's t and its degrees of freedom. One aggregate pass."""
+    difference, Welch's t and its degrees of freedom. One pass: rows are
+    unpivoted to (feature, label, value) and aggregated per feature."""
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])
+    long = df.select(F.col(label).alias("_y"), F.explode(arr).alias("p")).select("_y", "p.*")
     aggs = []
-    for c in cols:
-        for k in (1, 0):
-            x = F.when(F.col(label) == k, F.col(c))
-            aggs += [F.count(x).alias(f"{c}__n{k}"), F.avg(x).alias(f"{c}__m{k}"),
-                     F.var_samp(x).alias(f"{c}__v{k}")]
-    one = df.agg(*aggs)
-    rows = []
-    for c in cols:
-        n1, n0 = F.col(f"{c}__n1"), F.col(f"{c}__n0")
-        m1, m0 = F.col(f"{c}__m1"), F.col(f"{c}__m0")
-        a, b = F.col(f"{c}__v1") / n1, F.col(f"{c}__v0") / n0
-        t = (m1 - m0) / F.sqrt(a + b)
-        dof = (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1))
-        rows.append(F.struct(F.lit(c).alias("feature"), m1.alias("mean_hits"), m0.alias("mean_non_hits"),
-                             (m1 - m0).alias("difference"), t.alias("t"), dof.alias("dof")))
-    return one.select(_stack(rows)).select("s.*")
+    for k in (1, 0):
+        x = F.when(F.col("_y") == k, F.col("v"))
+        aggs += [F.count(x).alias(f"n{k}"), F.avg(x).alias(f"m{k}"), F.var_samp(x).alias(f"v{k}")]
+    g = long.groupBy("feature").agg(*aggs)
+    n1, n0, m1, m0 = F.col("n1"), F.col("n0"), F.col("m1"), F.col("m0")
+    a, b = F.col("v1") / n1, F.col("v0") / n0
+    return g.select("feature", m1.alias("mean_hits"), m0.alias("mean_non_hits"), (m1 - m0).alias("difference"),
+                    ((m1 - m0) / F.sqrt(a + b)).alias("t"),
+                    ((a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1))).alias("dof"))
 
 
 def student_t_two_sided_p(t: float, dof: float) -> float:
@@ -165,11 +161,15 @@ def outliers_iqr(df: DataFrame, cols, k: float = 3.0) -> DataFrame:
 
 
 def correlations(df: DataFrame, cols) -> DataFrame:
-    """Pearson r for every pair (upper triangle), pairwise complete, in one pass."""
+    """Pearson r for every pair (upper triangle), pairwise complete, in one
+    pass. Rows are unpivoted to (pair, x, y) and grouped by pair: one small
+    aggregate per group instead of one aggregate with 45 correlation states
+    (whose generated code is too large to compile and falls back to interpreted)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    rows = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs]
-    return one.select(_stack(rows)).select("s.*")
+    arr = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(a).cast("double").alias("x"),
+                             F.col(b).cast("double").alias("y")) for a, b in pairs])
+    long = df.select(F.explode(arr).alias("p")).select("p.*")
+    return long.groupBy("f1", "f2").agg(F.corr("x", "y").alias("r"))
 
 
 def strong_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -9,7 +9,7 @@ side joins k rows per key (AQE splits a hot key on the song side).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as PC
@@ -82,14 +82,21 @@ def first_pass(songs: DataFrame, index: DataFrame, threshold: float = 0.5, k: in
         c = c.select("song_id", "primary_artist", "spotify_id", "popularity", "track_artists", "cand_pos",
                      F.lit(i).alias("stage"))
         found = c if found is None else found.unionByName(c)
-    # A song has at most 3 * k candidate rows: a bounded group.
-    first_stage = found.groupBy("song_id").agg(F.min("stage").alias("stage"))
-    used = found.join(first_stage, ["song_id", "stage"])
+    # A song has at most 3 * k candidate rows: a bounded group, so a window per
+    # song is cheap, and one aggregate then yields the stage and the choice.
+    used = found.withColumn("_first", F.min("stage").over(Window.partitionBy("song_id"))) \
+        .filter(F.col("stage") == F.col("_first"))
     scored = used.withColumn("score", TX.artist_similarity(F.col("primary_artist"), F.col("track_artists")))
-    best = L.best_candidate(scored, "song_id", "score", threshold, "popularity", "cand_pos")
-    out = songs.select("song_id").join(first_stage, "song_id", "left") \
-        .join(best.select("song_id", "spotify_id", "score"), "song_id", "left")
-    return out.select("song_id", F.coalesce("stage", F.lit(0)).alias("stage"), "spotify_id", "score")
+    ok = F.col("score") >= F.lit(threshold)
+    pop = F.coalesce(F.col("popularity").cast("double"), F.lit(0.0))
+    order = F.struct((~ok).alias("miss"), (-F.col("score")).alias("s"), (-pop).alias("p"), F.col("cand_pos").alias("pos"))
+    per_song = scored.groupBy("song_id").agg(
+        F.min("stage").alias("stage"),
+        F.min_by(F.struct(ok.alias("ok"), F.col("spotify_id"), F.col("score")), order).alias("_b"))
+    out = songs.select("song_id").join(per_song, "song_id", "left")
+    return out.select("song_id", F.coalesce("stage", F.lit(0)).alias("stage"),
+                      F.when(F.col("_b.ok"), F.col("_b.spotify_id")).alias("spotify_id"),
+                      F.when(F.col("_b.ok"), F.col("_b.score")).alias("score"))
 
 
 def second_pass(songs: DataFrame, index: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -22,7 +22,9 @@ _YE = FX.sql_yearend_chart()
 
 
 def _c1(spark, sf_dir):
-    return clean_chart(FX.yearend_chart(spark, sf_dir))
+    """The cleaned year-end chart, written once: the queries below read it more
+    than once (years, keys, songs), and its regex cleaning is the costly part."""
+    return materialize(clean_chart(FX.yearend_chart(spark, sf_dir)), "chart_clean")
 
 
 # --- J1-J3, J6: lookups on the weekly chart ---------------------------------------

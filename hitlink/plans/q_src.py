@@ -16,7 +16,7 @@ from . import cascade as CS
 from . import fixtures as FX
 from . import oracle_text as OT
 from .pipelines import CHART_INPUT_ORDER, clean_chart
-from .q_link import _sql_pool
+from .q_link import _c1, _sql_pool
 from .q_rows import sql_c1
 from .registry import r6, register
 
@@ -106,7 +106,7 @@ _KEYS = ["k_year", "k_rank", "k_title", "k_artist"]
           "SELECT year, rank, title_clean, primary_artist FROM c x WHERE NOT EXISTS (SELECT 1 FROM done d WHERE "
           "d.k_year = x.k_year AND d.k_rank = x.k_rank AND d.k_title = x.k_title AND d.k_artist = x.k_artist)")
 def incr_i1(spark, sf_dir):
-    c = _key_cols(clean_chart(FX.yearend_chart(spark, sf_dir)))
+    c = _key_cols(_c1(spark, sf_dir))
     prev = c.filter(F.col("year") < 2000)
     matched, unmatched = prev.filter(F.col("src_line") % 2 == 1), prev.filter(F.col("src_line") % 2 == 0)
     return INC.pending(c, [matched, unmatched], _KEYS).select("year", "rank", "title_clean", "primary_artist")
@@ -116,7 +116,7 @@ def incr_i1(spark, sf_dir):
           f"WITH c AS {sql_c1()} SELECT year, rank, title_clean FROM c x WHERE NOT EXISTS "
           "(SELECT 1 FROM c d WHERE d.year < 2005 AND d.year = x.year AND d.rank = x.rank)")
 def incr_i2(spark, sf_dir):
-    c = clean_chart(FX.yearend_chart(spark, sf_dir))
+    c = _c1(spark, sf_dir)
     return INC.pending(c, [c.filter(F.col("year") < 2005)], ["year", "rank"]).select("year", "rank", "title_clean")
 
 
@@ -124,7 +124,7 @@ def incr_i2(spark, sf_dir):
           f"WITH {_sql_pool()}, c AS (SELECT * FROM c1) SELECT year, rank, title_clean FROM c WHERE year NOT IN "
           "(SELECT DISTINCT target_year FROM sampled WHERE target_year < 1999)")
 def incr_i3(spark, sf_dir):
-    c = clean_chart(FX.yearend_chart(spark, sf_dir))
+    c = _c1(spark, sf_dir)
     done = CS.sample_per_year(CS.negative_pool(FX.catalog(spark, sf_dir), c)).filter(F.col("target_year") < 1999)
     return INC.pending_groups(c, done.withColumnRenamed("target_year", "year"), "year") \
         .select("year", "rank", "title_clean")
@@ -188,7 +188,7 @@ _C5_COLS = ["label", "year", "rank", "title", "artist", "spotify_id", "spotify_t
           "year ASC NULLS LAST, label DESC, rank ASC NULLS LAST, title ASC NULLS LAST, artist ASC NULLS LAST) AS rn "
           "FROM u) WHERE rn = 1")
 def pipe_c5(spark, sf_dir):
-    c1 = clean_chart(FX.yearend_chart(spark, sf_dir))
+    c1 = _c1(spark, sf_dir)
     cat = FX.catalog(spark, sf_dir).select(F.col("id").alias("spotify_id"), F.col("name").alias("spotify_title"),
                                            "release_date", "popularity")
     pos = (c1.withColumn("spotify_id", F.concat(F.lit("t"), F.col("partkey").cast("string")))
