@@ -110,6 +110,7 @@ def second_pass(songs: DataFrame, index: DataFrame, threshold: float = 0.3) -> D
         TX.lead_artist_v2("artist").alias("lead"))
     s = s.withColumn("short", TX.short_artist("lead"))
     s = s.withColumn("ak", L.joinable(TX.norm("lead"))).withColumn("sk", L.joinable(TX.norm("short")))
+    s = materialize(s, "second_pass_songs")  # read by all four passes
 
     def scored(rem, keys, expected, k):
         c = rem.join(_results(index, keys, k), on=keys)
@@ -120,26 +121,23 @@ def second_pass(songs: DataFrame, index: DataFrame, threshold: float = 0.3) -> D
         c = rem.join(_results(index, keys, k), on=keys)
         return L.most_popular_candidate(c, "song_id", "popularity", "cand_pos", 10)
 
-    matched = []
-    rem = s
-    a = scored(rem, ["tk", "ak"], "lead", 5).select("song_id", "spotify_id", F.lit("A").alias("pass"))
-    matched.append(a)
-    rem = L.anti_join(rem, a, ["song_id"], ["song_id"])
-    b_in = rem.filter(F.col("short") != F.col("lead"))
-    b = scored(b_in, ["tk", "sk"], "short", 5).select("song_id", "spotify_id", F.lit("B").alias("pass"))
-    matched.append(b)
-    rem = L.anti_join(rem, b, ["song_id"], ["song_id"])
-    c = popular(rem, ["tk", "year"], 10).select("song_id", "spotify_id", F.lit("C").alias("pass"))
-    matched.append(c)
-    rem = L.anti_join(rem, c, ["song_id"], ["song_id"])
-    d = popular(rem, ["tk"], 10).select("song_id", "spotify_id", F.lit("D").alias("pass"))
-    matched.append(d)
-    rem = L.anti_join(rem, d, ["song_id"], ["song_id"])
-    none = rem.select("song_id", F.lit(None).cast("string").alias("spotify_id"), F.lit("none").alias("pass"))
-    out = matched[0]
-    for m in matched[1:] + [none]:
-        out = out.unionByName(m)
-    return out
+    # Each pass's choice for a song does not depend on the earlier passes (they
+    # only decide whether the song is still open), so every pass runs over all
+    # songs and one aggregate keeps the first pass that matched. No pass is
+    # re-evaluated inside the next one's anti-join.
+    a = scored(s, ["tk", "ak"], "lead", 5).select("song_id", "spotify_id", F.lit(1).alias("pass_no"))
+    b = scored(s.filter(F.col("short") != F.col("lead")), ["tk", "sk"], "short", 5) \
+        .select("song_id", "spotify_id", F.lit(2).alias("pass_no"))
+    c = popular(s, ["tk", "year"], 10).select("song_id", "spotify_id", F.lit(3).alias("pass_no"))
+    d = popular(s, ["tk"], 10).select("song_id", "spotify_id", F.lit(4).alias("pass_no"))
+    first = (a.unionByName(b).unionByName(c).unionByName(d).groupBy("song_id")
+              .agg(F.min("pass_no").alias("pass_no"), F.min_by("spotify_id", "pass_no").alias("spotify_id")))
+    label = F.element_at(F.array(*[F.lit(x) for x in PASS_LABELS]), F.col("pass_no"))
+    out = s.select("song_id").join(first, "song_id", "left")
+    return out.select("song_id", "spotify_id", F.coalesce(label, F.lit("none")).alias("pass"))
+
+
+PASS_LABELS = ["A", "B", "C", "D"]
 
 
 def query_plan(target_years: DataFrame, year_col: str = "year") -> DataFrame:

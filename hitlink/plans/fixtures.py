@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 AUDIO_COLS = ["danceability", "energy", "key", "loudness", "mode", "speechiness",
               "acousticness", "instrumentalness", "liveness", "valence", "tempo"]
 # The nine features the EDA compares (no key, no mode).
@@ -22,7 +24,9 @@ EDA_FEATURES = ["danceability", "energy", "loudness", "speechiness", "acousticne
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, spread over the session's parallelism when its file has
+    fewer splits than that (the test files are single row groups)."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _d(x: str) -> str:

@@ -76,3 +76,14 @@ def materialize(df, name: str):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give per-row work enough tasks. A scan yields one task per file split (a
+    parquet row group cannot be split), so a small input stored as one row group
+    would run every per-row expression before the first shuffle in one task.
+    When the input has fewer partitions than the session's default parallelism,
+    rows are spread round-robin; on a large input this is a no-op."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.rdd().getNumPartitions()
+    return df.repartition(want) if have < want else df
