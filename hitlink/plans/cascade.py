@@ -28,10 +28,13 @@ def search_index(catalog_raw: DataFrame) -> DataFrame:
     artist key, short artist key, all artist names as text."""
     names = TX.list_items("artists")
     first = F.element_at(names, 1)
+    artists = F.array_join(names, " ")
     return catalog_raw.select(
         F.col("id").alias("spotify_id"), F.col("name").alias("track_title"), "popularity",
         PC.to_int("year").alias("year"),
-        F.array_join(names, " ").alias("track_artists"),
+        artists.alias("track_artists"),
+        # Word sets once per track, not once per (song, candidate) pair.
+        TX.word_set(artists).alias("track_words"), TX.word_set(artists, alnum=True).alias("track_words_an"),
         L.joinable(TX.norm_base("name")).alias("tk"),
         L.joinable(TX.norm(first)).alias("ak"),
         L.joinable(TX.norm(TX.short_artist(first))).alias("sk"))
@@ -46,7 +49,7 @@ def songs_to_match(clean: DataFrame) -> DataFrame:
     """Cleaned chart rows (C1) with a song id and their search keys."""
     return clean.select(
         song_key("year", "rank", "title_clean", "artist_clean").alias("song_id"), "year", "rank", "title", "artist",
-        "title_clean", "primary_artist",
+        "title_clean", "primary_artist", TX.word_set("primary_artist").alias("artist_words"),
         L.joinable(TX.norm_base("title_clean")).alias("tk"),
         L.joinable(TX.norm("primary_artist")).alias("ak"))
 
@@ -63,7 +66,7 @@ def unmatched_songs(songs: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def _results(index: DataFrame, keys, k: int) -> DataFrame:
-    cols = list(keys) + ["spotify_id", "popularity", "track_artists"]
+    cols = list(keys) + ["spotify_id", "popularity", "track_words", "track_words_an"]
     idx = index.select(*cols)
     for c in keys:
         idx = idx.filter(F.col(c).isNotNull())
@@ -78,15 +81,15 @@ def first_pass(songs: DataFrame, index: DataFrame, threshold: float = 0.5, k: in
     stages = [["tk", "ak", "year"], ["tk", "ak"], ["tk"]]
     found = None
     for i, keys in enumerate(stages, 1):
-        c = songs.select("song_id", "primary_artist", *keys).join(_results(index, keys, k), on=keys)
-        c = c.select("song_id", "primary_artist", "spotify_id", "popularity", "track_artists", "cand_pos",
+        c = songs.select("song_id", "artist_words", *keys).join(_results(index, keys, k), on=keys)
+        c = c.select("song_id", "artist_words", "spotify_id", "popularity", "track_words", "cand_pos",
                      F.lit(i).alias("stage"))
         found = c if found is None else found.unionByName(c)
     # A song has at most 3 * k candidate rows: a bounded group, so a window per
     # song is cheap, and one aggregate then yields the stage and the choice.
     used = found.withColumn("_first", F.min("stage").over(Window.partitionBy("song_id"))) \
         .filter(F.col("stage") == F.col("_first"))
-    scored = used.withColumn("score", TX.artist_similarity(F.col("primary_artist"), F.col("track_artists")))
+    scored = used.withColumn("score", TX.jaccard(F.col("artist_words"), F.col("track_words")))
     ok = F.col("score") >= F.lit(threshold)
     pop = F.coalesce(F.col("popularity").cast("double"), F.lit(0.0))
     order = F.struct((~ok).alias("miss"), (-F.col("score")).alias("s"), (-pop).alias("p"), F.col("cand_pos").alias("pos"))
@@ -110,11 +113,13 @@ def second_pass(songs: DataFrame, index: DataFrame, threshold: float = 0.3) -> D
         TX.lead_artist_v2("artist").alias("lead"))
     s = s.withColumn("short", TX.short_artist("lead"))
     s = s.withColumn("ak", L.joinable(TX.norm("lead"))).withColumn("sk", L.joinable(TX.norm("short")))
+    s = (s.withColumn("lead_words", TX.word_set("lead", alnum=True))
+          .withColumn("short_words", TX.word_set("short", alnum=True)))
     s = materialize(s, "second_pass_songs")  # read by all four passes
 
     def scored(rem, keys, expected, k):
         c = rem.join(_results(index, keys, k), on=keys)
-        c = c.withColumn("score", TX.artist_similarity(F.col(expected), F.col("track_artists"), alnum=True))
+        c = c.withColumn("score", TX.jaccard(F.col(f"{expected}_words"), F.col("track_words_an")))
         return L.best_candidate(c, "song_id", "score", threshold, "popularity", "cand_pos")
 
     def popular(rem, keys, k):
