@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from hitlink.llm.langid import op9_language_id
+from hitlink.llm.packing import op3_packing
 from hitlink.llm.quality import op7_quality_rules
 
 QUERIES = {
+    "op3_packing": (op3_packing, None),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op9_language_id": (op9_language_id, None),
 }
