@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from hitlink.llm import licenses, line_dedup
 from hitlink.llm.langid import op9_language_id
+from hitlink.llm.mixing import op5_source_mix
 from hitlink.llm.packing import op3_packing
 from hitlink.llm.quality import op7_quality_rules
+from hitlink.llm.suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
+    "op2_line_dedup": (line_dedup.op2_line_dedup, line_dedup.ORACLE),
     "op3_packing": (op3_packing, None),
+    "op4_license_scan": (licenses.op4_license_scan, licenses.ORACLE),
+    "op5_source_mix": (op5_source_mix, None),
     "op7_quality_rules": (op7_quality_rules, None),
     "op9_language_id": (op9_language_id, None),
+    "op10_suffix_dedup": (op10_suffix_dedup, None),
 }
