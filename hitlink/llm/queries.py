@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hitlink.llm import licenses, line_dedup
+from hitlink.llm.ann import op8_nearest_neighbours
 from hitlink.llm.langid import op9_language_id
 from hitlink.llm.mixing import op5_source_mix
 from hitlink.llm.packing import op3_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_license_scan": (licenses.op4_license_scan, licenses.ORACLE),
     "op5_source_mix": (op5_source_mix, None),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op8_nearest_neighbours": (op8_nearest_neighbours, None),
     "op9_language_id": (op9_language_id, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
 }
