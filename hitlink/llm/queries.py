@@ -6,11 +6,13 @@ from hitlink.llm import licenses, line_dedup
 from hitlink.llm.ann import op8_nearest_neighbours
 from hitlink.llm.langid import op9_language_id
 from hitlink.llm.mixing import op5_source_mix
+from hitlink.llm.ngram_join import op1_ngram_jaccard_join
 from hitlink.llm.packing import op3_packing
 from hitlink.llm.quality import op7_quality_rules
 from hitlink.llm.suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
+    "op1_ngram_jaccard_join": (op1_ngram_jaccard_join, None),
     "op2_line_dedup": (line_dedup.op2_line_dedup, line_dedup.ORACLE),
     "op3_packing": (op3_packing, None),
     "op4_license_scan": (licenses.op4_license_scan, licenses.ORACLE),
