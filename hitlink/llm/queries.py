@@ -8,6 +8,7 @@ from hitlink.llm.langid import op9_language_id
 from hitlink.llm.mixing import op5_source_mix
 from hitlink.llm.ngram_join import op1_ngram_jaccard_join
 from hitlink.llm.packing import op3_packing
+from hitlink.llm.pii import op6_pii
 from hitlink.llm.quality import op7_quality_rules
 from hitlink.llm.suffix_dedup import op10_suffix_dedup
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_packing": (op3_packing, None),
     "op4_license_scan": (licenses.op4_license_scan, licenses.ORACLE),
     "op5_source_mix": (op5_source_mix, None),
+    "op6_pii": (op6_pii, None),
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_nearest_neighbours": (op8_nearest_neighbours, None),
     "op9_language_id": (op9_language_id, None),
