@@ -16,6 +16,8 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows of a Python batch: at the default of 10,000 whole texts fill a worker's memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
