@@ -37,7 +37,7 @@ from hitlink.llm.common import mix
 ORDER = 5
 DOCS_PER_LANGUAGE = 1500
 SHARPNESS = 12.0
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000  # scored words that a worker remembers, some 150 MB
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -64,8 +64,9 @@ def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Sorted hash arrays by order: log probabilities of n-grams and log back-off weights of contexts; NaN where a
-    language lacks one."""
+    """Sorted hash arrays by order, each with a row of values per hash and a column per language: log probabilities of
+    n-grams (for a language that lacks one, what backing off gives) and log back-off weights of contexts (0 where a
+    language lacks one)."""
 
     languages: list[str]
     order: int
@@ -73,53 +74,65 @@ class Model:
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
     contexts: dict[int, tuple[np.ndarray, np.ndarray]]
     limits: np.ndarray | None = None
-    known: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def _find(self, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        hashes, values = table
-        if not len(hashes):
-            return np.full((len(keys), len(self.languages)), np.nan)
-        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-        out = values[at].astype(np.float64)
-        out[hashes[at] != keys] = np.nan
-        return out
+    known: dict[str, int] = field(default_factory=dict)
+    scored: np.ndarray | None = None
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """A row per word: the sum of -log p of its characters for each language, and their number."""
         codes, place = _characters(words)
-        total, done = np.zeros((len(codes), len(self.languages))), np.zeros((len(codes), len(self.languages)), bool)
-        done[place == 0] = True
+        total = np.zeros((len(codes), len(self.languages)))
+        rows = np.flatnonzero(place > 0)
         for n in range(self.order, 0, -1):
-            rows = np.flatnonzero((place >= n - 1) & ~done.all(axis=1))
-            if not len(rows):
-                continue
-            p = self._find(self.grams[n], gram_hashes(codes, n)[rows])
-            hit = ~np.isnan(p) & ~done[rows]
-            total[rows] += np.where(hit, p, 0)
-            done[rows] |= hit
+            deep = place[rows] >= n - 1
+            own = rows[deep]
+            at, hit = _find(self.grams[n][0], gram_hashes(codes, n)[own])
+            total[own[hit]] += self.grams[n][1][at[hit]]
+            own = own[~hit]
             if n > 1:
-                weight = self._find(self.contexts[n - 1], gram_hashes(codes, n - 1)[rows - 1])
-                total[rows] += np.where(done[rows] | np.isnan(weight), 0, weight)
-        total += np.where(done, 0, self.unseen)
-        word = np.cumsum(place == 0) - 1
-        sums = np.zeros((len(words), len(self.languages) + 1))
-        np.add.at(sums[:, :-1], word, -total)
-        np.add.at(sums[:, -1], word, place > 0)
-        return sums
+                at, hit = _find(self.contexts[n - 1][0], gram_hashes(codes, n - 1)[own - 1])
+                total[own[hit]] += self.contexts[n - 1][1][at[hit]]
+            rows = np.concatenate([own, rows[~deep]])
+        total[rows] += self.unseen
+        starts = np.flatnonzero(place == 0)
+        sizes = np.diff(np.append(starts, len(codes))) - 1
+        return np.column_stack([-np.add.reduceat(total, starts, axis=0), sizes]).astype(np.float32)
+
+    def _room(self, n: int) -> None:
+        have = 0 if self.scored is None else len(self.scored)
+        if n > have:
+            more = np.zeros((max(n, 2 * have, 4096), len(self.languages) + 1), np.float32)
+            if have:
+                more[:have] = self.scored
+            self.scored = more
 
     def entropy(self, text: str) -> np.ndarray:
         """Cross-entropy per character for each language."""
         words = text.lower().split()
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.known.update(zip(part, self.score_words(part)))
-        sums = np.sum([self.known[w] for w in words], axis=0)
+        try:
+            rows = [self.known[w] for w in words]
+        except KeyError:
+            if len(self.known) > WORDS_KEPT:
+                self.known.clear()
+            new = [w for w in set(words) if w not in self.known]
+            for k in range(0, len(new), 20_000):
+                part = new[k : k + 20_000]
+                first, last = len(self.known), len(self.known) + len(part)
+                self._room(last)
+                self.known.update(zip(part, range(first, last)))
+                self.scored[first:last] = self.score_words(part)
+            rows = [self.known[w] for w in words]
+        sums = self.scored[rows].sum(axis=0, dtype=np.float64)
         return sums[:-1] / sums[-1]
 
 
+def _find(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in the sorted array, and whether they are there."""
+    if not len(hashes):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+    return at, hashes[at] == keys
+
+
 def estimate(counts: pd.DataFrame, order: int) -> Model:
     """Interpolated Kneser-Ney from (lang, gram, n), the counts of n-grams of the highest order and of those shorter ones
     that begin a word."""
@@ -137,6 +150,7 @@ def estimate(counts: pd.DataFrame, order: int) -> Model:
     alphabet = tables[1].groupby("lang")["gram"].nunique().reindex(languages).to_numpy() + 1
     unseen = np.log(1.0 / alphabet / 100)
     lower: pd.DataFrame | None = None
+    full = pd.DataFrame([unseen], index=[""], columns=languages)
     grams, contexts = {}, {}
     for n in range(1, order + 1):
         t = tables[n].copy()
@@ -147,27 +161,28 @@ def estimate(counts: pd.DataFrame, order: int) -> Model:
         by = t.groupby(["lang", "context"])["n"].agg(["sum", "size"]).reset_index().merge(discount, left_on="lang", right_index=True)
         by["weight"] = by["d"] * by["size"] / by["sum"]
         t = t.merge(by[["lang", "context", "sum", "d", "weight"]], on=["lang", "context"])
-        own = (t["n"] - t["d"]).clip(lower=1e-9) / t["sum"]
+        t["suffix"] = t["gram"].str.slice(1)
         if lower is None:
-            base = t["lang"].map(dict(zip(languages, 1.0 / alphabet)))
+            t["base"] = t["lang"].map(dict(zip(languages, 1.0 / alphabet)))
         else:
-            t["suffix"] = t["gram"].str.slice(1)
-            t = t.merge(lower.rename(columns={"gram": "suffix", "p": "base"}), on=["lang", "suffix"], how="left")
-            base = t["base"].fillna(1e-6)
-            own = (t["n"] - t["d"]).clip(lower=1e-9) / t["sum"]
-            contexts[n - 1] = _arrays(by.rename(columns={"context": "gram"}), "weight", languages, n - 1)
-        t["p"] = own + t["weight"] * base
+            t = t.merge(lower.rename(columns={"gram": "suffix", "p": "base"}), on=["lang", "suffix"])
+        t["p"] = (t["n"] - t["d"]).clip(lower=1e-9) / t["sum"] + t["weight"] * t["base"]
         lower = t[["lang", "gram", "p"]]
-        grams[n] = _arrays(lower, "p", languages, n)
+        wide = np.log(lower.pivot(index="gram", columns="lang", values="p").reindex(columns=languages))
+        weights = np.log(by.pivot(index="context", columns="lang", values="weight").reindex(columns=languages)).fillna(0.0)
+        back = weights.reindex(wide.index.str.slice(0, n - 1)).to_numpy() + full.reindex(wide.index.str.slice(1)).to_numpy()
+        full = wide.where(wide.notna(), back)
+        grams[n] = _arrays(full, n)
+        if n > 1:
+            contexts[n - 1] = _arrays(weights, n - 1)
     return Model(languages, order, unseen, grams, contexts)
 
 
-def _arrays(frame: pd.DataFrame, value: str, languages: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    wide = frame.pivot(index="gram", columns="lang", values=value).reindex(columns=languages)
-    codes = np.frombuffer("".join(wide.index).encode("utf-32-le"), "<u4").astype(np.uint64)
+def _arrays(values: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer("".join(values.index).encode("utf-32-le"), "<u4").astype(np.uint64)
     hashes = gram_hashes(codes, n)[n - 1 :: n]
     order = np.argsort(hashes)
-    return hashes[order], np.log(wide.to_numpy(np.float64)[order]).astype(np.float32)
+    return hashes[order], values.to_numpy(np.float32)[order]
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
@@ -203,6 +218,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             model.limits[model.languages.index(r.lang)] = r.q + slack
     sent.unpersist()
     model.known.clear()
+    model.scored = None
     return model
 
 
@@ -248,6 +264,13 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
 
 
+def keep_recognised(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that the models do not reject, with all columns as they are."""
+    names = df.columns
+    found = identify(df.select(*names, F.col(text_col).alias("__again")), model, text_col="__again", keep=names)
+    return found.where(~F.col("rejected")).select(names)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents whose lang nothing learns from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
