@@ -310,8 +310,8 @@ def similarity_links(docs: DataFrame, sets: DataFrame, named: DataFrame, n: int,
         if large:
             stars = materialize(_compare(_pivots(buckets), whole, threshold, True), "stars")
             found = found.unionByName(_linked(stars, threshold))
-            # Sets that a larger pivot holds almost whole: they can link without a token outside it.
-            within = stars.where((F.col("shared") >= threshold * F.col("nb") - 1e-9) & (F.col("na") > F.col("nb")))
+            # Sets that lie in the pivot almost whole: they can link without a token outside it.
+            within = stars.where(F.col("shared") >= threshold * F.col("nb") - 1e-9)
             x = within.select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("shared").alias("sx"))
             y = within.select(F.col("a").alias("a2"), F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("shared").alias("sy"))
             union = F.col("na") + F.col("nb") - F.col("shared")
@@ -358,6 +358,18 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     F.coalesce("component_id", "set_id", "doc_id").alias("component_id")))
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the document with the smallest id. Rows without words
+    and rows without an id all stay; rows that repeat an id and its text stay once."""
+    found = ngram_jaccard(df, id_col, text_col, n, threshold)
+    alone = (F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)
+    gone = materialize(found.groupBy("doc_id").agg(F.max(alone | (F.col("n_shingles") == 0)).alias("stays")).where("NOT stays")
+                       .select(F.col("doc_id").alias("__gone")), "near_duplicates")
+    kept = df.join(_small(gone, gone.count()), F.col(id_col) == F.col("__gone"), "left_anti")
+    again = not df.groupBy(id_col).count().where("count > 1").isEmpty()
+    return kept.dropDuplicates([id_col, text_col]) if again else kept
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, threshold=0.9)
     return out.select("doc_id", "n_shingles", "component_id", "set_id")
