@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 CYCLE = 1000
 BLOCK = 16
-RANGE_ROWS = 100_000
+RANGE_ROWS = 10_000
 
 
 def shares(weights: Mapping[str, float], cycle: int) -> dict[str, int]:

@@ -32,39 +32,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from hitlink.llm.common import documents, texts
+from hitlink.llm.common import texts
 from hitlink.session import materialize
 
 WINDOW, UNIT = 4096, 128
 END = (2).to_bytes(4, "little")  # the id after each document
 GROUP_WINDOWS = 64          # windows in a group of the greedy step
-SALT_ROWS = 200_000         # pieces that one numbering task gets, about
+SALT_ROWS = 10_000          # pieces that one numbering task gets, about
 WORDS_KEPT = 1_000_000      # words whose ids a worker remembers, some 200 MB
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row_key long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row_key long, part string, place long"
 
 
-class WordIds:
-    """Token ids by white-space separated word. The tokenizer drops white space and never joins across it, so a text's
-    ids are its words' ids in order; words come again and again, so each is tokenized once."""
+class WordIds(dict):
+    """Token ids by white-space separated word, as little-endian unsigned 32-bit bytes. The tokenizer drops white space and
+    never joins across it, so a text's ids are its words' ids in order; words come again and again, so each is tokenized
+    once."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.known: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids, the end id last."""
+        """The ids of a text, the end id last."""
+        if len(self) > WORDS_KEPT:
+            self.clear()
         # The tokenizer lower-cases; doing so first makes fewer different words. Not where a special token may stand.
         words = (text if b"<|" in text else text.lower()).split()
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded))
-        return b"".join(map(self.known.__getitem__, words)) + END
+        return b"".join(map(self.__getitem__, words)) + END
 
 
 @cache
@@ -80,23 +81,28 @@ def cut(n: int, window: int, unit: int) -> list[int]:
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-           unit: int = UNIT) -> DataFrame:
-    """A row per piece of every document; ``row_key`` is the same for the pieces of one row of the input only."""
+           unit: int = UNIT, order: tuple[str, str] | None = None) -> DataFrame:
+    """A row per piece of every document; ``row_key`` is the same for the pieces of one row of the input only. ``part`` and
+    ``place`` are the columns of ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts(batch.column(1))):
+            keys = zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)))
+            for (doc, key, part, place), text in zip(keys, texts(batch.column(1))):
                 ids, at = words.ids(text), 0
                 size = len(ids) // 4
                 for n in cut(size, window, unit):
-                    rows.append((doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), size, key))
+                    rows.append((doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), size, key, part, place))
                     at += n
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], names=names)
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key", "part", "place"]
+            kinds = [pa.int64()] * 6 + [pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=names)
 
-    rows = documents(df, id_col, text_col).withColumn("row_key", F.monotonically_increasing_id())
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                     F.monotonically_increasing_id().alias("row_key"), (F.col(order[0]) if order else F.lit(None)).cast("string").alias("part"),
+                     (F.col(order[1]) if order else F.lit(None)).cast("long").alias("place"))
     return rows.mapInArrow(run, PIECES)
 
 
@@ -204,10 +210,12 @@ def first_fit(lengths: list[int], window: int) -> list[int]:
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, unit: int = UNIT,
-         depth: int | None = None) -> DataFrame:
-    """Pieces of all documents with their sequence and their place in it."""
+         depth: int | None = None, order: tuple[str, str] | None = None) -> DataFrame:
+    """Pieces of all documents with their sequence and their place in it. ``order`` names two columns, a part (such as a
+    file) and the place in it: pieces of a length are then used in that order, so windows keep documents together that
+    follow each other; without it in an order by hash."""
     spark, units = df.sparkSession, window // unit
-    cuts = materialize(pieces(df, tokenizer, id_col, text_col, window, unit), "pieces")
+    cuts = materialize(pieces(df, tokenizer, id_col, text_col, window, unit, order), "pieces")
     main = cuts.where(F.col("length") % unit == 0).withColumn("units", (F.col("length") / unit).cast("int"))
     counts = {r.units: r.n for r in main.groupBy("units").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
@@ -215,11 +223,11 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     n_planned = sum(uses for _, uses in plan)
 
     salts = max(1, total // SALT_ROWS)
-    salt = F.pmod(F.xxhash64("row_key", "start"), F.lit(salts))
-    main = main.withColumn("salt", salt)
+    salt = F.col("part") if order else F.format_string("%012d", F.pmod(F.xxhash64("row_key", "start"), F.lit(salts)))
+    main = main.withColumn("salt", F.coalesce(salt, F.lit("")))
     sizes = main.groupBy("units", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("units", "salt", (F.sum("n").over(Window.partitionBy("units").orderBy("salt")) - F.col("n")).alias("before"))
-    number = F.row_number().over(Window.partitionBy("units", "salt").orderBy("doc_id", "row_key", "start")) - 1
+    number = F.row_number().over(Window.partitionBy("units", "salt").orderBy("place", "doc_id", "row_key", "start")) - 1
     numbered = main.withColumn("number", number).join(before, ["units", "salt"]).withColumn("number", F.col("number") + F.col("before"))
 
     kinds = "units int, first long, end long, times long, base long"
@@ -232,8 +240,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "number")
     planned = planned.withColumn("offset", F.sum("length").over(within) - F.col("length")).select(names)
 
-    rest = (held.where(F.col("u").isNull()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key")
-            .unionByName(cuts.where(F.col("length") % unit != 0)))
+    rest = held.where(F.col("u").isNull()).select(cuts.columns).unionByName(cuts.where(F.col("length") % unit != 0))
     spare = cuts.where(F.col("length") % unit != 0).agg(F.sum("length")).first()[0] or 0
     spare += sum((k * counts.get(k, 0) - sum(int(r[k - 1]) * u for r, u in plan) * k) * unit for k in counts)
     groups = max(1, round(spare / (window * GROUP_WINDOWS)))
