@@ -46,7 +46,7 @@ from hitlink.session import materialize
 
 SLICE = 0.15                    # of the token space whose frequencies are counted
 RARE, COMMON = 16, 256          # greatest frequencies of tokens indexed singly and in pairs
-SMALL = 16                      # sets in a bucket whose pairs are formed
+SMALL, SMALL_REST = 16, 128     # sets in a bucket whose pairs are formed: of the index, under a pivot
 BROADCAST_ENTRIES = 2_000_000   # of 8 to 16 bytes
 
 
@@ -202,22 +202,24 @@ def _needed(a, b, threshold: float):
     return F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def _pairs(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of small buckets, less those that share too few signatures for their sizes."""
-    rows = buckets.where(F.col("bucket") <= SMALL)
-    left = rows.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pure").alias("pa"), "band")
-    right = rows.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pure").alias("pb"))
-    found = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & _compatible("na", "nb", threshold))
+def _pairs(buckets: DataFrame, threshold: float, small: int) -> DataFrame:
+    """Pairs (a, b) of small buckets, less those known to be connected (of one label) and those that share too few signatures
+    for their sizes."""
+    rows = buckets.where(F.col("bucket") <= small)
+    left = rows.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pure").alias("pa"), "band", F.col("label").alias("la"))
+    right = rows.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pure").alias("pb"), F.col("label").alias("lb"))
+    found = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+                      & _compatible("na", "nb", threshold))
     counted = found.groupBy("a", "b", "na", "nb", "band").agg(F.count("*").alias("shared"), F.min(F.col("pa") & F.col("pb")).alias("pure"))
     most = F.greatest("na", "nb")
     enough = F.col("shared") >= _needed(F.col("na"), F.col("nb"), threshold) - F.ceil(threshold * most - 1e-9) + 1
     return counted.where(~F.col("pure") | enough).select("a", "b").distinct()
 
 
-def _pivots(buckets: DataFrame) -> DataFrame:
+def _pivots(buckets: DataFrame, small: int) -> DataFrame:
     """(a, b): the pivot of each large bucket with each other set in it. The pivot is the set that meets most others in
     large buckets, so buckets of one group of near copies have one pivot."""
-    large = buckets.where(F.col("bucket") > SMALL).select("sig", "id", "bucket")
+    large = buckets.where(F.col("bucket") > small).select("sig", "id", "bucket")
     weight = large.groupBy("id").agg(F.sum("bucket").alias("weight"))
     pivot = large.join(weight, "id").groupBy("sig").agg(F.max(F.struct("weight", F.negative("id").alias("i"))).alias("p"))
     return (large.join(pivot.select("sig", F.negative("p.i").alias("a")), "sig").where("a <> id")
@@ -247,8 +249,12 @@ def _compare(pairs: DataFrame, sets: DataFrame, threshold: float, with_rest: boo
                 names.append("rest")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y"))
+    n = pairs.count()
+    # Few pairs go to the sets, so that only the sets compared are shuffled.
+    x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")).join(_small(pairs, 2 * n), "a")
+    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    y = y.join(_small(pairs, 2 * n), "b") if 2 * n <= BROADCAST_ENTRIES else y
+    both = x.join(y, ["a", "b"] if 2 * n <= BROADCAST_ENTRIES else "b").select("a", "b", "x", "y")
     schema = "a long, b long, na long, nb long, shared long" + (", rest array<long>" if with_rest else "")
     return both.mapInArrow(run, schema)
 
@@ -299,41 +305,34 @@ def similarity_links(docs: DataFrame, sets: DataFrame, named: DataFrame, n: int,
         own = (sets.select("id", F.explode("head").alias("token")).join(frequent, "token")
                .groupBy("id").agg(F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes")))
         sets = sets.join(own, "id", "left")
-    buckets = _buckets(_signature_rows(sets, threshold, sent), "buckets")
-    met = buckets.select("id").distinct().join(named, "id").select("id", F.col("set_id").alias("doc_id"))
-    whole = _whole_sets(docs, met, n)
-    links: DataFrame | None = None
-    while True:
-        pairs = materialize(_pairs(buckets, threshold), "pairs")
-        found = _linked(_compare(pairs, whole, threshold, False), threshold)
-        large = not buckets.where(F.col("bucket") > SMALL).isEmpty()
-        if large:
-            stars = materialize(_compare(_pivots(buckets), whole, threshold, True), "stars")
-            found = found.unionByName(_linked(stars, threshold))
-            # Sets that lie in the pivot almost whole: they can link without a token outside it.
-            within = stars.where(F.col("shared") >= threshold * F.col("nb") - 1e-9)
-            x = within.select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("shared").alias("sx"))
-            y = within.select(F.col("a").alias("a2"), F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("shared").alias("sy"))
-            union = F.col("na") + F.col("nb") - F.col("shared")
-            lost = within.where(F.col("shared") < threshold * union - 1e-9).select("a", "b").distinct()
-            x = x.join(lost.withColumnRenamed("b", "x"), ["a", "x"])
-            inside = x.join(y, (F.col("a") == F.col("a2")) & (F.col("x") != F.col("y"))
-                            & (F.least("sx", "sy") >= _needed(F.col("nx"), F.col("ny"), threshold)))
-            inside = inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            found = found.unionByName(_linked(_compare(inside, whole, threshold, False), threshold))
-        found = materialize(found, "found_links")
-        links = found if links is None else links.unionByName(found)
-        if not large:
-            return links
-        label = components(links).select("id", "component")
-        label = materialize(label, "labels")
-        rest = (stars.select("a", F.col("b").alias("id"), F.col("nb").cast("int").alias("n"), F.explode("rest").alias("token"))
-                .select(F.xxhash64("a", "token").alias("sig"), "id", "n"))
-        rest = rest.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # Buckets within one component have nothing left to find.
-        open_ = rest.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-        rest = rest.join(open_, "sig").select("sig", "id", "n", F.lit(False).alias("pure"), F.lit(0).cast("byte").alias("band")).distinct()
-        buckets = _buckets(rest, "rest_buckets")
+    buckets = _buckets(_signature_rows(sets, threshold, sent).withColumn("label", F.col("id")), "buckets")
+    pairs, pivots = materialize(_pairs(buckets, threshold, SMALL), "pairs"), materialize(_pivots(buckets, SMALL), "pivots")
+    met = pairs.unionByName(pivots).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    whole = _whole_sets(docs, met.join(named, "id").select("id", F.col("set_id").alias("doc_id")), n)
+    links = materialize(_linked(_compare(pairs, whole, threshold, False), threshold), "small_links")
+    while not pivots.isEmpty():
+        stars = materialize(_compare(pivots, whole, threshold, True), "stars")
+        connected = F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9
+        stars = stars.withColumn("linked", connected)
+        # Sets that lie in the pivot almost whole can link without a token outside it.
+        within = stars.where(F.col("shared") >= threshold * F.col("nb") - 1e-9)
+        x = within.where("NOT linked").select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("shared").alias("sx"))
+        y = within.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("shared").alias("sy"))
+        inside = x.join(y, (F.col("p") == F.col("a")) & (F.col("x") != F.col("y"))
+                        & (F.least("sx", "sy") >= _needed(F.col("nx"), F.col("ny"), threshold)))
+        inside = inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        # Others share tokens outside it. Sets that link with the pivot are connected, and so have one label.
+        rest = (stars.select("a", F.col("b").alias("id"), F.col("nb").cast("int").alias("n"), F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("label"),
+                             F.explode("rest").alias("token"))
+                .select(F.xxhash64("a", "token").alias("sig"), "id", "n", F.lit(False).alias("pure"), F.lit(0).cast("byte").alias("band"), "label"))
+        rest = materialize(rest, "rest")
+        open_ = rest.groupBy("sig").agg(F.count("*").alias("bucket"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        buckets = materialize(rest.join(open_.select("sig", "bucket"), "sig"), "rest_buckets")
+        pairs = materialize(_pairs(buckets, threshold, SMALL_REST).unionByName(inside).distinct(), "pairs")
+        found = _linked(_compare(pairs, whole, threshold, False), threshold).unionByName(stars.where("linked").select("a", "b"))
+        links = links.unionByName(materialize(found, "links"))
+        pivots = materialize(_pivots(buckets, SMALL_REST), "pivots")
+    return links
 
 
 def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
