@@ -5,6 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -42,9 +46,28 @@ def get_session(master: str | None = None, app: str = "hitlink",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: worker functions are pickled by reference, so the workers
+    must be able to import it wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="hitlink-ship-")) / "hitlink.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def apply_sql_defaults(spark: SparkSession) -> None:
     for k, v in SQL_DEFAULTS.items():
         try:
@@ -57,13 +80,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` as the cluster configures it; only when it
-    is unset (local tests) fall back to a fresh scratch folder.
+    is unset and everything runs in one local JVM (tests) fall back to a fresh
+    scratch folder. On a cluster a folder of one machine would lose data, so an
+    unset folder is an error there.
     """
     d = spark.sparkContext.getCheckpointDir()
     if d:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors share (master {master})")
         conf = tempfile.mkdtemp(prefix="hitlink-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf
@@ -77,7 +105,30 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _CREATED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# Paths that materialize() wrote in this process and drop_tables() has not deleted.
+_CREATED: list[str] = []
+
+
+@contextmanager
+def recorded_tables() -> Iterator[list[str]]:
+    """The list fills, at the end of the block, with the paths that materialize() wrote inside it."""
+    before, paths = set(_CREATED), []
+    yield paths
+    paths.extend(p for p in _CREATED if p not in before)
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete materialized tables. Only their owner can say when: results that read them must have been consumed."""
+    jvm = spark.sparkContext._jvm
+    for path in list(paths):
+        if path in _CREATED:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _CREATED.remove(path)
 
 
 def spread(df, min_partitions: int | None = None):
