@@ -76,13 +76,21 @@ def feat_cut(wide: bool, word_boundary: bool, include_with: bool = True) -> str:
     """Pattern removing a featured-artist clause and everything after it.
 
     ``word_boundary=False`` reproduces the reference, whose ``\\s*`` prefix lets
-    ``ft`` match inside a word ("daft punk featuring x" -> "da").
+    ``ft`` match inside a word ("daft punk featuring x" -> "da"). Otherwise the
+    word stands at the start or after a character that is no word character; that
+    character, such as the bracket of "(feat. X)", goes too. Without
+    ``include_with`` a plain "with" stays ("stay with me") and a bracketed one is
+    still cut.
     """
     words = list(FEAT_WORDS_WIDE if wide else FEAT_WORDS)
-    if not include_with:
-        words.remove("with")
-    lead = f"(?:^|{S}+)" if word_boundary else f"{S}*"
-    return f"{lead}(?:{'|'.join(words)}){S}+{DOT}*{END}"
+    if not word_boundary:
+        if not include_with:
+            words.remove("with")
+        return f"{S}*(?:{'|'.join(words)}){S}+{DOT}*{END}"
+    if include_with:
+        return f"(?:^|[^{WORD_CHARS}])(?:{'|'.join(words)}){S}+{DOT}*{END}"
+    words.remove("with")
+    return f"(?:(?:^|[^{WORD_CHARS}])(?:{'|'.join(words)})|[(\\[]{S}*with){S}+{DOT}*{END}"
 
 
 BRACKET = f"{S}*[\\(\\[]{DOT}*?[\\)\\]]"

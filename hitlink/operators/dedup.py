@@ -1,9 +1,8 @@
 """Deduplication: keep the best row per key.
 
-``keep_best`` is an aggregate, not a window: ``min_by(struct(row), order)`` runs
-as a partial aggregate on every map task before the shuffle, so a key holding a
-third of all rows is reduced to one row per task before it moves. A
-``row_number`` window would instead send that whole key to one task.
+``keep_best`` is ``row_number() = 1`` per key. Spark plans a window group limit
+below the shuffle for it: each task keeps the first row of each of its keys, so a
+key holding a third of all rows moves as one row per task.
 
 Orders are total: callers pass a final tie-breaker so results do not depend on
 partitioning (the reference's single-key sorts are unstable).
@@ -15,7 +14,6 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 class Order:
@@ -46,27 +44,6 @@ def desc(c, nulls_last=True) -> Order:
     return Order(c, True, nulls_last)
 
 
-def _minimisable(order: Sequence[Order], df: DataFrame) -> Column | None:
-    """An ascending struct whose minimum is the first row in ``order``, or None
-    when a descending key is not numeric/boolean (then a window is used)."""
-    fields = []
-    for i, o in enumerate(order):
-        c = o.col
-        dtype = df.select(c).schema.fields[0].dataType
-        null_flag = c.isNull() if o.nulls_last else c.isNotNull()
-        if o.desc:
-            if isinstance(dtype, T.BooleanType):
-                v = ~c
-            elif isinstance(dtype, T.NumericType):
-                v = -c.cast("double") if not isinstance(dtype, T.DecimalType) else -c
-            else:
-                return None
-        else:
-            v = c
-        fields += [null_flag.alias(f"n{i}"), v.alias(f"v{i}")]
-    return F.struct(*fields)
-
-
 def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Order],
               isolate_empty: bool = False) -> DataFrame:
     """One row per ``keys``, the first in ``order``.
@@ -85,11 +62,8 @@ def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Order],
             empty = empty | F.col(k).isNull() | (F.col(k).cast("string") == "")
         df = df.withColumn("_iso", F.when(empty, F.monotonically_increasing_id()))
         group.append("_iso")
-    ordering = _minimisable(order, df)
-    if ordering is not None:
-        best = (df.groupBy(*group)
-                  .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), ordering).alias("_best")))
-        return best.select("_best.*")
+    # Spark keeps the first row of each key in every task before the shuffle (window group limit), so a hot key
+    # is reduced where it lies; the order holds for all types alike.
     w = Window.partitionBy(*group).orderBy(*[o.sort_col() for o in order])
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(*cols)
 

@@ -22,25 +22,34 @@ _B = "_smp_bucket"
 _H = "_smp_draw"
 
 
-def draw(key: str | Column, seed: int = 42) -> Column:
+def draw(key: str | Column, seed: int = 42, ties: Sequence[str] = ()) -> Column:
+    """A missing key draws by the tie-break columns, so such rows are spread too."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(k.cast("string"), F.lit(f"|{seed}")))
+    missing = F.concat_ws("|", F.lit("missing"), *[F.col(t).cast("string") for t in ties])
+    return F.md5(F.concat(F.coalesce(k.cast("string"), missing), F.lit(f"|{seed}")))
+
+
+def same_group(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Join on group columns where NULL is a group like any other; the left side's columns stay."""
+    r = right.select(*[F.col(c).alias(f"_g{j}") for j, c in enumerate(by)], *[c for c in right.columns if c not in by])
+    on = F.lit(True)
+    for j, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{j}"))
+    return left.join(r, on, how).drop(*[f"_g{j}" for j in range(len(by))])
 
 
 def exact_sample(df: DataFrame, n, key: str, seed: int = 42,
-                 by: Sequence[str] = (), tiebreak: Sequence[str] = (),
-                 small_groups: bool = True) -> DataFrame:
+                 by: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> DataFrame:
     """Per group of ``by`` (or overall), the ``n`` rows with the smallest draw;
     all rows of a group that has fewer (pandas ``sample(min(n, len))``).
 
     ``n`` is an int, or a Column holding a scalar (e.g. ``other.select(count).scalar()``).
-    ``small_groups`` says the number of groups is bounded (years, labels), so the
-    per-group cut-off table is broadcast; otherwise the join is left to AQE.
+    NULL keys and NULL groups are keys and groups like any other.
     """
     by = list(by)
     ties = [key] + [t for t in tiebreak if t != key]
     nval = F.lit(n) if isinstance(n, int) else n
-    d = df.withColumn(_H, draw(key, seed)).withColumn(_B, F.substring(_H, 1, 4))
+    d = df.withColumn(_H, draw(key, seed, tiebreak)).withColumn(_B, F.substring(_H, 1, 4))
     hist = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*by) if by else Window).orderBy(_B) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -54,17 +63,15 @@ def exact_sample(df: DataFrame, n, key: str, seed: int = 42,
                              F.col(_B)).alias("_c"))
                .select(*by, "_c._cut", "_c._need"))
     if by:
-        cut = F.broadcast(cut) if small_groups else cut
-        j = d.join(cut, on=by, how="left")
+        j = same_group(d, cut, by, "left")
     else:
         c = cut.select(F.struct("_cut", "_need")).scalar()
         j = d.withColumn("_cut", c.getField("_cut")).withColumn("_need", c.getField("_need"))
-    j = j.filter(F.col("_cut").isNull() | (F.col(_B) <= F.col("_cut")))
-    in_cut = F.col(_B) == F.col("_cut")
+    # Rows below the cut bucket pass straight through; only that bucket is shuffled and ranked.
+    below = j.filter(F.col("_cut").isNull() | (F.col(_B) < F.col("_cut")))
     rw = Window.partitionBy(*by, _B).orderBy(F.col(_H), *[F.col(t) for t in ties])
-    j = j.withColumn("_rk", F.when(in_cut, F.row_number().over(rw)))
-    keep = F.col("_cut").isNull() | (F.col(_B) < F.col("_cut")) | (F.col("_rk") <= F.col("_need"))
-    return j.filter(keep).drop(_H, _B, "_cut", "_need", "_rk")
+    at_cut = j.filter(F.col(_B) == F.col("_cut")).withColumn("_rk", F.row_number().over(rw)).filter(F.col("_rk") <= F.col("_need"))
+    return below.select(*df.columns).unionByName(at_cut.select(*df.columns))
 
 
 def exact_sample_strict(df: DataFrame, n: int, key: str, seed: int = 42,
@@ -93,7 +100,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     n_label = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     n_test = n_label.select(label, F.round(F.col("_n") * test_fraction).cast("long").alias("_k"))
     ranked = _rank_per_group(df, [label], key, seed)
-    j = ranked.join(F.broadcast(n_test), label)
+    j = same_group(ranked, n_test, [label], "inner")
     return j.withColumn(name, F.col("_r") <= F.col("_k")).drop("_r", "_k")
 
 
@@ -110,11 +117,11 @@ def _rank_per_group(df: DataFrame, by: Sequence[str], key: str, seed: int) -> Da
     from a running sum over at most 65,536 counts per group, and only the rows of
     one bucket share a window."""
     by = list(by)
-    d = df.withColumn(_H, draw(key, seed)).withColumn(_B, F.substring(_H, 1, 4))
+    d = df.withColumn(_H, draw(key, seed, by)).withColumn(_B, F.substring(_H, 1, 4))
     hist = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_cnt"))
     # At most 65,536 bucket counts per group feed this running sum.
     w = (Window.partitionBy(*by) if by else Window).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offs = hist.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
-    j = d.join(offs, on=by + [_B], how="inner")
+    j = same_group(d, offs, by + [_B], "inner")
     rw = Window.partitionBy(*by, _B).orderBy(F.col(_H), F.col(key))
     return j.withColumn("_r", F.col("_off") + F.row_number().over(rw)).drop(_H, _B, "_off")

@@ -6,8 +6,9 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .linkage import anti_join, key_union  # noqa: F401  (O4 lives with the joins)
+from .linkage import key_union  # noqa: F401  (O4 lives with the joins)
 
 
 def union_aligned(*frames: DataFrame) -> DataFrame:
@@ -28,5 +29,16 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 def append_new(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """O3: append only the batch rows whose key is not already present, so a
-    replayed batch changes nothing (the reference appends old matches again, D9)."""
-    return existing.unionByName(anti_join(batch, existing, list(keys), list(keys)))
+    replayed batch changes nothing (the reference appends old matches again, D9).
+    Keys are identities: a missing part equals a missing part. A key comes once
+    out of a batch."""
+    return existing.unionByName(not_present(batch, existing, keys).dropDuplicates(list(keys)))
+
+
+def not_present(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key ``done`` does not hold; NULL equals NULL."""
+    seen = done.select(*[F.col(k).alias(f"_seen{j}") for j, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for j, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_seen{j}"))
+    return rows.join(seen, same, "left_anti")

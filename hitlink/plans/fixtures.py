@@ -105,8 +105,10 @@ def yearend_chart_exprs() -> list[str]:
              "WHEN 4 THEN p_name || '!!' "
              "WHEN 5 THEN p_name || '... |' "
              "WHEN 6 THEN '“' || p_name || '”' "
+             "WHEN 7 THEN p_name || ' (feat. Guest)' "
              "ELSE p_name END")
-    artist = ("CASE l_linenumber % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ' featuring ' || p_type "
+    artist = ("CASE l_linenumber % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || CASE WHEN l_partkey % 2 = 0 "
+              "THEN ' featuring ' || p_type ELSE ' [ft. ' || p_type || ']' END "
               "WHEN 2 THEN p_brand || ' & ' || p_type ELSE p_brand || ', ' || p_type || ' and Band' END")
     return [
         "CAST(1990 + l_orderkey % 30 AS INT) AS year",

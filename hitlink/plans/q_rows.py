@@ -260,10 +260,16 @@ def set_o5(spark, sf_dir):
 
 
 @register("pipe_c1_clean_chart",
-          f"SELECT year, rank, title, artist, title_clean, artist_clean, primary_artist FROM {sql_c1()} "
-          "WHERE year >= 1995")
+          f"SELECT year, rank, title, artist, title_clean, artist_clean, primary_artist FROM {sql_c1()}")
 def pipe_c1(spark, sf_dir):
-    """C1 with the optional year range of the sampler (P16: start 1995, no end)."""
-    c = clean_chart(FX.yearend_chart(spark, sf_dir))
-    return c.filter(PC.optional_range("year", 1995, 0)).select(
+    """C1 over the whole chart."""
+    return clean_chart(FX.yearend_chart(spark, sf_dir)).select(
         "year", "rank", "title", "artist", "title_clean", "artist_clean", "primary_artist")
+
+
+@register("proj_p16_optional_range",
+          f"SELECT year, rank, title, artist FROM {sql_c1()} WHERE year >= 1995")
+def proj_p16(spark, sf_dir):
+    """The optional year range of the sampler (start 1995, no end)."""
+    c = clean_chart(FX.yearend_chart(spark, sf_dir))
+    return c.filter(PC.optional_range("year", 1995, 0)).select("year", "rank", "title", "artist")

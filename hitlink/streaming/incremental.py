@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.linkage import anti_join
+from ..operators.setops import not_present
 from ..session import checkpoint_dir
 
 
@@ -25,22 +25,22 @@ def pending(todo: DataFrame, outputs: Sequence[DataFrame], keys: Sequence[str])
     """Rows of ``todo`` whose key is in none of the earlier outputs."""
     out = todo
     for o in outputs:
-        out = anti_join(out, o, list(keys), list(keys))
+        out = not_present(out, o, keys)
     return out
 
 
 def pending_groups(todo: DataFrame, output: DataFrame, group: str) -> DataFrame:
     """Skip whole groups (e.g. years) already present in the output."""
     done = output.select(group).distinct()
-    return anti_join(todo, done, [group], [group])
+    return not_present(todo, done, [group])
 
 
 def append_new_keys(spark: SparkSession, batch: DataFrame, sink: str, keys: Sequence[str]) -> None:
     """Append the rows whose key the sink does not hold yet (idempotent)."""
     from ..sources.io import path_exists
-    new = batch
+    new = batch.dropDuplicates(list(keys))
     if path_exists(spark, sink):
-        new = anti_join(batch, spark.read.parquet(sink), list(keys), list(keys))
+        new = not_present(new, spark.read.parquet(sink), keys)
     new.write.mode("append").parquet(sink)
 
 

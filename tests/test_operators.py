@@ -146,3 +146,39 @@ def test_group_median_impute(spark):
     # 2002 exists with an all-NULL column and stays NULL.
     assert got[3] == (2.0, True) and got[4] == (2.0, True) and got[5] == (2.0, True)
     assert got[7] == (None, True) and got[1] == (1.0, False)
+
+
+def _rows_with_missing(spark):
+    return spark.createDataFrame([(None if k % 10 < 3 else k, None if k % 2 else "a", k) for k in range(100)], "key long, label string, row long")
+
+
+def test_samples_are_exact_with_missing_keys_and_groups(spark):
+    df = _rows_with_missing(spark)
+    assert SM.exact_sample(df, 50, "key", tiebreak=["row"]).count() == 50
+    got = {r.label: r["count"] for r in SM.exact_sample(df, 5, "key", by=["label"], tiebreak=["row"]).groupBy("label").count().collect()}
+    assert got == {None: 5, "a": 5}
+
+
+def test_splits_and_folds_keep_rows_with_missing_keys_and_labels(spark):
+    df = _rows_with_missing(spark)
+    split = SM.stratified_split(df, "label", "row")
+    assert split.count() == 100 and split.where("is_test").groupBy("label").count().where("count = 10").count() == 2
+    assert SM.fold_column(df, "label", "key").count() == 100
+    assert sorted(r.pos for r in SM.shuffle_positions(df, "key").collect()) == list(range(1, 101))
+
+
+def test_append_and_pending_are_idempotent_with_a_missing_key_part(spark, tmp_path):
+    from hitlink.operators.setops import append_new
+    from hitlink.streaming.incremental import append_new_keys, pending
+    batch = spark.createDataFrame([(1, None, "x"), (1, None, "y"), (2, 5, "z")], "year int, rank int, v string")
+    once = append_new(batch.limit(0), batch, ["year", "rank"])
+    assert once.count() == 2 and append_new(once, batch, ["year", "rank"]).count() == 2
+    assert pending(batch, [once], ["year", "rank"]).count() == 0
+    for _ in range(2):
+        append_new_keys(spark, batch, str(tmp_path / "sink"), ["year", "rank"])
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 2
+
+
+def test_keep_best_orders_large_integers_exactly(spark):
+    df = spark.createDataFrame([("k", 2**53, "low"), ("k", 2**53 + 1, "high")], "k string, n long, v string")
+    assert [r.v for r in U.keep_best(df, ["k"], [U.desc("n")]).collect()] == ["high"]

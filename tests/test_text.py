@@ -87,3 +87,13 @@ def test_identity_key_canonical_numbers(spark):
     df = spark.createDataFrame([("21.0", "5", " T ", None, "Ann", None)], "y string, r string, tc string, t string, pa string, a string")
     k = df.select(TX.identity_key("y", "r", "tc", "t", "pa", "a").alias("k")).first().k
     assert (k.k_year, k.k_rank, k.k_title, k.k_artist) == ("21", "5", "t", "ann")
+
+
+@pytest.mark.parametrize("text,title_key,lead", [
+    ("Umbrella (feat. Jay-Z)", "umbrella", "umbrella"), ("Umbrella [ft. Jay-Z]", "umbrella", "umbrella"),
+    ("Umbrella (with Jay-Z)", "umbrella", "umbrella"), ("x ft. y", "x", "x"), ("soft kiss", "soft kiss", "soft kiss"),
+    ("stay with me", "stay with me", "stay"), ("Daft Punk featuring X", "daft punk", "daft punk"), ("feature film", "feature film", "feature film")])
+def test_featuring_clause_literal_values(spark, text, title_key, lead):
+    row = spark.createDataFrame([(text,)], "t string").select(
+        TX.norm("t", role="title").alias("key"), F.lower(TX.lead_artist("t")).alias("lead"), TX.lead_artist_v2("t").alias("lead2")).first()
+    assert (row.key, row.lead, row.lead2) == (title_key, lead, lead)
