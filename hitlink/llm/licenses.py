@@ -77,7 +77,7 @@ def license_scan(df: DataFrame, known: list[tuple[str, str]] | None = None, id_c
     docs = documents(df, id_col, text_col).select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canonical"))
     whole = docs.groupBy("doc_id").agg(F.max(digest(one_line(F.col("canonical")))).alias("digest"))
     blocks = F.split(F.col("canonical"), BLANK_LINES)
-    units = F.concat(F.filter(blocks, lambda b: F.instr(F.trim(b), "\n") > 0), F.split(F.col("canonical"), "\n"))
+    units = F.concat(F.filter(blocks, lambda b: F.instr(F.btrim(b, F.lit(" \n")), "\n") > 0), F.split(F.col("canonical"), "\n"))
     found = (docs.select("doc_id", F.explode(units).alias("unit"))
              .select("doc_id", digest(one_line(F.col("unit"))).alias("digest")).join(names, "digest")
              .groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices")))
@@ -105,7 +105,7 @@ WITH known AS (SELECT sha256({line(canon('t'))}) AS digest, min(license) AS lice
 docs AS (SELECT doc_id, {canon("coalesce(text, '')")} AS c FROM documents),
 whole AS (SELECT doc_id, CASE WHEN {line('c')} <> '' THEN sha256({line('c')}) END AS digest FROM docs),
 units AS (
-  SELECT doc_id, unnest(list_concat(list_filter(string_split_regex(c, '\\n[ \\n]*\\n'), lambda x: contains(trim(x), chr(10))),
+  SELECT doc_id, unnest(list_concat(list_filter(string_split_regex(c, '\\n[ \\n]*\\n'), lambda x: contains(trim(x, ' ' || chr(10)), chr(10))),
                                     string_split(c, chr(10)))) AS unit FROM docs),
 found AS (
   SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
