@@ -69,3 +69,4 @@ from . import q_stats  # noqa: E402,F401
 from . import q_rank  # noqa: E402,F401
 from . import q_ml  # noqa: E402,F401
 from . import q_src  # noqa: E402,F401
+from . import q_csv  # noqa: E402,F401

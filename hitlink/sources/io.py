@@ -77,8 +77,10 @@ def next_version(base: str, version: int) -> str:
     return f"{base.rstrip('/')}/v{version + 1}"
 
 
-EXACT_HEADER_ALIASES = {"song": "title", "single": "title", "track": "title", "performer": "artist",
-                        "artist(s)": "artist", "no.": "rank", "position": "rank"}
+# Header names (in lower case, stripped) and the columns they stand for.
+EXACT_HEADER_ALIASES = {"title": "title", "song": "title", "song_title": "title", "single": "title",
+                        "title_clean": "title_clean", "artist": "artist", "artist_name": "artist",
+                        "primary_artist": "primary_artist", "year": "year", "rank": "rank"}
 
 
 def rename_exact(df: DataFrame, aliases: dict | None = None) -> DataFrame:
