@@ -10,6 +10,7 @@ from ..operators import dedup as U
 from ..operators import linkage as L
 from ..operators import setops as O
 from ..sources import html_tables as HT
+from ..session import materialize
 from ..sources import records as RC
 from ..streaming import incremental as INC
 from . import cascade as CS
@@ -33,9 +34,9 @@ def src_s7_counts(spark, sf_dir):
     """Tables found per page, and chart rows extracted (the stored pages carry no
     ``<table>``: every page takes the zero-table branch)."""
     pages = FX.table(spark, sf_dir, "pages")
-    rows = HT.table_rows(pages)
+    rows = materialize(HT.table_rows(pages), "table_rows")
     n_tables = rows.groupBy("page_id").agg(F.countDistinct("table_no").alias("n_tables"))
-    chart = HT.chart_rows(pages).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_chart_rows"))
+    chart = HT.chart_rows(pages, rows=rows).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_chart_rows"))
     return (pages.select("page_id").join(n_tables, "page_id", "left").join(chart, "page_id", "left")
                  .select("page_id", F.coalesce("n_tables", F.lit(0)).cast("long").alias("n_tables"),
                          F.coalesce("n_chart_rows", F.lit(0)).cast("long").alias("n_chart_rows")))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 ROW_SCHEMA = ("page_id long, table_no int, is_wikitable boolean, row_no int, is_header boolean, "
               "cells array<string>")
 
@@ -31,63 +33,130 @@ MIN_ROWS = 50
 # ---------------------------------------------------------------------------------
 
 
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534  # the limits of the HTML standard
+
+
+class _Table:
+    """An open table: its open row and cell, and the cells that reach down from earlier rows."""
+
+    def __init__(self, number: int, wiki: bool):
+        self.number, self.wiki = number, wiki
+        self.n_rows = 0
+        self.row: list[tuple[str, int, int]] | None = None
+        self.header = True
+        self.cell: list[str] | None = None
+        self.spans = (1, 1)
+        self.hanging: dict[int, tuple[str, int]] = {}  # column -> text, rows left
+
+    def end_cell(self) -> None:
+        if self.cell is not None and self.row is not None:
+            self.row.append((" ".join("".join(self.cell).split()), *self.spans))
+        self.cell = None
+
+    def end_row(self) -> tuple | None:
+        """The row with its spans spread over the columns they cover."""
+        self.end_cell()
+        row, self.row = self.row, None
+        if not row:
+            return None
+        out: list[str] = []
+        below: dict[int, tuple[str, int]] = {}
+        todo = list(reversed(row))
+        while todo or any(c >= len(out) for c in self.hanging):
+            at = len(out)
+            if at in self.hanging:
+                text, left = self.hanging[at]
+                out.append(text)
+                if left > 1:
+                    below[at] = (text, left - 1)
+            elif todo:
+                text, wide, high = todo.pop()
+                for _ in range(wide):
+                    if high > 1:
+                        below[len(out)] = (text, high - 1)
+                    out.append(text)
+            else:
+                out.append("")
+        self.hanging = below
+        self.n_rows += 1
+        return self.number, self.wiki, self.n_rows - 1, self.header, out
+
+
+def _span(attrs: dict, name: str, most: int) -> int:
+    value = (attrs.get(name) or "").strip()
+    return min(max(int(value), 1), most) if value.isdecimal() else 1
+
+
 class _Tables(HTMLParser):
+    """Rows of all tables of a page. Each open table keeps its own row and cell, so a nested table leaves the outer row as it
+    is; a new cell, row or the end of the table closes what is open, as the end tags are optional."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows = []          # (table_no, is_wikitable, row_no, is_header, cells)
-        self._stack = []        # open tables: [table_no, is_wikitable, row_count]
+        self._stack: list[_Table] = []
         self._n = 0
-        self._row = None
-        self._cell = None
-        self._header_row = False
+
+    def _end_row(self, table: _Table) -> None:
+        row = table.end_row()
+        if row:
+            self.rows.append(row)
 
     def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
         if tag == "table":
-            cls = dict(attrs).get("class") or ""
-            self._stack.append([self._n, "wikitable" in cls.split(), 0])
+            self._stack.append(_Table(self._n, "wikitable" in (attrs.get("class") or "").split()))
             self._n += 1
-        elif not self._stack:
             return
-        elif tag == "tr":
-            self._row, self._header_row = [], True
-        elif tag in ("td", "th") and self._row is not None:
-            self._cell = []
-            if tag == "td":
-                self._header_row = False
-        elif tag == "br" and self._cell is not None:
-            self._cell.append(" ")
+        if not self._stack:
+            return
+        table = self._stack[-1]
+        if tag in ("tr", "thead", "tbody", "tfoot"):
+            self._end_row(table)
+            if tag == "tr":
+                table.row, table.header = [], True
+        elif tag in ("td", "th"):
+            table.end_cell()
+            if table.row is None:
+                table.row, table.header = [], True
+            table.cell = []
+            table.spans = _span(attrs, "colspan", MAX_COLSPAN), _span(attrs, "rowspan", MAX_ROWSPAN)
+            table.header &= tag == "th"
+        elif tag == "br" and table.cell is not None:
+            table.cell.append(" ")
 
     def handle_endtag(self, tag):
         if not self._stack:
             return
-        if tag in ("td", "th") and self._cell is not None and self._row is not None:
-            self._row.append(" ".join("".join(self._cell).split()))
-            self._cell = None
-        elif tag == "tr" and self._row is not None:
-            t = self._stack[-1]
-            if self._row:
-                self.rows.append((t[0], t[1], t[2], self._header_row, self._row))
-                t[2] += 1
-            self._row = None
+        table = self._stack[-1]
+        if tag in ("td", "th"):
+            table.end_cell()
+        elif tag in ("tr", "thead", "tbody", "tfoot"):
+            self._end_row(table)
         elif tag == "table":
+            self._end_row(table)
             self._stack.pop()
 
     def handle_data(self, data):
-        if self._cell is not None:
-            self._cell.append(data)
+        if self._stack and self._stack[-1].cell is not None:
+            self._stack[-1].cell.append(data)
+
+    def close(self):
+        super().close()
+        while self._stack:  # tables that the page never closes
+            self._end_row(self._stack.pop())
+
+
+def page_tables(html: str | None) -> list[tuple]:
+    parser = _Tables()
+    parser.feed(html or "")
+    parser.close()
+    return parser.rows
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for pid, html in zip(pdf["page_id"], pdf["html"]):
-            p = _Tables()
-            try:
-                p.feed(html or "")
-                p.close()
-            except Exception:  # malformed markup: keep what was parsed
-                pass
-            out += [(int(pid), t, w, r, h, c) for t, w, r, h, c in p.rows]
+        out = [(int(pid), *row) for pid, html in zip(pdf["page_id"], pdf["html"]) for row in page_tables(html)]
         yield pd.DataFrame(out, columns=["page_id", "table_no", "is_wikitable", "row_no", "is_header", "cells"])
 
 
@@ -139,11 +208,11 @@ def _re_escape(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
 
 
-def chart_rows(pages: DataFrame, year_col: str = "page_id") -> DataFrame:
-    """The chosen table of each page as (page_id, rank, title, artist);
-    pages without rank, title and artist columns are skipped; ranks coerced and
-    non-numeric ranks dropped."""
-    rows = table_rows(pages)
+def chart_rows(pages: DataFrame, year_col: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """The chosen table of each page as (page_id, row_no, rank, title, artist), and ``year`` where ``year_col``
+    names the pages' year; pages without rank, title and artist columns are skipped; ranks coerced and non-numeric ranks
+    dropped. Pages are parsed once; ``rows`` are those of ``table_rows`` if they have been written already."""
+    rows = materialize(table_rows(pages), "table_rows") if rows is None else rows
     chosen = rows.join(choose_tables(rows), ["page_id", "table_no"])
     head = chosen.filter("is_header").groupBy("page_id", "table_no").agg(F.min_by("cells", "row_no").alias("hdr"))
     body = chosen.filter(~F.col("is_header")).join(head, ["page_id", "table_no"])
@@ -159,4 +228,7 @@ def chart_rows(pages: DataFrame, year_col: str = "page_id") -> DataFrame:
                    F.array_position("canon", "title").alias("_t"), F.array_position("canon", "artist").alias("_a"))
     out = out.filter((F.col("_r") > 0) & (F.col("_t") > 0) & (F.col("_a") > 0))
     out = out.withColumn("rank", F.col("rank_raw").try_cast("double").try_cast("int")).filter(F.col("rank").isNotNull())
-    return out.select("page_id", "row_no", "rank", "title", "artist")
+    out = out.select("page_id", "row_no", "rank", "title", "artist")
+    if year_col is None:
+        return out
+    return out.join(pages.select("page_id", F.col(year_col).cast("int").alias("year")), "page_id")

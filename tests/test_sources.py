@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from hitlink.sources import html_tables as HT
@@ -78,3 +79,21 @@ def test_streaming_incremental_is_idempotent(spark):
     # A replayed batch adds nothing.
     INC.append_new_keys(spark, spark.createDataFrame([(3, "c")], "k int, v string"), sink, ["k"])
     assert spark.read.parquet(sink).count() == 3
+
+
+@pytest.mark.parametrize("html,rows", [
+    ("<table><tr><th>No.<th>Title<tr><td>1<td>A <b>b</b><tr><td>2<td>C</table>", [["No.", "Title"], ["1", "A b"], ["2", "C"]]),
+    ("<table><tr><td>1<table><tr><td>in</table></td><td>x</td></tr></table>", [["in"], ["1", "x"]]),
+    ("<table><tr><td rowspan=2>1</td><td>a</td></tr><tr><td>b</td></tr><tr><td colspan=2>c</td></tr></table>", [["1", "a"], ["1", "b"], ["c", "c"]]),
+    ("<table><tr><td>a</td><td rowspan='3'>z<tr><td>b<tr><td>c", [["a", "z"], ["b", "z"], ["c", "z"]]),
+    ("<p>none</p>", []), (None, [])])
+def test_tables_with_nesting_spans_and_implied_ends(html, rows):
+    assert [r[4] for r in HT.page_tables(html)] == rows
+
+
+def test_chart_rows_with_a_year(spark):
+    body = "".join(f"<tr><td>{k}<td>Song {k}<td>Artist {k}" for k in range(1, 61))
+    page = f"<table class=nav><tr><td>x</table><table class='wikitable sortable'><tr><th>No.<th>Title<th>Artist{body}</table>"
+    pages = spark.createDataFrame([(7, page, 1999)], "page_id long, html string, y int")
+    out = HT.chart_rows(pages, "y").collect()
+    assert len(out) == 60 and {r.year for r in out} == {1999} and ("Song 3", "Artist 3") in {(r.title, r.artist) for r in out}
