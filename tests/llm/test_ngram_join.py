@@ -98,7 +98,7 @@ def test_prefixes_of_linked_sets_share_a_signature():
             continue
         sigs = []
         for s in (x, y):
-            kinds = np.where(s >= np.uint64(int(ngram_join.SLICE * 2**64)), 4, 1 + (s >> np.uint64(3)) % np.uint64(3)).astype(np.int8)
+            kinds = np.where(s >= np.uint64(ngram_join.counted_below(0.9)), 4, 1 + (s >> np.uint64(3)) % np.uint64(3)).astype(np.int8)
             head = s[: max(int((kinds < 4).sum()), ngram_join.longest_prefix(len(s), 0.9))]
             parts, _ = ngram_join.signatures(len(s), head, kinds[: len(head)], 0.9)
             sigs.append(set(np.concatenate(parts).tolist()))
