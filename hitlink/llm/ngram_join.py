@@ -11,14 +11,15 @@ band is indexed in both bands.
 
 The order. Frequencies are counted, over all distinct sets, for the tokens of a hash slice of the token space
 (``SLICE``), which come first in the order; prefixes seldom reach beyond it. Those that do go on with the other tokens
-by hash, in combinations of 3. Any order gives the same links; this one keeps the index to a tenth of the tokens.
+by hash, in combinations of 3. Any order gives the same links; this one keeps the work to a slice of the tokens.
 
 Verification. Signatures that only one set has vanish. In buckets of at most ``RARE`` sets pairs are formed, and those
 whose number of shared signatures is too small for their sizes are dropped (prefixes of single tokens only). In larger
 buckets no pairs are formed: one set, the pivot, is compared with all others, which gives x & pivot exactly. If neither x
-nor y holds too much of the pivot, they can only link by sharing tokens outside it, so prefixes of x - pivot are indexed
-under the pivot as a new, much thinner bucket, and so on until no large bucket is left. Pairs within one component need no
-comparing. Every comparison is of whole sets.
+nor y holds too much of the pivot, they can only link by sharing tokens outside it, so the tokens of x - pivot are counted
+under the pivot; tokens of one set alone and sets with too few others go, and what is left forms new, much thinner
+buckets, and so on until no large bucket is left. Sets that link with one pivot need no comparing. Every comparison is of
+whole sets.
 
 At scale: copies (equal sets) are one set throughout. All grouping is by hashes with partial counts; lists of frequent
 tokens, repeated signatures and wanted ids are broadcast up to a stated number of entries and joined beyond it.
@@ -44,7 +45,7 @@ from hitlink.llm.common import documents, lists, mix, signed, texts, word_hashes
 from hitlink.llm.components import components
 from hitlink.session import materialize
 
-SLICE = 0.15                    # of the token space whose frequencies are counted
+SLICE = 1.5                     # share of the token space whose frequencies are counted, in units of 1 - threshold
 RARE, COMMON = 16, 256          # greatest frequencies of tokens indexed singly and in pairs
 SMALL, SMALL_REST = 16, 128     # sets in a bucket whose pairs are formed: of the index, under a pivot
 BROADCAST_ENTRIES = 2_000_000   # of 8 to 16 bytes
@@ -69,6 +70,11 @@ def set_digest(tokens: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
 
 
+def counted_below(threshold: float) -> int:
+    """Tokens under this hash are counted: somewhat more than a prefix of single tokens has."""
+    return min(int(SLICE * (1 - threshold) * 2**64), 2**64 - 1)
+
+
 def least_shared(n: int, threshold: float) -> int:
     """Tokens that a set of n shares with any partner, at least."""
     return math.ceil(threshold * n - 1e-9)
@@ -121,7 +127,7 @@ def signatures(n: int, head: np.ndarray, kinds: np.ndarray, threshold: float) ->
 
 def _heads(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(doc_id, row, n_shingles, id, head): size and digest of each set (null if empty) and its first tokens by hash."""
-    limit = np.uint64(int(SLICE * 2**64))
+    limit = np.uint64(counted_below(threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +146,9 @@ def _heads(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, id long, head array<long>")
 
 
-def _kinds(head: np.ndarray, frequent: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def _kinds(head: np.ndarray, frequent: np.ndarray, classes: np.ndarray, limit: int) -> np.ndarray:
     kinds = np.ones(len(head), np.int8)
-    kinds[head >= np.uint64(int(SLICE * 2**64))] = 4
+    kinds[head >= np.uint64(limit)] = 4
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, head), len(frequent) - 1)
         kinds = np.where(frequent[at] == head, classes[at], kinds)
@@ -165,7 +171,7 @@ def _signature_rows(sets: DataFrame, threshold: float, sent) -> DataFrame:
                     frequent = np.array(columns["tokens"][k] or [], np.int64).view(np.uint64)
                     order = np.argsort(frequent)
                     frequent, classes = frequent[order], np.array(columns["classes"][k] or [], np.int8)[order]
-                found, single = signatures(n, head, _kinds(head, frequent, classes), threshold)
+                found, single = signatures(n, head, _kinds(head, frequent, classes, counted_below(threshold)), threshold)
                 for b, part in zip(sorted(bands(n, threshold)), found):
                     part = np.unique(part)
                     rows.append(part)
@@ -216,6 +222,31 @@ def _pairs(buckets: DataFrame, threshold: float, small: int) -> DataFrame:
     return counted.where(~F.col("pure") | enough).select("a", "b").distinct()
 
 
+def _thinned(rest: DataFrame, threshold: float) -> DataFrame:
+    """Rows of ``rest`` (p, id, n, inside, label, sig) whose token sets of another label share, of the sets that have enough of
+    them: a partner of x shares at least t |x| tokens with it, of which the pivot accounts for ``inside`` at most."""
+    rest = rest.drop("bucket")
+    open_ = rest.groupBy("sig").agg(F.count("*").alias("bucket"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    rest = rest.join(open_.select("sig", "bucket"), "sig")
+    enough = rest.groupBy("p", "id").agg(F.count("*").alias("tokens"), F.first("n").alias("n"), F.first("inside").alias("inside"))
+    enough = enough.where(F.col("tokens") >= F.ceil(threshold * F.col("n") - 1e-9) - F.col("inside")).select("p", "id")
+    return rest.join(enough, ["p", "id"], "left_semi")
+
+
+def _rest_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of small buckets under a pivot, less those whose shared tokens outside it, with all that they can share inside it
+    and in large buckets, are too few."""
+    large = buckets.where(F.col("bucket") > SMALL_REST).groupBy("p", "id").agg(F.count("*").alias("large"))
+    rows = (buckets.where(F.col("bucket") <= SMALL_REST).join(large, ["p", "id"], "left")
+            .withColumn("most", F.struct(F.coalesce("large", F.lit(0)).alias("large"), "inside")))
+    left = rows.select("sig", "p", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("most").alias("ma"))
+    right = rows.select(F.col("sig").alias("sig2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("most").alias("mb"))
+    found = left.join(right, (F.col("sig") == F.col("sig2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _compatible("na", "nb", threshold))
+    counted = found.groupBy("p", "a", "b", "na", "nb", "ma", "mb").agg(F.count("*").alias("shared"))
+    possible = F.col("shared") + F.least("ma.large", "mb.large") + F.least("ma.inside", "mb.inside")
+    return counted.where(possible >= _needed(F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
+
+
 def _pivots(buckets: DataFrame, small: int) -> DataFrame:
     """(a, b): the pivot of each large bucket with each other set in it. The pivot is the set that meets most others in
     large buckets, so buckets of one group of near copies have one pivot."""
@@ -227,7 +258,7 @@ def _pivots(buckets: DataFrame, small: int) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, threshold: float, with_rest: bool) -> DataFrame:
-    """(a, b, na, nb, shared, rest): exact sizes of intersections; ``rest`` the prefix of the tokens of b outside a."""
+    """(a, b, na, nb, shared, rest): exact sizes of intersections; ``rest`` the tokens of b outside a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,8 +271,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, threshold: float, with_rest: boo
                 na.append(len(x))
                 nb.append(len(y))
                 if with_rest:
-                    rest = y[~common]
-                    rests.append(rest[: max(0, len(rest) - max(1, least_shared(len(y), threshold) - shared[-1]) + 1)])
+                    rests.append(y[~common])
             columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (na, nb, shared))]
             names = ["a", "b", "na", "nb", "shared"]
             if with_rest:
@@ -290,9 +320,10 @@ def similarity_links(docs: DataFrame, sets: DataFrame, named: DataFrame, n: int,
     doc_id of a text, for each."""
     spark = docs.sparkSession
     sets = sets.select("id", F.col("n_shingles").cast("int").alias("n"), "head")
-    limit = int(SLICE * 2**64)
-    cut = limit - (1 << 64) if limit >= 1 << 63 else limit
-    counted = (sets.select(F.explode("head").alias("token")).where((F.col("token") >= 0) & (F.col("token") < cut))
+    # Tokens are unsigned and stored as signed longs.
+    below, token = counted_below(threshold), F.col("token")
+    counted_token = (token >= 0) & (token < below) if below < 1 << 63 else (token >= 0) | (token < below - (1 << 64))
+    counted = (sets.select(F.explode("head").alias("token")).where(counted_token)
                .groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") > RARE))
     frequent = materialize(counted.select("token", F.when(F.col("times") <= COMMON, 2).otherwise(3).cast("byte").alias("class")), "frequent")
     if frequent.count() <= BROADCAST_ENTRIES:
@@ -322,13 +353,13 @@ def similarity_links(docs: DataFrame, sets: DataFrame, named: DataFrame, n: int,
                         & (F.least("sx", "sy") >= _needed(F.col("nx"), F.col("ny"), threshold)))
         inside = inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         # Others share tokens outside it. Sets that link with the pivot are connected, and so have one label.
-        rest = (stars.select("a", F.col("b").alias("id"), F.col("nb").cast("int").alias("n"), F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("label"),
-                             F.explode("rest").alias("token"))
-                .select(F.xxhash64("a", "token").alias("sig"), "id", "n", F.lit(False).alias("pure"), F.lit(0).cast("byte").alias("band"), "label"))
-        rest = materialize(rest, "rest")
-        open_ = rest.groupBy("sig").agg(F.count("*").alias("bucket"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        buckets = materialize(rest.join(open_.select("sig", "bucket"), "sig"), "rest_buckets")
-        pairs = materialize(_pairs(buckets, threshold, SMALL_REST).unionByName(inside).distinct(), "pairs")
+        rest = stars.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("nb").cast("int").alias("n"), F.col("shared").alias("inside"),
+                            F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("label"), F.explode("rest").alias("token"))
+        rest = rest.withColumn("sig", F.xxhash64("p", "token")).drop("token")
+        for _ in range(2):
+            rest = materialize(_thinned(rest, threshold), "rest")
+        buckets = rest
+        pairs = materialize(_rest_pairs(buckets, threshold).unionByName(inside).distinct(), "pairs")
         found = _linked(_compare(pairs, whole, threshold, False), threshold).unionByName(stars.where("linked").select("a", "b"))
         links = links.unionByName(materialize(found, "links"))
         pivots = materialize(_pivots(buckets, SMALL_REST), "pivots")
