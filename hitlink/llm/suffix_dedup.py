@@ -21,7 +21,7 @@ An anchor with more than ``GROUP_CONTEXTS`` distinct contexts is not sorted in o
 digest, with partial sums, over all tasks.
 
 Texts are read twice or three times and shuffled only if the list of places for a pass is too long to broadcast
-(``BROADCAST_ROWS``; beyond it the pass joins by key).
+(``BROADCAST_ENTRIES``; beyond it the pass joins by key).
 
 Null and empty texts lose nothing. Each row is a text of its own, also when it repeats another row. Removal can cut
 UTF-8 characters; the kept bytes are binary.
@@ -37,14 +37,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hitlink.llm.common import documents, mix, signed, texts
 from hitlink.session import materialize
 
 LENGTH, GRAM = 400, 128
-TASK_CONTEXTS = 4000
-GROUP_CONTEXTS = 3000
-BROADCAST_ROWS = 2_000_000  # of about 24 bytes
+TASK_CONTEXTS = 4000      # in a task, about
+SORTED_CONTEXTS = 1500    # sorted together: some 1 MB of text, 60 MB of hashes and orders
+GROUP_CONTEXTS = 1500
+STRETCH = 16              # windows of a hot anchor that are ruled out together
+BROADCAST_ENTRIES = 3_000_000  # of 8 bytes
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -230,33 +233,52 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, at int, anchor long, context long")
 
 
-def _with_lists(rows: DataFrame, lists: DataFrame, n_rows: int, how: str) -> DataFrame:
-    """``rows`` joined with their lists by key; the lists are broadcast if all have few enough entries."""
-    return rows.join(F.broadcast(lists) if n_rows <= BROADCAST_ROWS else lists, "key", how)
+def _with_lists(rows: DataFrame, lists: DataFrame, n_entries: int, how: str) -> DataFrame:
+    """``rows`` joined with their lists by key; the lists are broadcast if they have few enough entries in all."""
+    return rows.join(F.broadcast(lists) if n_entries <= BROADCAST_ENTRIES else lists, "key", how)
 
 
-def _fetch(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, text, [(at, anchor, context, times)]) to a row per place with the bytes around it."""
+def _fetch(rows: DataFrame, border: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+    """The bytes around each place of ``border``; ``anchor`` is a digest of the anchor's own bytes."""
+    coded = F.col("at").cast("long") * 2 + F.col("once").cast("long")
+    lists = border.groupBy("key").agg(F.collect_list(coded).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out: list[tuple] = []
             for key, text, places in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
-                for p in places:
-                    out.append((key, p["at"], p["anchor"], p["times"], *_context(text, p["at"], length, gram)))
+                for code in places:
+                    at = code >> 1
+                    out.append((key, at, bool(code & 1), digest(text[at : at + gram]) - (1 << 63), *_context(text, at, length, gram)))
             columns = list(zip(*out)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["key", "at", "anchor", "times", "bytes", "left"])
+                                             names=["key", "at", "once", "anchor", "bytes", "left"])
+
+    return (_with_lists(rows, lists, n, "inner").select("key", "text", "places")
+            .mapInArrow(run, "key long, at int, once boolean, anchor long, bytes binary, left int"))
+
 
-    return rows.select("key", "text", "places").mapInArrow(run, "key long, at int, anchor long, times long, bytes binary, left int")
+def _parts(group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts between groups, so that a part has about ``most`` rows; a group is never cut."""
+    starts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(group)]
+    first = 0
+    for k in range(1, len(starts)):
+        if k == len(starts) - 1 or starts[k + 1] - starts[first] > most:
+            yield starts[first], starts[k]
+            first = k
 
 
 def _sorted_groups(contexts: DataFrame, n: int, length: int, gram: int) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("anchor", kind="stable", ignore_index=True)
         group = np.unique(frame["anchor"].to_numpy(), return_inverse=True)[1]
-        least, greatest = repeated_windows(frame["bytes"].tolist(), frame["left"].to_numpy().astype(np.int64), group, length, gram)
-        found = (greatest >= 0) & (frame["times"].to_numpy() == 1)
+        contexts, left = frame["bytes"].tolist(), frame["left"].to_numpy().astype(np.int64)
+        least, greatest = np.full(len(group), -1, np.int64), np.full(len(group), -1, np.int64)
+        for a, b in _parts(group, SORTED_CONTEXTS):
+            least[a:b], greatest[a:b] = repeated_windows(contexts[a:b], left[a:b], group[a:b], length, gram)
+        found = (greatest >= 0) & frame["once"].to_numpy()
         at = frame["at"].to_numpy().astype(np.int64)
         return pd.DataFrame({"key": frame["key"], "start": at - greatest, "end": at - least + length})[found]
 
@@ -265,30 +287,57 @@ def _sorted_groups(contexts: DataFrame, n: int, length: int, gram: int) -> DataF
 
 
 def _counted_windows(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Repeated windows of contexts of hot anchors, by counting the digests of all their windows."""
+    """Spans of repeated windows in contexts of hot anchors, by counting digests over all tasks. The windows that start in
+    one stretch of ``STRETCH`` places share all but their ends; only stretches whose shared part comes again are looked at
+    window by window."""
+    contexts = materialize(contexts, "hot_bytes")
+    digest = xxhash.xxh3_64_intdigest
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            parts = []
-            for key, at, times, text, left in zip(frame["key"], frame["at"], frame["times"], frame["bytes"], frame["left"]):
+            rows = []
+            for r in batch.to_pylist():
+                text, left = r["bytes"], r["left"]
                 first, last = max(0, left - length + gram), min(left, len(text) - length)
-                digests = [xxhash.xxh3_64_intdigest(text[s : s + length], left - s) for s in range(first, last + 1)]
-                m = len(digests)
-                parts.append((np.full(m, key), at - left + np.arange(first, last + 1), np.full(m, times), np.array(digests, np.uint64)))
-            columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0)] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns[:3]] + [pa.array(signed(columns[3].astype(np.uint64)))],
-                                             names=["key", "start", "times", "window"])
-
-    windows = contexts.mapInArrow(run, "key long, start long, times long, window long")
-    again = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    return (windows.where("times = 1").join(again, "window")
-            .groupBy("key", F.floor(F.col("start") / length)).agg(F.min("start").alias("start"), (F.max("start") + length).alias("end"))
-            .select("key", "start", "end"))
+                for k in range((left - last) // STRETCH, (left - first) // STRETCH + 1):  # by the distance to the anchor
+                    core = text[left - k * STRETCH : left - k * STRETCH - STRETCH + 1 + length]  # in each of its windows
+                    rows.append((r["key"], r["at"], 1 if r["once"] else 2, k, digest(core, k) - (1 << 63)))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)],
+                                             names=["key", "at", "times", "stretch", "core"])
+
+    cores = contexts.mapInArrow(stretches, "key long, at int, times long, stretch int, core long")
+    again = cores.groupBy("core").agg(F.sum("times").alias("n")).where("n > 1").select("core")
+    live = cores.join(again, "core").groupBy("key", "at").agg(F.collect_set("stretch").alias("stretches"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, seen = [], {}
+            for r in batch.to_pylist():
+                text, left, times, alive = r["bytes"], r["left"], 1 if r["once"] else 2, set(r["stretches"])
+                first, last = max(0, left - length + gram), min(left, len(text) - length)
+                own = [(s, digest(text[s : s + length], left - s) - (1 << 63)) for s in range(first, last + 1) if (left - s) // STRETCH in alive]
+                found.append((r["key"], r["at"] - left, times, own))
+                for _, d in own:
+                    seen[d] = seen.get(d, 0) + times
+            rows = [(None, None, None, 1, d) for d, n in seen.items() if n > 1]  # for the other batches
+            for key, zero, times, own in found:
+                sure = [s for s, d in own if seen[d] > 1]
+                if sure and times == 1:
+                    rows.append((key, zero + sure[0], zero + sure[-1] + length, 0, None))
+                rows += [(key, zero + s, zero + s + length, times, d) for s, d in own if seen[d] == 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)],
+                                             names=["key", "start", "end", "times", "window"])
+
+    rows = materialize(contexts.join(live, ["key", "at"]).mapInArrow(windows, "key long, start long, end long, times long, window long"), "hot_windows")
+    twice = rows.where("window IS NOT NULL").groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
+    open_ = rows.where("key IS NOT NULL AND times = 1").join(twice, "window").select("key", "start", "end")
+    return rows.where("window IS NULL").select("key", "start", "end").unionByName(open_)
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, start, end) byte spans of (key, text) rows that repeated windows cover; spans may overlap."""
+    """(key, start, end): the maximal byte spans of (key, text) rows that repeated windows cover; a span at the end of a
+    text may reach past it."""
     places = materialize(_anchor_rows(rows.select("key", "text"), length, gram), "anchors")
     contexts = materialize(places.groupBy("anchor", "context").agg(
         F.count("*").alias("times"), F.min(F.struct("key", "at")).alias("one")), "contexts")
@@ -300,29 +349,25 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     shared = (contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("times").alias("fewest"))
               .where("n > 1 AND fewest = 1").select("anchor", "n"))
     border = materialize(contexts.join(shared, "anchor").select(
-        F.col("one.key").alias("key"), F.col("one.at").alias("at"), "anchor", "times", (F.col("n") > GROUP_CONTEXTS).alias("hot")), "borders")
+        F.col("one.key").alias("key"), F.col("one.at").alias("at"), (F.col("times") == 1).alias("once"),
+        (F.col("n") > GROUP_CONTEXTS).alias("hot")), "borders")
     n, n_hot = border.agg(F.count("*"), F.count_if("hot")).first()
     spans = whole
-    if n:
-        lists = border.groupBy("key").agg(F.collect_list(F.struct("at", "anchor", "times", "hot")).alias("places"))
-        fetched = materialize(_fetch(_with_lists(rows, lists, n, "inner"), length, gram), "border_bytes")
-        hot = border.where("hot").select("anchor").distinct()
-        calm = fetched.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "anchor", "left_anti") if n_hot else fetched
-        spans = spans.unionByName(_sorted_groups(calm, n, length, gram))
-        if n_hot:
-            warm = fetched.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "anchor", "left_semi")
-            spans = spans.unionByName(_counted_windows(warm, length, gram))
-    return spans
-
-
-def _unite(spans: list, size: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted((x["start"], min(x["end"], size)) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        elif s < e:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+    if n > n_hot:
+        spans = spans.unionByName(_sorted_groups(_fetch(rows, border.where("NOT hot"), n - n_hot, length, gram), n - n_hot, length, gram))
+    if n_hot:
+        spans = spans.unionByName(_counted_windows(_fetch(rows, border.where("hot"), n_hot, length, gram), length, gram))
+    return _united(spans)
+
+
+def _united(spans: DataFrame) -> DataFrame:
+    """Overlapping and touching spans of a key as one."""
+    ahead = Window.partitionBy("key").orderBy("start", "end")
+    reach = F.max("end").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("start") > reach, F.lit(True)).cast("long")
+    return (spans.groupBy("key", "start").agg(F.max("end").alias("end")).withColumn("new", new)
+            .withColumn("island", F.sum("new").over(ahead)).groupBy("key", "island")
+            .agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -330,14 +375,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = documents(df, id_col, text_col)
     keyed = docs.withColumn("key", F.xxhash64(F.lit("row"), "doc_id", "text"))
     spans = materialize(repeated_spans(keyed, length, gram), "spans")
-    lists = materialize(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "span_lists")
-    n = lists.agg(F.sum(F.size("spans"))).first()[0] or 0
+    n, lists = spans.count(), spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, kept = [], [], []
             for text, own in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
-                gone, at, parts = _unite(own, len(text)), 0, []
+                gone, at, parts = [(x["start"], min(x["end"], len(text))) for x in own or ()], 0, []
                 for s, e in gone:
                     parts.append(text[at:s])
                     at = e
