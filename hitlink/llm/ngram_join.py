@@ -47,8 +47,8 @@ from hitlink.session import materialize
 
 SLICE = 1.5                     # share of the token space whose frequencies are counted, in units of 1 - threshold
 RARE, COMMON = 16, 256          # greatest frequencies of tokens indexed singly and in pairs
-SMALL, SMALL_REST = 16, 128     # sets in a bucket whose pairs are formed: of the index, under a pivot
-BROADCAST_ENTRIES = 2_000_000   # of 8 to 16 bytes
+SMALL, SMALL_REST = 16, 256     # sets in a bucket whose pairs are formed: of the index, under a pivot
+BROADCAST_ENTRIES = 500_000     # of 8 to 16 bytes
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -224,12 +224,17 @@ def _pairs(buckets: DataFrame, threshold: float, small: int) -> DataFrame:
 
 def _thinned(rest: DataFrame, threshold: float) -> DataFrame:
     """Rows of ``rest`` (p, id, n, inside, label, sig) whose token sets of another label share, of the sets that have enough of
-    them: a partner of x shares at least t |x| tokens with it, of which the pivot accounts for ``inside`` at most."""
+    them: of the tokens that x needs to share with a partner, the pivot accounts for ``inside`` at most."""
     rest = rest.drop("bucket")
-    open_ = rest.groupBy("sig").agg(F.count("*").alias("bucket"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rest = rest.join(open_.select("sig", "bucket"), "sig")
-    enough = rest.groupBy("p", "id").agg(F.count("*").alias("tokens"), F.first("n").alias("n"), F.first("inside").alias("inside"))
-    enough = enough.where(F.col("tokens") >= F.ceil(threshold * F.col("n") - 1e-9) - F.col("inside")).select("p", "id")
+    open_ = (rest.groupBy("sig").agg(F.count("*").alias("bucket"), F.min("n").alias("smallest"), F.min("label").alias("low"), F.max("label").alias("high"))
+             .where("low < high"))
+    rest = rest.join(open_.select("sig", "bucket", "smallest"), "sig")
+    enough = rest.groupBy("p", "id").agg(F.count("*").alias("tokens"), F.first("n").alias("n"), F.first("inside").alias("inside"),
+                                         F.min("smallest").alias("smallest"))
+    # The smallest partner is a set that shares a token, and at least t |x| itself.
+    partner = F.greatest("smallest", F.ceil(threshold * F.col("n") - 1e-9))
+    enough = enough.where(F.col("tokens") >= _needed(F.col("n"), partner, threshold) - F.col("inside")).select("p", "id")
+    rest = rest.drop("smallest")
     return rest.join(enough, ["p", "id"], "left_semi")
 
 
@@ -356,7 +361,7 @@ def similarity_links(docs: DataFrame, sets: DataFrame, named: DataFrame, n: int,
         rest = stars.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("nb").cast("int").alias("n"), F.col("shared").alias("inside"),
                             F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("label"), F.explode("rest").alias("token"))
         rest = rest.withColumn("sig", F.xxhash64("p", "token")).drop("token")
-        for _ in range(2):
+        for _ in range(3):
             rest = materialize(_thinned(rest, threshold), "rest")
         buckets = rest
         pairs = materialize(_rest_pairs(buckets, threshold).unionByName(inside).distinct(), "pairs")
