@@ -55,7 +55,11 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():  # the tokenizer parts letters from signs
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
