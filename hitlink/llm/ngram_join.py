@@ -196,7 +196,7 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 def _buckets(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` whose signature more than one set has, with the size of the bucket."""
     again = materialize(rows.groupBy("sig").agg(F.count("*").alias("bucket")).where("bucket > 1"), f"{name}_counts")
-    return materialize(rows.join(_small(again, again.count()), "sig"), name)
+    return materialize(rows.join(again, "sig"), name)
 
 
 def _compatible(a: str, b: str, threshold: float):
@@ -388,7 +388,7 @@ def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least_id = named.groupBy("component").agg(F.min("set_id").alias("component_id"))
     named = named.join(least_id, "component").select("id", "component_id")
     names = materialize(one.select("id", "set_id").join(named, "id", "left"), "set_names")
-    return (heads.select("doc_id", "n_shingles", "id").join(_small(names, 3 * n_sets), "id", "left")
+    return (heads.select("doc_id", "n_shingles", "id").join(names, "id", "left")
             .select("doc_id", "n_shingles", F.coalesce("set_id", "doc_id").alias("set_id"),
                     F.coalesce("component_id", "set_id", "doc_id").alias("component_id")))
 
