@@ -39,7 +39,7 @@ WINDOW, UNIT = 4096, 128
 END = (2).to_bytes(4, "little")  # the id after each document
 GROUP_WINDOWS = 64          # windows in a group of the greedy step
 SALT_ROWS = 10_000          # pieces that one numbering task gets, about
-WORDS_KEPT = 1_000_000      # words whose ids a worker remembers, some 200 MB
+WORDS_KEPT = 1_500_000      # words whose ids a worker remembers, some 300 MB
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row_key long, part string, place long"
 
