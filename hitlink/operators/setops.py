@@ -27,12 +27,13 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def append_new(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+def append_new(existing: DataFrame, batch: DataFrame, keys: Sequence[str], distinct: bool = False) -> DataFrame:
     """O3: append only the batch rows whose key is not already present, so a
     replayed batch changes nothing (the reference appends old matches again, D9).
-    Keys are identities: a missing part equals a missing part. A key comes once
-    out of a batch."""
-    return existing.unionByName(not_present(batch, existing, keys).dropDuplicates(list(keys)))
+    Keys are identities: a missing part equals a missing part. With ``distinct``
+    a key that a batch holds more than once is appended once (any of its rows)."""
+    new = not_present(batch, existing, keys)
+    return existing.unionByName(new.dropDuplicates(list(keys)) if distinct else new)
 
 
 def not_present(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -38,7 +38,7 @@ def pending_groups(todo: DataFrame, output: DataFrame, group: str) -> DataFrame:
 def append_new_keys(spark: SparkSession, batch: DataFrame, sink: str, keys: Sequence[str]) -> None:
     """Append the rows whose key the sink does not hold yet (idempotent)."""
     from ..sources.io import path_exists
-    new = batch.dropDuplicates(list(keys))
+    new = batch
     if path_exists(spark, sink):
         new = not_present(new, spark.read.parquet(sink), keys)
     new.write.mode("append").parquet(sink)

@@ -171,12 +171,12 @@ def test_append_and_pending_are_idempotent_with_a_missing_key_part(spark, tmp_pa
     from hitlink.operators.setops import append_new
     from hitlink.streaming.incremental import append_new_keys, pending
     batch = spark.createDataFrame([(1, None, "x"), (1, None, "y"), (2, 5, "z")], "year int, rank int, v string")
-    once = append_new(batch.limit(0), batch, ["year", "rank"])
+    once = append_new(batch.limit(0), batch, ["year", "rank"], distinct=True)
     assert once.count() == 2 and append_new(once, batch, ["year", "rank"]).count() == 2
     assert pending(batch, [once], ["year", "rank"]).count() == 0
     for _ in range(2):
         append_new_keys(spark, batch, str(tmp_path / "sink"), ["year", "rank"])
-    assert spark.read.parquet(str(tmp_path / "sink")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 3
 
 
 def test_keep_best_orders_large_integers_exactly(spark):
