@@ -7,7 +7,9 @@ frequent, combinations of 2 (up to ``COMMON``) or 3 tokens of one group, a group
 front of the order a prefix is taken until its groups, less k - 1 tokens each, hold more tokens than a partner may lack
 (|x| - t |x|). Whatever a partner lacks, some group then keeps k shared tokens that lie in both prefixes, so linked sets
 share a signature. Groups are as many as sizes of a band (a power of two) call for; a set near the border of a
-band is indexed in both bands.
+band is indexed in both bands. A small set's tokens can run out first. It then has every signature that its partners'
+full prefixes can have, so only two such sets can miss each other; they are also indexed by single tokens, whatever
+their frequency, under a salt of their own (at t = 0.8 sets of 4 to 6, at 0.9 none).
 
 The order. Frequencies are counted, over all distinct sets, for the tokens of a hash slice of the token space
 (``SLICE``), which come first in the order; prefixes seldom reach beyond it. Those that do go on with the other tokens
@@ -49,6 +51,7 @@ SLICE = 1.5                     # share of the token space whose frequencies are
 RARE, COMMON = 16, 256          # greatest frequencies of tokens indexed singly and in pairs
 SMALL, SMALL_REST = 16, 256     # sets in a bucket whose pairs are formed: of the index, under a pivot
 BROADCAST_ENTRIES = 500_000     # of 8 to 16 bytes
+SHORT = 64                      # the band of sets whose tokens run out before their prefix is long enough; no size is in it
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -96,15 +99,15 @@ def longest_prefix(n: int, threshold: float) -> int:
 
 
 def signatures(n: int, head: np.ndarray, kinds: np.ndarray, threshold: float) -> tuple[list[np.ndarray], bool]:
-    """Signatures in each band (in the order of the bands), and whether all are single tokens. ``head`` holds the first
-    tokens by hash, ``kinds`` how many tokens a signature of each has: 1, 2, 3, or 4 for tokens beyond the counted slice
-    (3 tokens, after all others)."""
+    """Signatures in each band (in the order of the bands; those of ``SHORT`` last, if any), and whether all are single
+    tokens. ``head`` holds the first tokens by hash, ``kinds`` how many tokens a signature of each has: 1, 2, 3, or 4 for
+    tokens beyond the counted slice (3 tokens, after all others)."""
     need = n - least_shared(n, threshold) + 1
     single = head[kinds == 1]
     salts = {b: mix(np.array([b + 1], np.uint64))[0] for b in sorted(bands(n, threshold))}
     if len(single) >= need:
         return [mix(single[:need] ^ salts[b]) for b in salts], True
-    out = []
+    out, short = [], False
     for b, salt in salts.items():
         groups, held = band_groups(b, threshold), len(single)
         inside: dict[tuple[int, int], list[int]] = {}
@@ -116,12 +119,16 @@ def signatures(n: int, head: np.ndarray, kinds: np.ndarray, threshold: float) ->
                 own = inside.setdefault((kind, (token >> 7) % groups), [])
                 own.append(token)
                 held += len(own) >= size
+        short = short or held < need
         found = [*single.tolist()]
         joint = []
         for (kind, group), own in inside.items():
             joint += [(kind, group, *c) for c in itertools.combinations(own, min(kind, 3))]
         digests = [xxhash.xxh3_64_intdigest(np.array(c, np.uint64).tobytes()) for c in joint]
         out.append(mix(np.array(found + digests, np.uint64) ^ salt))
+    if short:  # the head is the whole set: its first tokens in the one order
+        first = head[np.argsort(kinds, kind="stable")][:need]
+        out.append(mix(first ^ mix(np.array([SHORT + 1], np.uint64))[0]))
     return out, False
 
 
@@ -172,7 +179,7 @@ def _signature_rows(sets: DataFrame, threshold: float, sent) -> DataFrame:
                     order = np.argsort(frequent)
                     frequent, classes = frequent[order], np.array(columns["classes"][k] or [], np.int8)[order]
                 found, single = signatures(n, head, _kinds(head, frequent, classes, counted_below(threshold)), threshold)
-                for b, part in zip(sorted(bands(n, threshold)), found):
+                for b, part in zip([*sorted(bands(n, threshold)), SHORT], found):
                     part = np.unique(part)
                     rows.append(part)
                     lengths.append(len(part))

@@ -105,6 +105,43 @@ def test_prefixes_of_linked_sets_share_a_signature():
         assert sigs[0] & sigs[1]
 
 
+def test_prefixes_of_small_sets_share_a_signature():
+    rng = np.random.default_rng(4)
+    checked = 0
+    for _ in range(6000):
+        x = np.unique(rng.integers(0, 2**64, int(rng.integers(4, 13)), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[int(rng.integers(0, 2)):], rng.integers(0, 2**64, int(rng.integers(0, 2)), dtype=np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        if 10 * shared < 8 * (len(x) + len(y) - shared):
+            continue
+        sigs = []
+        kind = int(rng.integers(2, 4))  # of the counted tokens of both, but for some
+        for s in (x, y):
+            counted = s < np.uint64(ngram_join.counted_below(0.8))
+            kinds = np.where(counted, np.where(s % np.uint64(5) == 0, 1, kind), 4).astype(np.int8)
+            head = s[: max(int(counted.sum()), ngram_join.longest_prefix(len(s), 0.8))]
+            parts, _ = ngram_join.signatures(len(s), head, kinds[: len(head)], 0.8)
+            sigs.append(set(np.concatenate(parts).tolist()))
+        assert sigs[0] & sigs[1], (x, y)
+        checked += 1
+    assert checked > 2000
+
+
+def test_short_texts_of_frequent_shingles_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RARE", 4)
+    monkeypatch.setattr(ngram_join, "COMMON", 10)
+    rng = random.Random(6)
+    below = np.uint64(ngram_join.counted_below(0.8))
+    rows = []
+    for in_slice in (1, 2, 3):  # frequent shingles in the counted slice: 2 of 4 leave no group of three
+        while True:
+            short = " ".join(rng.sample(WORDS, 8))
+            if int((ngram_join.shingles(short.encode(), 5) < below).sum()) == in_slice:
+                break
+        rows += [(1000 * in_slice, short)] + [(1000 * in_slice + k, f"{short} other{in_slice}x{k}") for k in range(1, 30)]
+    assert found(spark, rows, 5, 0.8) == all_pairs(rows, 5, 80)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(300, 301), (301, 302), (302, 300), (5, 5), (160, 90)]
     got = {(r.id, r.component) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
