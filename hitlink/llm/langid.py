@@ -46,8 +46,8 @@ def _characters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of ``^word$`` of all words, and each one's place in its word (0 for ``^``)."""
     joined = "".join("\x02" + w + "\x03" for w in words)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    starts = np.flatnonzero(codes == 2)
-    sizes = np.diff(np.append(starts, len(codes)))
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))  # a word can hold the marks itself
+    starts = np.cumsum(sizes) - sizes
     return codes, np.arange(len(codes)) - np.repeat(starts, sizes)
 
 

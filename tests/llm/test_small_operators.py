@@ -286,6 +286,22 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame(test, "doc_id long, text string, lang string"), none).collect()} == {"und"}
 
 
+def test_marks_inside_words():
+    model = langid.estimate(pd.DataFrame([("x", g, 3) for g in ("\x02a", "\x02ab", "ab\x03")], columns=["lang", "gram", "n"]), 3)
+    words = ["a\x02b", "ab", "\x02", "\x03a", "b\x02\x02"]
+    together = model.score_words(words)
+    assert together[:, 1].tolist() == [len(w) + 1 for w in words]
+    assert np.allclose(together, np.concatenate([model.score_words([w]) for w in words]))
+
+
+def test_languages_of_texts_with_marks(spark):
+    schema = "doc_id long, text string, lang string"
+    rows = [(k, f"lor\x02ven kat{k} mis\x03 \x02 lor \x03kat", "aa") for k in range(30)] + [(100 + k, f"zug pfo{k} sch wim", "bb") for k in range(30)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.train(df)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 # ---- 10: suffix dedup ------------------------------------------------------------------------------------------------
 
 def plain_repeats(rows, length):
