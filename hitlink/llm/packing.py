@@ -67,8 +67,14 @@ class WordIds(dict):
         """The ids of a text, the end id last."""
         if len(self) > WORDS_KEPT:
             self.clear()
-        # The tokenizer lower-cases; doing so first makes fewer different words. Not where a special token may stand.
-        words = (text if b"<|" in text else text.lower()).split()
+        # The tokenizer lower-cases; doing so first makes fewer different words. Not where a special token may stand, and not
+        # in a word with a mark (U+0300 to U+036F): the tokenizer composes first, and some pairs have a small composed form only.
+        if b"<|" in text:
+            words = text.split()
+        elif b"\xcc" in text or b"\xcd" in text:
+            words = [w.lower() if w.isascii() else w for w in text.split()]
+        else:
+            words = text.lower().split()
         return b"".join(map(self.__getitem__, words)) + END
 
 

@@ -123,6 +123,19 @@ def test_packing_of_rows_that_repeat_an_id(spark):
     assert sum(r.length for r in out) == sum(r.doc_tokens for r in out if r.start == 0)
 
 
+def test_words_with_combining_marks_have_the_ids_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), packing.WordIds(path)
+    pairs = ["T\u0308", "H\u0331", "J\u030c", "W\u030a", "Y\u030a", "T\u0323\u0308", "E\u0301"]
+    pairs += [chr(c) + chr(m) for c in range(65, 91) for m in range(0x300, 0x370)]
+    for text in [*pairs, " ".join(pairs), "PLAIN J\u030cAR, H\u0331.", "É PLAIN Ünï"]:
+        want = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert words.ids(text.encode()) == want, text
+
+
 # ---- 4: licences -----------------------------------------------------------------------------------------------------
 
 def test_licenses(spark):
