@@ -4,16 +4,17 @@ A source is a queue of blocks. With weight w, block j is released at slot floor(
 ceil((j + 1) / w). Each slot takes the released block with the earliest deadline. As the weights sum to 1, no block
 misses its deadline, so after any number of slots t each source has had w * t blocks, give or take less than one.
 
-Weights are rounded to whole numbers of blocks in a cycle of ``cycle`` slots (at least one each). The schedule
-repeats with the cycle, so only one cycle is worked out (a heap over the sources; its size is a parameter and does not
-grow with the rows); a block's slot follows from its number alone.
+Weights are rounded to whole numbers of 2^36 parts (at least one each), so rounding comes to less than a block in 10^10
+slots. Blocks are dealt one after another by a heap over the sources, whose state (the blocks that each source has had)
+is noted at the begin of every ``cycle`` slots; the slots of a cycle follow from it.
 
 Once a source has no block left its slots are passed over and the others go on in their order, so no row is lost;
 ``balanced`` is true for the slots up to the first one that had to be passed over.
 
 At scale: rows of a source are put in order by hash and numbered in ranges of that hash, one task each with about
-``RANGE_ROWS`` rows, however large the source; the only other shuffles carry a row for each range. The table of the cycle
-is broadcast (``cycle`` rows).
+``RANGE_ROWS`` rows, however large the source. The driver goes through the blocks once, two heap steps for each (a block
+being ``block`` rows), and keeps the states alone; tasks deal the cycles again from them. That gives a row for each block,
+broadcast up to ``BROADCAST_ENTRIES`` rows and joined by source and block beyond.
 
 Null sources are one source of their own. Sources without a weight, or with one that is not positive, have no slot (null)
 and come last. Repeated rows are rows of their own, in an order that their other columns do not change.
@@ -22,16 +23,20 @@ and come last. Repeated rows are rows of their own, in an order that their other
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CYCLE = 1000
+CYCLE = 1000                    # slots between noted states
+PARTS = 2**36                   # that weights are rounded to
 BLOCK = 16
 RANGE_ROWS = 10_000
+BROADCAST_ENTRIES = 500_000     # slots
 
 
 def shares(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
@@ -52,24 +57,32 @@ def shares(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
     return blocks
 
 
-def schedule(blocks: Mapping[str, int]) -> list[str]:
-    """The source of each slot of one cycle, earliest deadline first among released blocks."""
-    cycle = sum(blocks.values())
-    waiting = [(0, k) for k in sorted(blocks)]
-    done = dict.fromkeys(blocks, 0)
+def deal(parts: Mapping[str, int], have: Mapping[str, int], done: dict[str, int], start: int) -> Iterator[tuple[int, str, int]]:
+    """(slot, source, block) from slot ``start`` on, earliest deadline first among released blocks. ``done`` holds the blocks
+    dealt before and is kept up to date. A source's slot after its last block comes as block ``have``, and no other of it."""
+    total = sum(parts.values())
+    waiting = [(done[k] * total // parts[k], k) for k in parts if done[k] <= have[k]]
+    heapq.heapify(waiting)
     ready: list[tuple[int, str]] = []
-    slots = []
-    for t in range(cycle):
+    t = start
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             k = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-((done[k] + 1) * -cycle // blocks[k]), k))
+            heapq.heappush(ready, (-((done[k] + 1) * -total // parts[k]), k))
         due, k = heapq.heappop(ready)
         assert t < due
-        slots.append(k)
+        yield t, k, done[k]
         done[k] += 1
-        if done[k] < blocks[k]:
-            heapq.heappush(waiting, (done[k] * cycle // blocks[k], k))
-    return slots
+        if done[k] <= have[k]:
+            heapq.heappush(waiting, (done[k] * total // parts[k], k))
+        t += 1
+
+
+def schedule(blocks: Mapping[str, int]) -> list[str]:
+    """The source of each slot when the sources have these numbers of blocks, and weights like them."""
+    return [k for _, k, _ in itertools.islice(deal(blocks, blocks, dict.fromkeys(blocks, 0), 0), sum(blocks.values()))]
 
 
 def _key(c: Column) -> Column:
@@ -87,15 +100,29 @@ def mix(df: DataFrame, weights: Mapping[str | None, float], id_col: str = "doc_i
     these names in ``df`` are replaced."""
     spark = df.sparkSession
     df = df.drop("slot", "place", "balanced")
-    plan = shares({"-" if k is None else f"={k}": w for k, w in weights.items()}, max(cycle, 4 * len(weights)))
-    turns: dict[str, int] = dict.fromkeys(plan, 0)
-    rows = []
-    for t, k in enumerate(schedule(plan)):
-        rows.append((k, turns[k], t))
-        turns[k] += 1
-    length = len(rows)
-    spots = F.broadcast(spark.createDataFrame(rows, "__source string, __turn long, __spot long"))
-    sizes = F.broadcast(spark.createDataFrame(list(plan.items()), "__source string, __blocks long"))
+    plan = shares({"-" if k is None else f"={k}": w for k, w in weights.items()}, PARTS)
+    per_source = df.groupBy(_key(F.col(source_col)).alias("__source")).agg(F.count("*").alias("n")).collect()
+    blocks = {r["__source"]: -(-r.n // block) for r in per_source}
+    have = {k: blocks.get(k, 0) for k in plan}
+    # The state at every cycle's begin, from which tasks deal the cycles again, and the first slot that its source cannot fill.
+    done, states, horizon = dict.fromkeys(plan, 0), [], None
+    for number, (t, k, turn) in enumerate(deal(plan, have, done, 0)):
+        if number % cycle == 0:
+            states.append((t, [done[x] for x in plan]))
+        if horizon is None and turn == have[k]:
+            horizon = t
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                dealt = itertools.islice(deal(plan, have, dict(zip(plan, at)), start), cycle)
+                slots, sources, turns = zip(*dealt)
+                yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(turns, pa.int64()), pa.array(slots, pa.int64())],
+                                                 names=["__source", "__block", "slot"])
+
+    spots = spark.createDataFrame(states, "start long, done array<long>").mapInArrow(run, "__source string, __block long, slot long")
+    if sum(have.values()) <= BROADCAST_ENTRIES:
+        spots = F.broadcast(spots)
 
     draw = F.xxhash64(F.lit(seed), F.col(id_col))
     ranges = max(1, df.count() // RANGE_ROWS)
@@ -109,18 +136,10 @@ def mix(df: DataFrame, weights: Mapping[str | None, float], id_col: str = "doc_i
     numbered = (data.withColumn("__number", F.row_number().over(inner) - 1).join(counts, ["__source", "__range"])
                 .withColumn("__number", F.col("__number") + F.col("__before"))
                 .withColumn("__block", F.floor(F.col("__number") / block)))
-    slotted = (numbered.join(sizes, "__source", "left").withColumn("__turn", F.col("__block") % F.col("__blocks"))
-               .join(spots, ["__source", "__turn"], "left")
-               .withColumn("slot", F.floor(F.col("__block") / F.col("__blocks")) * length + F.col("__spot")))
-    # The first slot that its source cannot fill: that of the block after its last.
-    per_source = df.groupBy(_key(F.col(source_col)).alias("__source")).agg(F.count("*").alias("n")).collect()
-    spot = {(k, turn): t for k, turn, t in rows}
-    blocks = {r["__source"]: -(-r.n // block) for r in per_source}
-    ends = [n // plan[k] * length + spot[k, n % plan[k]] for k in plan for n in [blocks.get(k, 0)]]
-    horizon = min(ends, default=0)
+    slotted = numbered.join(spots, ["__source", "__block"], "left")
     return slotted.select(*[F.col(f"`{c}`") for c in df.columns], F.col("slot").cast("long").alias("slot"),
                           (F.col("__number") % block).cast("long").alias("place"),
-                          F.coalesce(F.col("slot") < horizon, F.lit(False)).alias("balanced"))
+                          F.coalesce(F.col("slot") < (horizon or 0), F.lit(False)).alias("balanced"))
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

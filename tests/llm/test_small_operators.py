@@ -173,6 +173,25 @@ def test_mix_is_an_order_of_all_rows(spark):
     assert len(held) > 8
 
 
+@pytest.mark.parametrize("broadcast", [10**6, -1])
+def test_mix_keeps_to_the_true_weights_over_many_cycles(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_ENTRIES", broadcast, raising=False)
+    sizes = {"big": 4000, "tiny": 1} | {f"s{k}": 300 + 37 * k for k in range(15)}
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    out = mixing.mix(df, sizes | {"tiny": 0.5, "big": 4000.3}, block=1).toPandas().sort_values("slot")
+    total = sum(sizes.values()) - 0.2
+    weight = {s: n / total for s, n in (sizes | {"tiny": 0.5, "big": 4000.3}).items()}
+    assert len(out) == out.slot.nunique() == sum(sizes.values())
+    for s, part in out.groupby("source"):
+        turn = np.arange(len(part))  # every block in its window, those after the first source has run out too
+        assert (part.slot >= np.floor(turn / weight[s] - 1e-3)).all() and (part.slot < np.ceil((turn + 1) / weight[s] + 1e-3)).all()
+    held, had = out[out.balanced], Counter()
+    assert len(held) > 4 * mixing.CYCLE and held.slot.tolist() == list(range(len(held)))
+    for t, k in enumerate(held.source, 1):
+        had[k] += 1
+        assert all(abs(had[x] - w * t) < 1.001 for x, w in weight.items())
+
+
 # ---- 6: personal data ------------------------------------------------------------------------------------------------
 
 FORMS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
