@@ -8,13 +8,15 @@ characters starts, so long runs cost linear time.
 Bootstrapping. The base spans are seeds. Lexical patterns are the one and the two words before a span. Candidates are
 number-like runs (at least 7 digits) and spelled-out addresses ("name at host dot org") outside all base spans. Patterns and
 instances (digits, or letters of the address) form a graph. Each round gives a pattern, for each kind, the mean belief
-of its distinct instances as its confidence, provided ``min_seeds`` of its instances are seeds of the kind, and each
-instance the belief that patterns of at least ``threshold`` give it together, 1 - prod(1 - confidence). A candidate of a
-shape that the kind can have is added once its belief reaches ``threshold``; so a pattern has to occur nearly only with
-one kind before it says anything, and texts without such patterns keep their base spans alone.
+of its distinct instances as its confidence, provided the beliefs in the kind (1 for seeds) sum to ``min_seeds``. Instances
+of another kind or of a shape that the kind cannot have count in full against it, those not known yet by ``UNKNOWN``, so
+up to half of a pattern's instances may be unseen. An instance gets the belief that patterns of at least ``threshold``
+give it together, 1 - prod(1 - confidence). A candidate of a shape that the kind can have is added with its belief, which
+it keeps, and counts in later rounds; these go on until none is added. Texts without such patterns keep their base spans
+alone.
 
 At scale: one scan finds spans and candidates; what follows works on rows for spans, not texts. Patterns such as "the" are
-keys of partial aggregates, never collected groups. Beliefs are written between rounds.
+keys of partial aggregates, never collected groups. Beliefs are written between rounds, each of which adds an instance.
 
 Null texts are empty: no spans. Repeated rows are rows of their own; they count once as instances.
 """
@@ -46,6 +48,7 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-
 NUMBER = r"(?<![A-Za-z0-9+.(])[(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![A-Za-z0-9])"
 SPELLED = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: at | ?[(\[]at[)\]] ?)[A-Za-z0-9-]{1,63}"
            r"(?:(?: dot | ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])")
+UNKNOWN = 0.25  # what an instance without a kind, of a shape that the kind can have, counts against a pattern
 CONTEXT = 60  # characters before a span that patterns are taken from
 SPAN = "struct<start:int,end:int,value:string>"
 
@@ -136,32 +139,41 @@ def _edges(found: DataFrame) -> DataFrame:
                     F.when(n >= 2, F.array(last, two)).when(n == 1, F.array(last)).otherwise(F.array().cast("array<string>")).alias("patterns")))
 
 
-def bootstrap(edges: DataFrame, rounds: int = 3, threshold: float = 0.8, min_seeds: int = 3) -> DataFrame:
-    """(instance, shape, kind): instances that are no seeds and that confident patterns vouch for."""
+def bootstrap(edges: DataFrame, rounds: int | None = None, threshold: float = 0.8, min_seeds: int = 3) -> DataFrame:
+    """(instance, shape, given): instances that are no seeds and that confident patterns vouch for; ``rounds`` at most, by
+    default until none is added."""
     graph = materialize(edges.select(F.explode("patterns").alias("pattern"), "instance", "shape", "kind").distinct(), "pii_graph")
     nodes = graph.select("pattern", "instance", "shape").distinct()
-    seeds = graph.where("kind >= 0").select("instance", "shape", "kind").distinct().withColumn("belief", F.lit(1.0)).withColumn("seed", F.lit(1))
+    belief = graph.where("kind >= 0").select("instance", "shape", "kind").distinct().withColumn("belief", F.lit(1.0))
+    added = belief.where(F.lit(False))
     size = nodes.groupBy("pattern").agg(F.count("*").alias("size"))
-    belief, found = seeds, None
-    suits = ((F.col("kind") == 0) & (F.col("shape") == "letters") | (F.col("kind") == 1) & (F.col("shape") == "dotted")
-             | (F.col("kind") == 2) & (F.col("shape") == "digits") & F.length("instance").between(13, 19)
-             | (F.col("kind") == 3) & (F.col("shape") == "digits") & F.length("instance").between(7, 15))
-    for _ in range(rounds):
-        scored = (nodes.join(belief, ["instance", "shape"]).groupBy("pattern", "kind")
-                  .agg(F.sum("belief").alias("held"), F.sum("seed").alias("seeds"))
-                  .where(F.col("seeds") >= min_seeds).join(size, "pattern")
-                  .select("pattern", "kind", (F.col("held") / F.col("size")).alias("confidence")).where(F.col("confidence") >= threshold))
+    digits_from = lambda low, high: (F.col("shape") == "digits") & F.length("instance").between(low, high)
+    fits = [F.col("shape") == "letters", F.col("shape") == "dotted", digits_from(13, 19), digits_from(7, 15)]  # as KINDS
+    suits = F.element_at(F.array(*fits), F.col("kind") + 1)
+    number = 0
+    while rounds is None or number < rounds:
+        number += 1
+        # Instances without a kind so far that could be of this one speak against it by a part only.
+        unknown = (nodes.join(belief.select("instance", "shape").distinct(), ["instance", "shape"], "left_anti").groupBy("pattern")
+                   .agg(F.array(*(F.sum(f.cast("long")) for f in fits)).alias("unknown")))
+        possible = F.coalesce(F.element_at("unknown", F.col("kind") + 1), F.lit(0))
+        scored = (nodes.join(belief, ["instance", "shape"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("held"))
+                  .where(F.col("held") >= min_seeds).join(size, "pattern").join(unknown, "pattern", "left")
+                  .select("pattern", "kind", (F.col("held") / (F.col("size") - (1 - UNKNOWN) * possible)).alias("confidence"))
+                  .where(F.col("confidence") >= threshold))
         # A pattern in which everything is a seed stays short of certainty.
         doubt = F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-3)))
         given = (nodes.join(scored, "pattern").groupBy("instance", "shape", "kind").agg((1 - F.exp(F.sum(doubt))).alias("belief"))
-                 .where(suits).join(seeds.select("instance", "shape"), ["instance", "shape"], "left_anti"))
+                 .where(suits).join(belief.select("instance", "shape"), ["instance", "shape"], "left_anti"))
         found = materialize(given.groupBy("instance", "shape").agg(F.max(F.struct("belief", F.negative("kind").alias("k"))).alias("best"))
                             .select("instance", "shape", F.negative("best.k").alias("kind"), F.col("best.belief").alias("belief")), "pii_beliefs")
-        belief = seeds.unionByName(found.withColumn("seed", F.lit(0)))
-    return found.where(F.col("belief") >= threshold).select("instance", "shape", F.col("kind").alias("given"))
+        if found.isEmpty():
+            break
+        belief, added = belief.unionByName(found), added.unionByName(found)
+    return added.select("instance", "shape", F.col("kind").alias("given"))
 
 
-def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, threshold: float = 0.8,
+def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, threshold: float = 0.8,
                   min_seeds: int = 3) -> DataFrame:
     """A row per row of ``df``: ``base`` and ``added`` arrays of (kind, start, end), kind the place in ``KINDS``, sorted."""
     found = materialize(scan(df, id_col, text_col), "pii_scan")

@@ -233,6 +233,25 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert not {i for i, *_ in added} & {21, 22}
 
 
+def test_accepted_instances_carry_on_to_further_contexts(spark):
+    texts, sizes = [f"{c} +1 555 020 {k:03d}" for c in ("la0", "lb0") for k in range(40)], [32, 16, 8, 4, 2]
+    number = lambda level, k: f"555 010 {level}{k:03d}"
+    for level, n in enumerate(sizes):  # contexts of each level hold its own numbers and those of the one before
+        texts += [f"{c}{level} {number(level, k)}" for c in ("la", "lb") for k in range(n)]
+        texts += [f"{c}{level} {number(level - 1, k)}" for c in ("la", "lb") if level for k in range(sizes[level - 1])]
+    texts += [f"order 555 030 {k:04d}" for k in range(30)] + [f"order +1 555 040 {k:03d}" for k in range(3)]
+    out = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    added = {texts[r.doc_id][s.start : s.end] for r in out for s in r.added}
+    assert added == {number(level, k) for level, n in enumerate(sizes) for k in range(n)}
+
+
+def test_contexts_with_many_unseen_identifiers(spark):
+    texts = [f"phone: +49 30 55{k:04d}" for k in range(60)] + [f"phone: 030 66{k:04d}" for k in range(40)]
+    texts += [f"host {k}.1.2.3" for k in range(40)] + [f"host +49 30 77{k:04d}" for k in range(60)] + ["host 030 880000"]  # of two kinds
+    out = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.added} == set(range(60, 100))
+
+
 # ---- 7: quality ------------------------------------------------------------------------------------------------------
 
 def test_suffix_arrays_find_all_repeats():
