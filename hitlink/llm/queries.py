@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hitlink.llm import divergence, licenses, line_dedup
+from hitlink.llm import divergence, licenses, line_dedup, merkle
 from hitlink.llm.ann import op8_nearest_neighbours
 from hitlink.llm.langid import op9_language_id
 from hitlink.llm.mixing import op5_source_mix
@@ -23,5 +23,6 @@ QUERIES = {
     "op8_nearest_neighbours": (op8_nearest_neighbours, None),
     "op9_language_id": (op9_language_id, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op12_merkle_manifest": (merkle.op12_merkle_manifest, merkle.ORACLE),
     "op13_divergence_audit": (divergence.op13_divergence_audit, divergence.ORACLE),
 }
