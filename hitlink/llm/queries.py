@@ -7,6 +7,7 @@ from hitlink.llm.ann import op8_nearest_neighbours
 from hitlink.llm.langid import op9_language_id
 from hitlink.llm.mixing import op5_source_mix
 from hitlink.llm.ngram_join import op1_ngram_jaccard_join
+from hitlink.llm.nn_descent import op11_embedding_near_dedup
 from hitlink.llm.packing import op3_packing
 from hitlink.llm.pii import op6_pii
 from hitlink.llm.quality import op7_quality_rules
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_nearest_neighbours": (op8_nearest_neighbours, None),
     "op9_language_id": (op9_language_id, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op11_embedding_near_dedup": (op11_embedding_near_dedup, None),
     "op12_merkle_manifest": (merkle.op12_merkle_manifest, merkle.ORACLE),
     "op13_divergence_audit": (divergence.op13_divergence_audit, divergence.ORACLE),
 }
