@@ -43,8 +43,8 @@ from hitlink.llm.components import components
 from hitlink.session import materialize
 
 BITS = 128                       # of a signature: two longs
-K, TABLES, FOLLOWING = 10, 6, 4  # entries of a list, sorted orders to begin with, neighbours taken to each side
-SETTLED = 0.002                  # a round that adds fewer entries in reach, by share, is the last
+K, TABLES, FOLLOWING = 10, 8, 3  # entries of a list, sorted orders to begin with, neighbours taken to each side
+SETTLED = 0.002                 # a round that adds fewer entries in reach, by share, is the last
 AUDIT_NODES, RECALL = 1024, 0.99
 BINS = 64                        # of angles in a cell
 BLOCK = 2048                     # nodes of a block of comparisons
@@ -57,6 +57,12 @@ def reach(threshold: float, z: float = 3.5) -> int:
     return min(BITS, math.ceil(BITS * p + z * math.sqrt(BITS * p * (1 - p))))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would leave the range of doubles, times a power of two, which changes no cosine."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0))
+    return np.ldexp(x, -exponent[:, None]) if np.abs(exponent).max(initial=0) > 300 else x
+
+
 def vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, matrix of doubles) for each length of vectors in a list column."""
     sizes = np.asarray(column.value_lengths())
@@ -64,11 +70,7 @@ def vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
-        x = flat[first[rows][:, None] + np.arange(n)].astype(np.float64)
-        _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0))
-        if np.abs(exponent).max(initial=0) > 300:  # squares would leave the range; a power of two changes no cosine
-            x = np.ldexp(x, -exponent[:, None])
-        out.append((rows, x))
+        out.append((rows, scaled(flat[first[rows][:, None] + np.arange(n)].astype(np.float64))))
     return out
 
 
@@ -171,18 +173,21 @@ def sorted_pairs(nodes: DataFrame, tables: range, following: int, seed: int) ->
 
 
 def nearest_k(found: DataFrame, k: int) -> DataFrame:
-    """(u, v, d, fresh): the k least of each node; ``found`` has (u, v, d, fresh), a pair that was known before being not fresh."""
+    """(u, v, d, fresh): the k least of each node; ``found`` has (u, v, d, fresh), a pair that was known before being not fresh.
+    Ranks are dense, so a pair that comes again takes one place, and each task drops what is beyond k before the one exchange."""
     order = Window.partitionBy("u").orderBy("d", "v")
-    return (found.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-            .withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).drop("at"))
+    ranked = found.select("u", "v", "d", "fresh", F.dense_rank().over(order).alias("at")).where(F.col("at") <= k)
+    return ranked.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
 
 
-def local_join(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(u, v, d) of neighbours of neighbours that are nearer to u than its last entry."""
+def local_join(graph: DataFrame, nodes: DataFrame, k: int, in_reach: int) -> DataFrame:
+    """(u, v, d) of neighbours of neighbours that are nearer to u than its last entry. A saturated list stays as it is: it will
+    be enlarged, and nearer entries in place of others in reach would tell nothing new."""
     both = graph.select("u", "v", "d", "fresh").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d", "fresh"))
     around = nearest_k(both, 2 * k)  # neighbours and nodes whose neighbour u is
     last = graph.groupBy("u").agg(F.max("d").alias("last"), F.count("*").alias("n"))
-    last = last.select(F.col("u").alias("v"), F.when(F.col("n") < k, F.lit(BITS + 1)).otherwise(F.col("last")).cast("int").alias("last"))
+    last = last.select(F.col("u").alias("v"), F.when(F.col("n") < k, F.lit(BITS + 1)).when(F.col("last") <= in_reach, F.lit(-1))
+                       .otherwise(F.col("last")).cast("int").alias("last"))
     known = nodes.select(F.col("node").alias("v"), "s0", "s1").join(last, "v")
     entry = F.struct("v", "s0", "s1", "last", "fresh")
     grouped = around.select("u", "v", "fresh").join(known, "v").groupBy("u").agg(F.collect_list(entry).alias("of"))
@@ -216,7 +221,7 @@ def descend(start: DataFrame, nodes: DataFrame, k: int, in_reach: int) -> DataFr
     """The neighbour graph (u, v, d, fresh), refined until a round brings hardly anything in reach."""
     graph = materialize(nearest_k(start, k), "graph")
     while True:
-        found = local_join(graph, nodes, k).withColumn("fresh", F.lit(1))
+        found = local_join(graph, nodes, k, in_reach).withColumn("fresh", F.lit(1))
         graph = materialize(nearest_k(graph.withColumn("fresh", F.lit(0)).unionByName(found), k), "graph")
         near = F.col("d") <= in_reach
         new, all_near = graph.agg(F.count_if(near & (F.col("fresh") == 1)), F.count_if(near)).first()
@@ -245,11 +250,13 @@ def cells_of(dense: DataFrame, nodes: DataFrame, edges: DataFrame, in_reach: int
     state = dense.join(nodes.select("node", "s0", "s1"), "node").select("node", "s0", "s1", F.struct(F.col("node").alias("cell"), F.col("s0").alias("l0"), F.col("s1").alias("l1")).alias("leader"))
     state = materialize(state, "leaders")
     while True:
-        offers = edges.join(state.select(F.col("node").alias("v"), "leader"), "v").select(F.col("u").alias("node"), "leader").distinct()
-        offers = offers.join(state.select("node", "s0", "s1"), "node").where(hamming(F.col("s0"), F.col("s1"), F.col("leader.l0"), F.col("leader.l1")) <= in_reach)
-        least = offers.groupBy("node").agg(F.min("leader").alias("offer"))
-        new = materialize(state.join(least, "node", "left").select("node", "s0", "s1", F.least("leader", "offer").alias("leader"),
-                                                                   (F.col("offer") < F.col("leader")).alias("changed")), "leaders")
+        # A node hears of its neighbours' leaders and of its own leader's.
+        heard = edges.unionByName(state.select(F.col("node").alias("u"), "leader.cell").where("u <> cell").withColumnRenamed("cell", "v"))
+        offers = heard.join(state.select(F.col("node").alias("v"), "leader"), "v").groupBy(F.col("u").alias("node"), "leader").agg(F.lit(1).alias("one"))
+        near = hamming(F.col("s0"), F.col("s1"), F.col("offered.l0"), F.col("offered.l1")) <= in_reach
+        joined = state.join(offers.select("node", F.col("leader").alias("offered")), "node", "left")
+        new = joined.groupBy("node", "s0", "s1", "leader").agg(F.min(F.when(near, F.col("offered"))).alias("offer"))
+        new = materialize(new.select("node", "s0", "s1", F.least("leader", "offer").alias("leader"), (F.col("offer") < F.col("leader")).alias("changed")), "leaders")
         state = new.drop("changed")
         if not new.where("changed").limit(1).count():
             break
@@ -359,7 +366,7 @@ def true_links(nodes: DataFrame, sample: list, threshold: float) -> DataFrame:
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r.vector), []).append((r.node, r.part, np.array(r.vector, np.float64)))
-    sent = {n: (np.array([r[0] for r in x]), np.array([r[1] for r in x]), unit(np.stack([r[2] for r in x]))) for n, x in by_size.items()}
+    sent = {n: (np.array([r[0] for r in x]), np.array([r[1] for r in x]), unit(scaled(np.stack([r[2] for r in x])))) for n, x in by_size.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
