@@ -15,13 +15,18 @@ The order. Frequencies are counted, over all distinct sets, for the tokens of a
 (``SLICE``), which come first in the order; prefixes seldom reach beyond it. Those that do go on with the other tokens
 by hash, in combinations of 3. Any order gives the same links; this one keeps the work to a slice of the tokens.
 
-Verification. Signatures that only one set has vanish. In buckets of at most ``RARE`` sets pairs are formed, and those
-whose number of shared signatures is too small for their sizes are dropped (prefixes of single tokens only). In larger
-buckets no pairs are formed: one set, the pivot, is compared with all others, which gives x & pivot exactly. If neither x
-nor y holds too much of the pivot, they can only link by sharing tokens outside it, so the tokens of x - pivot are counted
-under the pivot; tokens of one set alone and sets with too few others go, and what is left forms new, much thinner
-buckets, and so on until no large bucket is left. Sets that link with one pivot need no comparing. Every comparison is of
-whole sets.
+Verification. Signatures that only one set has vanish. In buckets of at most ``SMALL`` sets pairs are formed, and those
+whose number of shared signatures is too small for their sizes are dropped (prefixes of single tokens only). Every comparison
+is of whole sets.
+
+Larger buckets form no pairs. One set of a bucket, the pivot, is compared with the others, and these are joined again by
+what tells them from the pivot: the tokens that one of x and the pivot has and the other lacks, d(x). With s = (1 - t) / (1 + t),
+x and y link when |d(x) ^ d(y)| <= s (|x| + |y|) (^: symmetric difference), as d(x) ^ d(y) = x ^ y. Let e(x) = |d(x)| - s |x|. If
+e(x) + e(y) <= 0 they link for certain, and one link to the set of least e in the group connects all such sets. Otherwise they must
+share at least (e(x) + e(y)) / 2 tokens of d, so prefixes in d, rare tokens first, find them; frequent tokens are again indexed
+in combinations, and a group that few tokens tell from its pivot is done at once. Sets that links already connect have one label;
+groups and buckets of one label are left out, and so are sets with too few tokens in common with other labels. Buckets that are
+still large have pivots of their own, all in the same round, so the rounds follow the depth of this and not the size of a group.
 
 At scale: copies (equal sets) are one set throughout. All grouping is by hashes with partial counts; lists of frequent
 tokens, repeated signatures and wanted ids are broadcast up to a stated number of entries and joined beyond it.
@@ -49,7 +54,7 @@ from hitlink.session import materialize
 
 SLICE = 1.5                     # share of the token space whose frequencies are counted, in units of 1 - threshold
 RARE, COMMON = 16, 256          # greatest frequencies of tokens indexed singly and in pairs
-SMALL, SMALL_REST = 16, 256     # sets in a bucket whose pairs are formed: of the index, under a pivot
+SMALL = 16                      # sets in a bucket whose pairs are formed
 BROADCAST_ENTRIES = 500_000     # of 8 to 16 bytes
 SHORT = 64                      # the band of sets whose tokens run out before their prefix is long enough; no size is in it
 
@@ -229,34 +234,104 @@ def _pairs(buckets: DataFrame, threshold: float, small: int) -> DataFrame:
     return counted.where(~F.col("pure") | enough).select("a", "b").distinct()
 
 
-def _thinned(rest: DataFrame, threshold: float) -> DataFrame:
-    """Rows of ``rest`` (p, id, n, inside, label, sig) whose token sets of another label share, of the sets that have enough of
-    them: of the tokens that x needs to share with a partner, the pivot accounts for ``inside`` at most."""
-    rest = rest.drop("bucket")
-    open_ = (rest.groupBy("sig").agg(F.count("*").alias("bucket"), F.min("n").alias("smallest"), F.min("label").alias("low"), F.max("label").alias("high"))
-             .where("low < high"))
-    rest = rest.join(open_.select("sig", "bucket", "smallest"), "sig")
-    enough = rest.groupBy("p", "id").agg(F.count("*").alias("tokens"), F.first("n").alias("n"), F.first("inside").alias("inside"),
-                                         F.min("smallest").alias("smallest"))
-    # The smallest partner is a set that shares a token, and at least t |x| itself.
-    partner = F.greatest("smallest", F.ceil(threshold * F.col("n") - 1e-9))
-    enough = enough.where(F.col("tokens") >= _needed(F.col("n"), partner, threshold) - F.col("inside")).select("p", "id")
-    rest = rest.drop("smallest")
-    return rest.join(enough, ["p", "id"], "left_semi")
+def _labels(links: DataFrame, steps: int = 3) -> DataFrame:
+    """(id, label): sets of one label are connected by links. Not all that are connected have one label yet: labels reach some
+    steps, the farther the more there are."""
+    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both_ways")
+    label = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    for _ in range(steps - 1):
+        near = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        jump = label.select(F.col("id").alias("label"), F.col("label").alias("further"))  # a label is an id, which has a label
+        label = label.join(near, "id").join(jump, "label", "left").select("id", F.least("label", "near", "further").alias("label"))
+        label = materialize(label, "labels")
+    return label
+
+
+def _least_of_others(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, low, low_label, other): the least value of a key, its label, and the least of the other labels; keys of one label
+    are left out."""
+    by_label = rows.groupBy(key, "label").agg(F.min(value).alias("v"))
+    first = by_label.groupBy(key).agg(F.min(F.struct("v", "label")).alias("m"))
+    rest = by_label.join(first, key).where(F.col("label") != F.col("m.label")).groupBy(key).agg(F.min("v").alias("other"))
+    return first.join(rest, key).select(key, F.col("m.v").alias("low"), F.col("m.label").alias("low_label"), "other")
+
+
+def rest_signatures(tokens: np.ndarray, times: np.ndarray, least: int, groups: int) -> np.ndarray:
+    """Signatures of one set under a pivot, which shares at least ``least`` of its tokens with any partner: prefixes in the order
+    of ``times`` (how many sets of the group have a token). A signature has 1 token, 2 or 3 by its class; combinations are taken
+    inside ``groups`` hash slices."""
+    order = np.lexsort((tokens, times))
+    tokens, kinds = tokens[order], np.where(times[order] <= RARE, 1, np.where(times[order] <= COMMON, 2, 3))
+    need = len(tokens) - least + 1
+    single = tokens[kinds == 1][:need]
+    if len(single) >= need:
+        return mix(single)
+    out, held, inside = [mix(single)], len(single), {}
+    for kind in (2, 3):
+        for token in tokens[kinds == kind].tolist():
+            if held >= need:
+                break
+            own = inside.setdefault((kind, (token >> 7) % groups), [])
+            own.append(token)
+            held += len(own) >= kind
+    if held < need:  # too few tokens for combinations: all of them singly, under a salt that only such sets have
+        out.append(mix(mix(tokens[:need]) ^ np.uint64(1)))
+    joint = [(kind, group, *c) for (kind, group), own in inside.items() for c in itertools.combinations(own, kind)]
+    out.append(np.array([xxhash.xxh3_64_intdigest(np.array(c, np.uint64).tobytes()) for c in joint], np.uint64))
+    return np.unique(np.concatenate(out))
+
+
+def _rest_buckets(stars: DataFrame, label: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Buckets (sig, id, n, label, bucket) of the sets under their pivots, of more than one label each, and links (a, b) that are certain."""
+    share = (1 - threshold) / (1 + threshold)
+    size = F.col("na") + F.col("nb") - 2 * F.col("shared")
+    items = stars.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("nb").alias("n"), (size - share * F.col("nb")).alias("e"), "rest")
+    items = items.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    groups = materialize(_least_of_others(items, "p", "e"), "groups")
+    items = items.join(groups, "p").withColumn("partner", F.when(F.col("label") == F.col("low_label"), F.col("other")).otherwise(F.col("low")))
+    items = materialize(items.select("p", "id", "n", "e", "partner", "label", "rest"), "items")
+    # Certain links: with the set of least e, wherever the sum is not above 0.
+    least = items.groupBy("p").agg(F.min(F.struct("e", "id")).alias("m")).select("p", F.col("m.e").alias("me"), F.col("m.id").alias("mid"))
+    certain = items.join(least, "p").where((F.col("id") != F.col("mid")) & (F.col("e") + F.col("me") <= 1e-9)).select(F.col("mid").alias("a"), F.col("id").alias("b"))
+    # A linked pair that is not certain shares this many tokens at least.
+    alpha = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("partner")) / 2 - 1e-9)).cast("int")
+    rest = items.select("p", "id", "n", "label", alpha.alias("least"), F.explode("rest").alias("token"))
+    for _ in range(2):
+        shared = rest.groupBy("p", "token").agg(F.count("*").alias("times"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        rest = rest.drop("times").join(shared.select("p", "token", "times"), ["p", "token"])
+        enough = rest.groupBy("p", "id").agg(F.count("*").alias("tokens"), F.first("least").alias("least")).where(F.col("tokens") >= F.col("least"))
+        rest = materialize(rest.join(enough.select("p", "id"), ["p", "id"], "left_semi"), "rest")
+    own = rest.groupBy("p", "id", "n", "label", "least").agg(F.collect_list(F.struct("token", "times")).alias("of"))  # a set's own tokens
+    own = materialize(own, "rest_sets")
+    # One number of groups for all sets under a pivot: a third of the tokens that a prefix needs on average.
+    groups = own.groupBy("p").agg(F.greatest(F.lit(1), F.floor(F.avg(F.size("of") - F.col("least") + 1) / 3)).cast("int").alias("groups"))
+    own = own.join(groups, "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, flat = np.asarray(batch["of"].value_lengths()), batch["of"].flatten()
+            tokens, times = flat.field("token").to_numpy().view(np.uint64), flat.field("times").to_numpy()
+            ends, found = np.cumsum(sizes), []
+            pivots = mix(batch["p"].to_numpy().view(np.uint64))
+            for k, (low, slices) in enumerate(zip(batch["least"].to_numpy(), batch["groups"].to_numpy())):
+                part = slice(ends[k] - sizes[k], ends[k])
+                found.append(mix(rest_signatures(tokens[part], times[part], int(low), int(slices)) ^ pivots[k]))
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([*found, np.zeros(0, np.uint64)]))), *[batch[c].take(pa.array(at)) for c in ("id", "n", "label")]],
+                                             names=["sig", "id", "n", "label"])
+
+    sigs = materialize(own.mapInArrow(run, "sig long, id long, n long, label long"), "rest_signatures")
+    wide = sigs.groupBy("sig").agg(F.count("*").alias("bucket"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return materialize(sigs.join(wide.select("sig", "bucket"), "sig"), "rest_buckets"), certain
 
 
 def _rest_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of small buckets under a pivot, less those whose shared tokens outside it, with all that they can share inside it
-    and in large buckets, are too few."""
-    large = buckets.where(F.col("bucket") > SMALL_REST).groupBy("p", "id").agg(F.count("*").alias("large"))
-    rows = (buckets.where(F.col("bucket") <= SMALL_REST).join(large, ["p", "id"], "left")
-            .withColumn("most", F.struct(F.coalesce("large", F.lit(0)).alias("large"), "inside")))
-    left = rows.select("sig", "p", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("most").alias("ma"))
-    right = rows.select(F.col("sig").alias("sig2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("most").alias("mb"))
+    """Pairs of different labels of the small buckets under pivots."""
+    rows = buckets.where(F.col("bucket") <= SMALL)
+    left = rows.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = rows.select(F.col("sig").alias("sig2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     found = left.join(right, (F.col("sig") == F.col("sig2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _compatible("na", "nb", threshold))
-    counted = found.groupBy("p", "a", "b", "na", "nb", "ma", "mb").agg(F.count("*").alias("shared"))
-    possible = F.col("shared") + F.least("ma.large", "mb.large") + F.least("ma.inside", "mb.inside")
-    return counted.where(possible >= _needed(F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
+    return found.select("a", "b").distinct()
 
 
 def _pivots(buckets: DataFrame, small: int) -> DataFrame:
@@ -270,7 +345,7 @@ def _pivots(buckets: DataFrame, small: int) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, threshold: float, with_rest: bool) -> DataFrame:
-    """(a, b, na, nb, shared, rest): exact sizes of intersections; ``rest`` the tokens of b outside a."""
+    """(a, b, na, nb, shared, rest): exact sizes of intersections; ``rest`` the tokens that just one of a and b has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +358,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, threshold: float, with_rest: boo
                 na.append(len(x))
                 nb.append(len(y))
                 if with_rest:
-                    rests.append(y[~common])
+                    rests.append(np.concatenate([y[~common], np.delete(x, at[common])]))
             columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (na, nb, shared))]
             names = ["a", "b", "na", "nb", "shared"]
             if with_rest:
@@ -355,26 +430,13 @@ def similarity_links(docs: DataFrame, sets: DataFrame, named: DataFrame, n: int,
     links = materialize(_linked(_compare(pairs, whole, threshold, False), threshold), "small_links")
     while not pivots.isEmpty():
         stars = materialize(_compare(pivots, whole, threshold, True), "stars")
-        connected = F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9
-        stars = stars.withColumn("linked", connected)
-        # Sets that lie in the pivot almost whole can link without a token outside it.
-        within = stars.where(F.col("shared") >= threshold * F.col("nb") - 1e-9)
-        x = within.where("NOT linked").select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("shared").alias("sx"))
-        y = within.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("shared").alias("sy"))
-        inside = x.join(y, (F.col("p") == F.col("a")) & (F.col("x") != F.col("y"))
-                        & (F.least("sx", "sy") >= _needed(F.col("nx"), F.col("ny"), threshold)))
-        inside = inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        # Others share tokens outside it. Sets that link with the pivot are connected, and so have one label.
-        rest = stars.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("nb").cast("int").alias("n"), F.col("shared").alias("inside"),
-                            F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("label"), F.explode("rest").alias("token"))
-        rest = rest.withColumn("sig", F.xxhash64("p", "token")).drop("token")
-        for _ in range(3):
-            rest = materialize(_thinned(rest, threshold), "rest")
-        buckets = rest
-        pairs = materialize(_rest_pairs(buckets, threshold).unionByName(inside).distinct(), "pairs")
-        found = _linked(_compare(pairs, whole, threshold, False), threshold).unionByName(stars.where("linked").select("a", "b"))
+        links = links.unionByName(_linked(stars, threshold))
+        label = _labels(links)
+        buckets, certain = _rest_buckets(stars, label, threshold)
+        pairs = materialize(_rest_pairs(buckets, threshold), "pairs")
+        found = _linked(_compare(pairs, whole, threshold, False), threshold).unionByName(certain)
         links = links.unionByName(materialize(found, "links"))
-        pivots = materialize(_pivots(buckets, SMALL_REST), "pivots")
+        pivots = materialize(_pivots(buckets, SMALL), "pivots")
     return links
 
 

@@ -75,7 +75,6 @@ def test_large_buckets_go_through_pivots(spark, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "RARE", 2)
     monkeypatch.setattr(ngram_join, "COMMON", 10)
     monkeypatch.setattr(ngram_join, "SMALL", 3)
-    monkeypatch.setattr(ngram_join, "SMALL_REST", 4)
     assert found(spark, rows, 3, 0.9) == all_pairs(rows, 3, 90)
 
 
