@@ -37,7 +37,7 @@ from hitlink.llm.common import mix
 ORDER = 5
 DOCS_PER_LANGUAGE = 1500
 SHARPNESS = 12.0
-WORDS_KEPT = 800_000  # scored words that a worker remembers, some 150 MB
+WORDS_KEPT = 400_000  # scored words that a worker remembers, some 80 MB
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -113,6 +113,7 @@ class Model:
         except KeyError:
             if len(self.known) > WORDS_KEPT:
                 self.known.clear()
+                self.scored = None
             new = [w for w in set(words) if w not in self.known]
             for k in range(0, len(new), 20_000):
                 part = new[k : k + 20_000]
@@ -125,6 +126,16 @@ class Model:
         return sums[:-1] / sums[-1]
 
 
+    def verdict(self, text: str | None, sharpness: float = SHARPNESS) -> tuple[str, float, float | None, bool]:
+        """(language, score, entropy, rejected); ``und`` without a letter or without models."""
+        if not text or not self.languages or not LETTER.search(text):
+            return "und", 0.0, None, True
+        entropy = self.entropy(text)
+        best = int(np.argmin(entropy))
+        share = 1.0 / np.exp(-sharpness * (entropy - entropy[best])).sum()
+        return self.languages[best], float(share), float(entropy[best]), bool(entropy[best] > self.limits[best])
+
+
 def _find(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the keys in the sorted array, and whether they are there."""
     if not len(hashes):
@@ -192,7 +203,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     draw = F.xxhash64(F.lit("language sample"), F.col(id_col))
     first = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    chosen = (rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), draw.alias("draw"))
+    drawn = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), draw.alias("draw"))
+    # Of a language that has many more documents than are wanted, only draws below a limit are ranked: about twice as many
+    # as wanted, so that a language is a small group however many rows it has. Too few below it are next to impossible; all
+    # of the language are ranked then.
+    share = F.least(F.lit(1.0), F.lit(2.0 * docs_per_language + 500) / F.col("n"))
+    below = F.col("draw") < (share * 2.0**64 - 2.0**63).cast("decimal(20,0)")
+    sizes = drawn.groupBy("lang").agg(F.count("*").alias("n"))
+    near = drawn.join(F.broadcast(sizes), "lang").withColumn("below", below | (F.col("n") <= 2 * docs_per_language + 500))
+    few = near.groupBy("lang").agg(F.count_if("below").alias("kept")).where(F.col("kept") < docs_per_language).select("lang", F.lit(True).alias("few"))
+    chosen = (near.join(F.broadcast(few), "lang", "left").where(F.col("below") | F.coalesce("few", F.lit(False)))
               .withColumn("place", F.row_number().over(first)).where(F.col("place") <= docs_per_language).select("doc_id", "place"))
     # docs_per_language ids of each language: small enough to send to every task.
     sample = (rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -234,41 +254,38 @@ def _entropies(sent):
     return run
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", sharpness: float = SHARPNESS,
-             keep: list[str] | None = None) -> DataFrame:
-    """``lang_pred``, ``score``, ``entropy`` (nats a character, null for ``und``) and ``rejected`` for every row, with the
-    columns named in ``keep`` (by default the id alone)."""
-    keep = keep if keep is not None else [id_col]
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", sharpness: float = SHARPNESS) -> DataFrame:
+    """The id, ``lang_pred``, ``score``, ``entropy`` (nats a character, null for ``und``) and ``rejected`` for every row."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    added = ["lang_pred", "score", "entropy", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            found = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                if not text or not model.languages or not LETTER.search(text):
-                    found.append(("und", 0.0, None, True))
-                    continue
-                entropy = model.entropy(text)
-                best = int(np.argmin(entropy))
-                share = 1.0 / np.exp(-sharpness * (entropy - entropy[best])).sum()
-                found.append((model.languages[best], float(share), float(entropy[best]), bool(entropy[best] > model.limits[best])))
+            found = [model.verdict(text, sharpness) for text in batch["__text"].to_pylist()]
             columns = list(zip(*found)) if found else [[]] * 4
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                                             names=[*keep, *added])
+            yield pa.RecordBatch.from_arrays([batch[id_col], *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                                             names=[id_col, "lang_pred", "score", "entropy", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(
+        run, f"`{id_col}` {kind}, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def keep_recognised(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows that the models do not reject, with all columns as they are."""
-    names = df.columns
-    found = identify(df.select(*names, F.col(text_col).alias("__again")), model, text_col="__again", keep=names)
-    return found.where(~F.col("rejected")).select(names)
+    """The rows that the models do not reject, with all columns as they are. The text that passes through is the one that is
+    scored, and rows go on in small batches."""
+    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                texts = (t if t is None or isinstance(t, str) else str(t) for t in part.column(at).to_pylist())
+                yield part.filter(pa.array([not model.verdict(t)[3] for t in texts], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
