@@ -1,8 +1,8 @@
 """Deduplication: keep the best row per key.
 
-``keep_best`` is ``row_number() = 1`` per key. Spark plans a window group limit
-below the shuffle for it: each task keeps the first row of each of its keys, so a
-key holding a third of all rows moves as one row per task.
+``keep_best`` is one aggregate per key, the row with the least sort key. It is
+partial: each task keeps the first row of each of its keys, so a key holding a
+third of all rows moves as one row per task.
 
 Orders are total: callers pass a final tie-breaker so results do not depend on
 partitioning (the reference's single-key sorts are unstable).
@@ -14,6 +14,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Order:
@@ -44,6 +45,36 @@ def desc(c, nulls_last=True) -> Order:
     return Order(c, True, nulls_last)
 
 
+def ascending_key(order: Sequence[Order], df: DataFrame) -> Column:
+    """A struct whose least value belongs to the first row in ``order``, exact for all types: a descending key is replaced
+    by one in opposite order (integers and dates by their bitwise complement, so 64-bit keys lose nothing; text by its
+    complemented hexadecimal digits with an end sign above all of them)."""
+    fields = []
+    for i, o in enumerate(order):
+        c, dtype = o.col, df.select(o.col).schema.fields[0].dataType
+        values = [c]
+        if o.desc:
+            if isinstance(dtype, T.BooleanType):
+                values = [~c]
+            elif isinstance(dtype, T.IntegralType):
+                values = [F.bitwise_not(c)]
+            elif isinstance(dtype, T.DecimalType):
+                values = [-c]
+            elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+                values = [~F.isnan(c), -c]  # NaN is the largest value, negated too
+            elif isinstance(dtype, T.DateType):
+                values = [F.bitwise_not(F.unix_date(c))]
+            elif isinstance(dtype, T.TimestampType):
+                values = [F.bitwise_not(F.unix_micros(c))]
+            elif isinstance(dtype, (T.StringType, T.BinaryType)):
+                values = [F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))]
+            else:
+                raise TypeError(f"no descending order for {dtype.simpleString()}")
+        empty = c.isNull() if o.nulls_last else c.isNotNull()
+        fields += [empty.alias(f"n{i}"), *[v.alias(f"v{i}_{j}") for j, v in enumerate(values)]]
+    return F.struct(*fields)
+
+
 def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Order],
               isolate_empty: bool = False) -> DataFrame:
     """One row per ``keys``, the first in ``order``.
@@ -62,10 +93,8 @@ def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Order],
             empty = empty | F.col(k).isNull() | (F.col(k).cast("string") == "")
         df = df.withColumn("_iso", F.when(empty, F.monotonically_increasing_id()))
         group.append("_iso")
-    # Spark keeps the first row of each key in every task before the shuffle (window group limit), so a hot key
-    # is reduced where it lies; the order holds for all types alike.
-    w = Window.partitionBy(*group).orderBy(*[o.sort_col() for o in order])
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(*cols)
+    best = df.groupBy(*group).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), ascending_key(order, df)).alias("_best"))
+    return best.select("_best.*")
 
 
 def first_seen(df: DataFrame, id_col: str, order: Sequence[Order]) -> DataFrame:

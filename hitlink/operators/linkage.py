@@ -16,6 +16,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .dedup import Order, keep_best
 
 
@@ -134,10 +135,10 @@ def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Order], k:
 
 
 def matched_split_counts(linked: DataFrame, source: DataFrame, match_col: str) -> DataFrame:
-    """Matched / unmatched counts; fails if any input row was lost or duplicated."""
+    """Matched / unmatched counts; fails if any input row was lost or duplicated. ``linked`` is evaluated once."""
     status = F.when(F.col(match_col).isNull(), F.lit("unmatched")).otherwise(F.lit("matched"))
-    counts = linked.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    got = sum(r["n"] for r in counts.collect())  # at most two rows
+    counts = materialize(linked.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n")), "split_counts")
+    got = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     want = source.count()
     if got != want:
         raise AssertionError(f"linkage changed the row count: {want} in, {got} out")

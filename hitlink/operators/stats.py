@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .ordered import quantiles_of_counts, value_counts_long
+
 
 def per_group_report(stages: dict[str, DataFrame], by: str) -> DataFrame:
     """Row count per group for each stage, plus a total row (``by`` NULL)."""
@@ -36,19 +43,27 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def summary(df: DataFrame, cols) -> DataFrame:
-    """A3: count, mean, std (n-1), min, exact quartiles (linear), max per column,
-    in one aggregate pass, returned long (one row per column)."""
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
-                 F.min(c).cast("double").alias(f"{c}__min"),
-                 F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(c).cast("double").alias(f"{c}__max")]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__n").alias("count"), F.col(f"{c}__mean").alias("mean"),
-                     F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
-                     F.col(f"{c}__q")[0].alias("p25"), F.col(f"{c}__q")[1].alias("p50"),
-                     F.col(f"{c}__q")[2].alias("p75"), F.col(f"{c}__max").alias("max")) for c in cols]
-    return one.select(_stack(rows)).select("s.*")
+    """A3: count, mean, std (n-1), min, exact quartiles (linear), max per column, one row per column.
+
+    Everything comes from the counts of distinct values, which are made where the rows lie: the moments are one small
+    aggregate over them, the quartiles are selected by ``ordered.quantiles_of_counts``. Squares are taken about each column's
+    mean."""
+    return summary_of_counts(materialize(value_counts_long(df, cols), "value_counts_long"), cols)
+
+
+def summary_of_counts(counts: DataFrame, cols) -> DataFrame:
+    """A3 from (feature, value, n)."""
+    cols = list(cols)
+    n, v = F.col("n"), F.col("value")
+    first = counts.groupBy("feature").agg(F.sum("n").alias("count"), (F.sum(v * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    # One row per column on the right.
+    squares = counts.join(F.broadcast(first.select("feature", "mean")), "feature").groupBy("feature").agg(
+        F.sum((v - F.col("mean")) * (v - F.col("mean")) * n).alias("_ss"))
+    q = quantiles_of_counts(counts, [0.25, 0.5, 0.75]).select("feature", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"))
+    names = counts.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    return (names.join(first, "feature", "left").join(squares, "feature", "left").join(q, "feature", "left")
+            .select("feature", F.coalesce("count", F.lit(0)).alias("count"), "mean",
+                    F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1))).alias("std"), "min", "p25", "p50", "p75", "max"))
 
 
 def missing_audit(df: DataFrame, cols) -> DataFrame:
@@ -126,50 +141,97 @@ def student_t_two_sided_p(t: float, dof: float) -> float:
     return 1.0 - front * cf(b, a, 1.0 - x) / b
 
 
-def welch_test(df: DataFrame, label: str, cols, alpha: float = 0.05) -> DataFrame:
-    """A10: Welch's t-test per feature with its two-sided p-value, sorted by p.
-    The p-value is computed by an Arrow-batched pandas function over the
-    per-feature rows (one row per feature, after the aggregate)."""
+def with_p_values(moments: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Adds the two-sided p-value of (t, dof) and whether it is below ``alpha``, by an Arrow-batched pandas function over
+    the per-feature rows (one row per feature, after the aggregate)."""
     from pyspark.sql.types import DoubleType
 
     @F.pandas_udf(DoubleType())
     def p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
         return pd.Series([student_t_two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64")
 
-    m = welch_moments(df, label, cols)
-    m = m.withColumn("p_value", p_value("t", "dof"))
-    return m.withColumn("significant", F.col("p_value") < alpha)
+    return moments.withColumn("p_value", p_value("t", "dof")).withColumn("significant", F.col("p_value") < alpha)
+
+
+def welch_test(df: DataFrame, label: str, cols, alpha: float = 0.05) -> DataFrame:
+    """A10: Welch's t-test per feature with its two-sided p-value."""
+    return with_p_values(welch_moments(df, label, cols), alpha)
+
+
+def split_significant(tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The features whose class means differ significantly, and the others (those without a p-value too)."""
+    yes = F.coalesce(F.col("significant") & ~F.isnan("p_value"), F.lit(False))
+    return tested.filter(yes), tested.filter(~yes)
 
 
 def outliers_iqr(df: DataFrame, cols, k: float = 3.0) -> DataFrame:
     """Q1, Q3, IQR, count outside [Q1 - k*IQR, Q3 + k*IQR] and its share of
-    all rows (NULLs count in the denominator). Two passes: quartiles, then counts."""
-    q = df.agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in cols]).first()  # 2 numbers per column
-    total = F.count(F.lit(1))
-    aggs = [total.alias("__total")]
-    bounds = {}
-    for c in cols:
-        q1, q3 = q[c][0], q[c][1]
-        lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-        bounds[c] = (q1, q3)
-        aggs.append(F.sum(((F.col(c) < lo) | (F.col(c) > hi)).cast("long")).alias(c))
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("feature"), F.lit(bounds[c][0]).alias("q1"), F.lit(bounds[c][1]).alias("q3"),
-                     F.lit(bounds[c][1] - bounds[c][0]).alias("iqr"), F.coalesce(F.col(c), F.lit(0)).alias("outliers"),
-                     (F.coalesce(F.col(c), F.lit(0)) * 100.0 / F.col("__total")).alias("pct_rows")) for c in cols]
-    return one.select(_stack(rows)).select("s.*")
+    all rows (NULLs count in the denominator). Quartiles and counts both come from the counts of distinct values."""
+    return outliers_of_counts(materialize(value_counts_long(df, cols), "value_counts_long"), cols, df.count(), k)
+
+
+def outliers_of_counts(counts: DataFrame, cols, total: int, k: float = 3.0) -> DataFrame:
+    """A12 from (feature, value, n) of ``total`` rows."""
+    cols = list(cols)
+    q = quantiles_of_counts(counts, [0.25, 0.75]).select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    outside = (F.col("value") < F.col("q1") - k * iqr) | (F.col("value") > F.col("q3") + k * iqr)
+    out = counts.join(q, "feature").groupBy("feature").agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outliers"))
+    names = counts.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    return (names.join(q, "feature", "left").join(out, "feature", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
+            .select("feature", "q1", "q3", iqr.alias("iqr"), "outliers", (F.col("outliers") * 100.0 / F.lit(total)).alias("pct_rows")))
+
+
+def _pair_moments(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row per pair of columns: rows where both are present, their means, and the sums of squares and products about
+    the means. Sums are taken about the means of the task's first rows, so large offsets cost no digits."""
+    k = len(names)
+    count, x_sum, xx, xy = (np.zeros((k, k)) for _ in range(4))
+    shift = None
+    for batch in batches:
+        values = np.column_stack([batch[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in names]) if batch.num_rows else np.zeros((0, k))
+        there = ~np.column_stack([np.asarray(batch[c].is_null()) for c in names]) if batch.num_rows else np.zeros((0, k), bool)
+        if shift is None and len(values):
+            shift = np.where(there, values, 0).sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+            shift = np.where(np.isfinite(shift), shift, 0)
+        if len(values):
+            x, m = np.where(there, values - shift, 0), there.astype(np.float64)
+            count, x_sum, xx, xy = count + m.T @ m, x_sum + x.T @ m, xx + (x * x).T @ m, xy + x.T @ x
+    i, j = np.triu_indices(k, 1)
+    n = count[i, j]
+    safe = np.maximum(n, 1)
+    a, b = x_sum[i, j] / safe, x_sum[j, i] / safe
+    zero = np.zeros(k) if shift is None else shift
+    columns = {"n": n, "ma": zero[i] + a, "mb": zero[j] + b, "va": xx[i, j] - safe * a * a, "vb": xx[j, i] - safe * b * b, "c": xy[i, j] - safe * a * b}
+    yield pa.RecordBatch.from_arrays([pa.array([names[p] for p in i]), pa.array([names[p] for p in j]), *[pa.array(v) for v in columns.values()]],
+                                     names=["f1", "f2", *columns])
+
+
+def _merge_moments(parts: pd.DataFrame) -> pd.DataFrame:
+    """Pearson r of one pair from the moments of all tasks."""
+    out = parts[["f1", "f2"]].head(1).copy()
+    parts = parts[parts["n"] > 0]
+    n = parts["n"].sum()
+    r = None
+    if n > 1:
+        a, b = ((parts["n"] * parts[m]).sum() / n for m in ("ma", "mb"))
+        da, db = parts["ma"] - a, parts["mb"] - b
+        va, vb = ((parts[v] + parts["n"] * d * d).sum() for v, d in (("va", da), ("vb", db)))
+        if va > 0 and vb > 0:
+            r = (parts["c"] + parts["n"] * da * db).sum() / math.sqrt(va) / math.sqrt(vb)
+    out["r"] = pd.Series([r], index=out.index, dtype="float64")
+    return out
 
 
 def correlations(df: DataFrame, cols) -> DataFrame:
     """Pearson r for every pair (upper triangle), pairwise complete, in one
-    pass. Rows are unpivoted to (pair, x, y) and grouped by pair: one small
-    aggregate per group instead of one aggregate with 45 correlation states
-    (whose generated code is too large to compile and falls back to interpreted)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    arr = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(a).cast("double").alias("x"),
-                             F.col(b).cast("double").alias("y")) for a, b in pairs])
-    long = df.select(F.explode(arr).alias("p")).select("p.*")
-    return long.groupBy("f1", "f2").agg(F.corr("x", "y").alias("r"))
+    pass. Each task keeps one co-moment matrix of its rows (matrix products over
+    Arrow batches) and sends a row per pair; these are merged about the overall
+    means. NULL where fewer than two rows are complete or a side is constant."""
+    names = list(cols)
+    moments = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(
+        lambda batches: _pair_moments(batches, names), "f1 string, f2 string, n double, ma double, mb double, va double, vb double, c double")
+    return moments.groupBy("f1", "f2").applyInPandas(lambda parts: _merge_moments(parts), "f1 string, f2 string, r double")
 
 
 def strong_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -191,8 +253,7 @@ def histogram(df: DataFrame, col: str, bins: int, by=(), density: bool = True) -
                               F.count(F.lit(1)).alias("_n"))
     rng = (rng.withColumn("_lo", F.when(F.col("_mx") == F.col("_mn"), F.col("_mn") - 0.5).otherwise(F.col("_mn")))
               .withColumn("_hi", F.when(F.col("_mx") == F.col("_mn"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))))
-    # One row per group (labels, or the single overall range): a bounded broadcast.
-    j = d.join(F.broadcast(rng), by)
+    j = d.join(rng, by)  # one row per group; broadcast only where its size is measured as small
     b = F.least(F.floor((x.cast("double") - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo"))),
                 F.lit(bins - 1)).cast("int")
     counts = j.groupBy(*by, b.alias("bin"), "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count"))
@@ -206,15 +267,13 @@ def histogram(df: DataFrame, col: str, bins: int, by=(), density: bool = True) -
 
 def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles per group and whiskers at the last point inside 1.5 IQR."""
-    x = F.col(col)
-    q = df.groupBy(by).agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"))
-    q = q.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    j = df.select(by, x.alias("_x")).join(F.broadcast(q), by)  # one row per group
-    iqr = F.col("q3") - F.col("q1")
-    inside_lo = F.when(F.col("_x") >= F.col("q1") - whisker * iqr, F.col("_x"))
-    inside_hi = F.when(F.col("_x") <= F.col("q3") + whisker * iqr, F.col("_x"))
-    return j.groupBy(by, "q1", "median", "q3").agg(F.min(inside_lo).cast("double").alias("whisker_low"),
-                                                   F.max(inside_hi).cast("double").alias("whisker_high"))
+    counts = materialize(value_counts_long(df, [col], [by]), "value_counts_long")
+    q = quantiles_of_counts(counts, [0.25, 0.5, 0.75], [by])
+    q = q.select(F.col(by).alias("_by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    iqr, x = F.col("q3") - F.col("q1"), F.col("value")
+    inside_lo, inside_hi = F.when(x >= F.col("q1") - whisker * iqr, x), F.when(x <= F.col("q3") + whisker * iqr, x)
+    return (counts.join(q, F.col(by).eqNullSafe(F.col("_by"))).groupBy(by, "q1", "median", "q3")
+            .agg(F.min(inside_lo).alias("whisker_low"), F.max(inside_hi).alias("whisker_high")))
 
 
 def bucket_counts(df: DataFrame, bucket: str, buckets) -> DataFrame:

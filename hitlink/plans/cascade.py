@@ -1,10 +1,12 @@
 """Search cascades (C8: J9-J13) and per-year negative sampling (C7: J7, J14, U5,
 U6, W8, A21, A23), re-aimed from live search calls to joins on a catalog table.
 
-A "search" for a song is the top-k catalog rows of the song's block key (the
-reference's result lists hold 5 or 10 tracks). Candidate lists are built once
-per block key, not per song, so a popular key costs one ranking, and the song
-side joins k rows per key (AQE splits a hot key on the song side).
+A strict "search" for a song is the top-k catalog rows of the song's block key
+(the reference's result lists hold 5 or 10 tracks). Candidate lists are built
+once per block key, not per song, so a popular key costs one ranking, and the
+song side joins k rows per key (AQE splits a hot key on the song side). The
+loose search by title and artist words scores every track that shares a word
+before anything is cut (``artist_search``).
 """
 
 from __future__ import annotations
@@ -73,33 +75,71 @@ def _results(index: DataFrame, keys, k: int) -> DataFrame:
     return L.top_k_per_key(idx, list(keys), POP_ORDER, k, salt_col="spotify_id")
 
 
+def artist_search(songs: DataFrame, index: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The loose third search (title and artist words): tracks of a song's title key that share an artist word with it, scored
+    by the words of all their artists. One row per song with such a track: song_id, and the best track by (score,
+    popularity, id) as ``best`` (spotify_id, score), NULL where none reaches ``threshold``.
+
+    The index is inverted, (title key, artist word) -> track, and no list is cut before scoring. Words are ordered from
+    rare to frequent inside a title key; a pair that reaches the threshold shares one of the first |a| - ceil(t |a|) + 1 words of
+    either side, so only these are joined, and the very frequent words of a title seldom are. Songs with one title key and one
+    set of words are one search; of the tracks with the same title key and words only the most popular can win and is kept.
+    """
+    # Word lists are sorted, so equal sets are equal texts.
+    as_text = lambda c: F.array_join(c, " ")
+    asked = songs.where(F.col("tk").isNotNull() & (F.size("artist_words") > 0)).select("song_id", "tk", "artist_words", as_text("artist_words").alias("wkey"))
+    searches = asked.select("tk", "artist_words", "wkey").distinct()
+    tracks = index.where(F.col("tk").isNotNull() & (F.size("track_words") > 0)).select("tk", "spotify_id", "popularity", "track_words", as_text("track_words").alias("tkey"))
+    tracks = U.keep_best(tracks, ["tk", "tkey"], POP_ORDER)
+    words = tracks.select("tk", F.explode("track_words").alias("word"))
+    frequency = words.groupBy("tk", "word").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(df: DataFrame, side: str, own: list[str]) -> DataFrame:
+        long = df.select("tk", *own, F.col(side).alias("words"), F.explode(side).alias("word")).join(frequency, ["tk", "word"], "left")
+        ranked = long.groupBy("tk", *own).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("of"), F.first("words").alias(side))
+        n = F.size(side)
+        # Words no track has come first: they cannot be shared, and still count as places of the prefix.
+        keep = n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int") + 1
+        return ranked.select("tk", *own, side, F.explode(F.slice("of", 1, keep)).alias("_w")).select("tk", *own, side, F.col("_w.word").alias("word"))
+
+    left = prefix(searches, "artist_words", ["wkey"])
+    right = prefix(tracks.select("tk", "tkey", "track_words", "spotify_id", "popularity"), "track_words", ["tkey", "spotify_id", "popularity"])
+    pairs = left.join(right, ["tk", "word"])
+    score = TX.jaccard(F.col("artist_words"), F.col("track_words"))
+    pop = F.coalesce(F.col("popularity").cast("double"), F.lit(0.0))
+    order = F.struct((-F.col("score")).alias("s"), (-pop).alias("p"), F.col("popularity").isNull().alias("n"), F.col("spotify_id").alias("i"))
+    best = (pairs.withColumn("score", score).where(F.col("score") >= F.lit(threshold)).groupBy("tk", "wkey")
+            .agg(F.min_by(F.struct("spotify_id", "score"), order).alias("best")))
+    # Any shared word makes a result list, whether or not a track passes.
+    listed = searches.select("tk", "wkey", F.explode("artist_words").alias("word")).join(frequency, ["tk", "word"], "left_semi").select("tk", "wkey").distinct()
+    return asked.join(listed, ["tk", "wkey"]).join(best, ["tk", "wkey"], "left").select("song_id", "best")
+
+
 def first_pass(songs: DataFrame, index: DataFrame, threshold: float = 0.5, k: int = 5) -> DataFrame:
     """J11 + J9: three searches of decreasing strictness (title+artist+year,
-    title+artist, title); the first non-empty result list is used even if none
-    of it passes the artist check. One row per song: stage used (0 = no results),
-    chosen track (NULL if none qualified) and its score."""
-    stages = [["tk", "ak", "year"], ["tk", "ak"], ["tk"]]
+    title+artist, loose title and artist words); the first non-empty result list
+    is used even if none of it passes the artist check. One row per song: stage
+    used (0 = no results), chosen track (NULL if none qualified) and its score."""
     found = None
-    for i, keys in enumerate(stages, 1):
+    for i, keys in enumerate([["tk", "ak", "year"], ["tk", "ak"]], 1):
         c = songs.select("song_id", "artist_words", *keys).join(_results(index, keys, k), on=keys)
         c = c.select("song_id", "artist_words", "spotify_id", "popularity", "track_words", "cand_pos",
                      F.lit(i).alias("stage"))
         found = c if found is None else found.unionByName(c)
-    # A song has at most 3 * k candidate rows: a bounded group, so a window per
-    # song is cheap, and one aggregate then yields the stage and the choice.
-    used = found.withColumn("_first", F.min("stage").over(Window.partitionBy("song_id"))) \
-        .filter(F.col("stage") == F.col("_first"))
-    scored = used.withColumn("score", TX.jaccard(F.col("artist_words"), F.col("track_words")))
+    # A song has at most 2 * k candidate rows. Stage first in the order: the best row is of the first non-empty list.
+    scored = found.withColumn("score", TX.jaccard(F.col("artist_words"), F.col("track_words")))
     ok = F.col("score") >= F.lit(threshold)
     pop = F.coalesce(F.col("popularity").cast("double"), F.lit(0.0))
-    order = F.struct((~ok).alias("miss"), (-F.col("score")).alias("s"), (-pop).alias("p"), F.col("cand_pos").alias("pos"))
-    per_song = scored.groupBy("song_id").agg(
+    order = F.struct("stage", (~ok).alias("miss"), (-F.col("score")).alias("s"), (-pop).alias("p"), F.col("cand_pos").alias("pos"))
+    strict = scored.groupBy("song_id").agg(
         F.min("stage").alias("stage"),
-        F.min_by(F.struct(ok.alias("ok"), F.col("spotify_id"), F.col("score")), order).alias("_b"))
-    out = songs.select("song_id").join(per_song, "song_id", "left")
-    return out.select("song_id", F.coalesce("stage", F.lit(0)).alias("stage"),
-                      F.when(F.col("_b.ok"), F.col("_b.spotify_id")).alias("spotify_id"),
-                      F.when(F.col("_b.ok"), F.col("_b.score")).alias("score"))
+        F.min_by(F.when(ok, F.struct("spotify_id", "score")), order).alias("best"))
+    strict = materialize(strict, "strict_searches")  # read for its songs and for the rest
+    rest = songs.join(strict.select("song_id"), "song_id", "left_anti")
+    loose = artist_search(rest, index, threshold).select("song_id", F.lit(3).alias("stage"), "best")
+    out = songs.select("song_id").join(strict.unionByName(loose), "song_id", "left")
+    return out.select("song_id", F.coalesce("stage", F.lit(0)).alias("stage"), F.col("best.spotify_id").alias("spotify_id"),
+                      F.col("best.score").alias("score"))
 
 
 def second_pass(songs: DataFrame, index: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -137,7 +177,10 @@ def second_pass(songs: DataFrame, index: DataFrame, threshold: float = 0.3) -> D
     d = popular(s, ["tk"], 10).select("song_id", "spotify_id", F.lit(4).alias("pass_no"))
     first = (a.unionByName(b).unionByName(c).unionByName(d).groupBy("song_id")
               .agg(F.min("pass_no").alias("pass_no"), F.min_by("spotify_id", "pass_no").alias("spotify_id")))
-    label = F.element_at(F.array(*[F.lit(x) for x in PASS_LABELS]), F.col("pass_no"))
+    # Not element_at: on the left join's missing pass number its generated code gives the last label.
+    label = F.when(F.col("pass_no") == 1, PASS_LABELS[0])
+    for i, name in enumerate(PASS_LABELS[1:], 2):
+        label = label.when(F.col("pass_no") == i, name)
     out = s.select("song_id").join(first, "song_id", "left")
     return out.select("song_id", "spotify_id", F.coalesce(label, F.lit("none")).alias("pass"))
 
@@ -183,8 +226,9 @@ def negative_pool(catalog_raw: DataFrame, chart_clean: DataFrame) -> DataFrame:
     chart_keys = chart_clean.select(F.col("year").alias("target_year"),
                                     F.lower(TX.strip("title_clean")).alias("k1"),
                                     F.lower(TX.strip("primary_artist")).alias("k2"))
-    return L.anti_join(c, chart_keys, ["target_year", F.lower(TX.strip("title_clean")), F.lower(TX.strip("primary_artist"))],
-                       ["target_year", "k1", "k2"])
+    out = L.anti_join(c, chart_keys, ["target_year", F.lower(TX.strip("title_clean")), F.lower(TX.strip("primary_artist"))],
+                      ["target_year", "k1", "k2"])
+    return materialize(out, "negative_pool")  # sampling reads it for its counts and for its rows
 
 
 def sample_per_year(pool: DataFrame, n: int = 400, seed: int = 42) -> DataFrame:

@@ -13,6 +13,7 @@ or capped here.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import spread
 
@@ -50,14 +51,16 @@ _FEATURE_EXPRS = {
 
 
 def catalog_exprs() -> list[str]:
-    """F2 catalog from ``part``. Titles carry decorations that exercise the keys."""
-    name = ("p_name || CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN ' (Remix)' "
+    """F2 catalog from ``part``. Titles carry decorations that exercise the keys;
+    every ninth track has a title that no chart lists (non-hits); one release year
+    holds more tracks than a year's sample takes."""
+    name = ("CASE WHEN p_partkey % 9 = 4 THEN 'Unreleased ' ELSE '' END || p_name || CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN ' (Remix)' "
             "WHEN 2 THEN ' - Live' WHEN 3 THEN ' feat. X' WHEN 4 THEN ' [2009]' "
             "ELSE ' radio edit' END")
     artists = ("CASE p_partkey % 4 WHEN 0 THEN '[''' || p_brand || ''']' "
                "WHEN 1 THEN '[''' || p_brand || ''', ''Guest ' || CAST(p_partkey % 5 AS STRING) || ''']' "
                "WHEN 2 THEN '[\"' || p_brand || '\"]' ELSE p_brand END")
-    year = "CAST(1995 + p_partkey % 7 AS INT)"
+    year = "CAST(CASE WHEN p_partkey % 2 = 0 THEN 1998 ELSE 1995 + p_partkey % 7 END AS INT)"
     exprs = [
         "'t' || CAST(p_partkey AS STRING) AS id",
         f"{name} AS name",
@@ -105,11 +108,15 @@ def yearend_chart_exprs() -> list[str]:
              "WHEN 4 THEN p_name || '!!' "
              "WHEN 5 THEN p_name || '... |' "
              "WHEN 6 THEN '“' || p_name || '”' "
-             "WHEN 7 THEN p_name || ' (feat. Guest)' "
+             "WHEN 7 THEN CASE WHEN l_orderkey % 5 = 4 THEN 'Lost Tape ' ELSE '' END || p_name || ' (feat. Guest)' "
              "ELSE p_name END")
-    artist = ("CASE l_linenumber % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || CASE WHEN l_partkey % 2 = 0 "
+    # By line: the lead artist alone, featuring credits, "&", lists; a longer stage name (found by its first word only) and
+    # credits that name nobody of the track (found by title only).
+    artist = ("CASE WHEN l_orderkey % 5 = 3 AND l_linenumber % 4 = 0 THEN p_brand || ' Ensemble of Old Town' "
+              "WHEN l_orderkey % 5 = 4 AND l_linenumber % 4 = 0 THEN 'Various Voices ' || p_type ELSE "
+              "CASE l_linenumber % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || CASE WHEN l_partkey % 2 = 0 "
               "THEN ' featuring ' || p_type ELSE ' [ft. ' || p_type || ']' END "
-              "WHEN 2 THEN p_brand || ' & ' || p_type ELSE p_brand || ', ' || p_type || ' and Band' END")
+              "WHEN 2 THEN p_brand || ' & ' || p_type ELSE p_brand || ', ' || p_type || ' and Band' END END")
     return [
         "CAST(1990 + l_orderkey % 30 AS INT) AS year",
         "CAST(1 + (l_orderkey * 7 + l_linenumber) % 100 AS INT) AS rank",
@@ -147,6 +154,8 @@ def songs_exprs(engine: str) -> list[str]:
         # (order, line, part, supplier) is the line item's unique key in the test data.
         ("CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || "
          "CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS id"),
+        # The song behind a row: several rows can be of one song, so a row labelled 0 can be a hit by its key.
+        "CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS song_key",
         "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label",
         f"CAST({yr} AS INT) AS year",
         "CASE WHEN l_returnflag = 'R' THEN CAST(1 + (l_orderkey * 3 + l_linenumber) % 100 AS INT) END AS peak_rank",
@@ -224,3 +233,38 @@ def sql_weekly_chart() -> str:
 def sql_yearend_chart() -> str:
     return (f"(SELECT {', '.join(yearend_chart_exprs())} FROM lineitem "
             "JOIN part ON l_partkey = p_partkey)")
+
+
+# --- chart pages ---------------------------------------------------------------
+# Pages of some 40 orders each, as HTML, from lineitem x part: a small table before the chart, on some pages a long one
+# without chart words; headers in several wordings; cells that span two rows; a table inside a cell; ranks that are no
+# numbers; pages whose chart names no artist. What a page holds is said by the same row numbers, so expected rows are SQL.
+
+_PAGE = "CAST(floor(l_orderkey / 40) AS BIGINT)"
+_PAGE_ROWS = (f"SELECT {_PAGE} AS page_id, row_number() OVER (PARTITION BY {_PAGE} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn, "
+              f"count(*) OVER (PARTITION BY {_PAGE}) AS n, p_name, p_brand, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey")
+_ROW_HTML = ("'<tr><td>' || CASE WHEN l_linenumber = 5 THEN 'Tie' ELSE CAST(rn AS STRING) END || '</td><td>\"' || p_name || '\"' || "
+             "CASE WHEN page_id % 5 = 1 AND rn = 2 THEN '<table><tr><td>see</td><td>note</td></tr></table>' ELSE '' END || '</td>' || "
+             "CASE WHEN page_id % 3 = 0 AND rn % 2 = 0 THEN '' WHEN page_id % 3 = 0 AND rn < n THEN '<td rowspan=\"2\">' || p_brand || ' &amp; Co' "
+             "ELSE '<td>' || p_brand || ' &amp; Co' END")
+_HEAD_HTML = ("'<html><body><table class=\"infobox\"><tr><th>Year</th><td>' || CAST(1990 + page_id % 30 AS STRING) || '</td></tr></table>' || "
+              "CASE WHEN page_id % 4 = 2 THEN '<table><tr><th>Week</th><th>Date</th></tr>' || repeat('<tr><td>w</td><td>d</td></tr>', 60) || '</table>' ELSE '' END || "
+              "'<table class=\"wikitable sortable\"><tr><th>' || CASE page_id % 4 WHEN 0 THEN 'No.' WHEN 1 THEN '#' WHEN 2 THEN 'Rank' ELSE 'Pos' END || '</th><th>' || "
+              "CASE page_id % 3 WHEN 0 THEN 'Title' WHEN 1 THEN 'Song' ELSE 'Single' END || '</th><th>' || "
+              "CASE WHEN page_id % 7 = 3 THEN 'Label' WHEN page_id % 3 = 0 THEN 'Artist(s)' WHEN page_id % 3 = 1 THEN 'Act' ELSE 'Performer' END || '</th></tr>'")
+
+
+def chart_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, year, html): a page is an aggregate over its own rows, some 160."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    rows = spark.sql(_PAGE_ROWS.replace("lineitem", "{lineitem}").replace("part ON", "{part} ON"), lineitem=li, part=part)
+    pages = rows.selectExpr("page_id", "rn", f"{_ROW_HTML} AS html").groupBy("page_id").agg(F.expr("listagg(html, '') WITHIN GROUP (ORDER BY rn)").alias("body"))
+    return pages.selectExpr("page_id", "CAST(1990 + page_id % 30 AS INT) AS year", f"{_HEAD_HTML} || body || '</table></body></html>' AS html")
+
+
+def sql_chart_page_rows() -> str:
+    """CTEs p (rows of the pages) and chart (the rows that are to be found)."""
+    return (f"p AS ({_PAGE_ROWS}), a AS (SELECT *, CASE WHEN page_id % 3 = 0 AND rn % 2 = 0 THEN lag(p_brand) OVER (PARTITION BY page_id ORDER BY rn) ELSE p_brand END AS lead FROM p), "
+            "chart AS (SELECT page_id, CAST(rn AS INTEGER) AS row_no, CAST(rn AS INTEGER) AS rank, '\"' || p_name || '\"' AS title, lead || ' & Co' AS artist, "
+            "CAST(1990 + page_id % 30 AS INTEGER) AS year FROM a WHERE l_linenumber <> 5 AND page_id % 7 <> 3 AND (n >= 50 OR page_id % 4 <> 2))")

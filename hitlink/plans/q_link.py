@@ -90,7 +90,7 @@ def link_j4(spark, sf_dir):
 
 def _sql_modeling() -> str:
     return ("(SELECT src_order, src_line, year, rank, title, artist, primary_artist, "
-            "CASE WHEN src_line IN (1, 4) THEN 't' || CAST(partkey AS VARCHAR) END AS spotify_id, "
+            "CASE WHEN src_line = 4 AND src_order % 8 = 0 THEN 't' || CAST(partkey AS VARCHAR) END AS spotify_id, "
             "CAST(NULL AS VARCHAR) AS spotify_title, src_line = 7 AS audio_features_available, "
             "CASE WHEN src_line = 7 THEN 0.5 END AS danceability "
             f"FROM {sql_c1()})")
@@ -99,7 +99,7 @@ def _sql_modeling() -> str:
 def _modeling(spark, sf_dir):
     c = _c1(spark, sf_dir)
     return c.select("src_order", "src_line", "year", "rank", "title", "artist", "primary_artist",
-                    F.when(F.col("src_line").isin(1, 4), F.concat(F.lit("t"), F.col("partkey").cast("string")))
+                    F.when((F.col("src_line") == 4) & (F.col("src_order") % 8 == 0), F.concat(F.lit("t"), F.col("partkey").cast("string")))
                     .alias("spotify_id"),
                     F.lit(None).cast("string").alias("spotify_title"),
                     (F.col("src_line") == 7).alias("audio_features_available"),
@@ -159,14 +159,17 @@ songs AS (SELECT concat_ws(chr(1), coalesce(CAST(year AS VARCHAR), ''), coalesce
           NULLIF({OT.norm_base('title_clean')}, '') AS tk, NULLIF({OT.norm('primary_artist')}, '') AS ak FROM c1),
 {_sql_results('r1', ['tk', 'ak', 'year'], 5)},
 {_sql_results('r2', ['tk', 'ak'], 5)},
-{_sql_results('r3', ['tk'], 5)},
+w1 AS (SELECT song_id, {OT.word_set('primary_artist')} AS words FROM songs),
+w3 AS (SELECT spotify_id, {OT.word_set('track_artists')} AS words FROM idx),
 found AS (
   SELECT s.song_id, s.primary_artist, r.spotify_id, r.popularity, r.track_artists, r.cand_pos, 1 AS stage
     FROM songs s JOIN r1 r ON s.tk = r.tk AND s.ak = r.ak AND s.year = r.year
   UNION ALL SELECT s.song_id, s.primary_artist, r.spotify_id, r.popularity, r.track_artists, r.cand_pos, 2
     FROM songs s JOIN r2 r ON s.tk = r.tk AND s.ak = r.ak
-  UNION ALL SELECT s.song_id, s.primary_artist, r.spotify_id, r.popularity, r.track_artists, r.cand_pos, 3
-    FROM songs s JOIN r3 r ON s.tk = r.tk),
+  UNION ALL SELECT s.song_id, s.primary_artist, r.spotify_id, r.popularity, r.track_artists,
+    row_number() OVER (PARTITION BY s.song_id ORDER BY r.popularity DESC NULLS LAST, r.spotify_id), 3
+    FROM songs s JOIN w1 ON w1.song_id = s.song_id JOIN idx r ON s.tk = r.tk JOIN w3 ON w3.spotify_id = r.spotify_id
+    WHERE list_has_any(w1.words, w3.words)),
 fs AS (SELECT song_id, min(stage) AS stage FROM found GROUP BY song_id),
 used AS (SELECT f.*, {OT.jaccard(OT.word_set('f.primary_artist'), OT.word_set('f.track_artists'))} AS score
          FROM found f JOIN fs ON f.song_id = fs.song_id AND f.stage = fs.stage),

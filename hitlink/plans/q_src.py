@@ -47,6 +47,29 @@ def src_s7_rows(spark, sf_dir):
     return HT.chart_rows(FX.table(spark, sf_dir, "pages"))
 
 
+@register("src_s7_s9_generated_chart_rows",
+          f"WITH {FX.sql_chart_page_rows()} SELECT page_id, row_no, rank, title, artist, year FROM chart")
+def src_s9_generated(spark, sf_dir):
+    """Chart rows of pages with decoy tables, spans, nesting and several header wordings (S8), with the page's year."""
+    pages = materialize(FX.chart_pages(spark, sf_dir), "chart_pages")
+    return HT.chart_rows(pages, year_col="year").select("page_id", "row_no", "rank", "title", "artist", "year")
+
+
+@register("src_s7_generated_table_counts",
+          f"WITH {FX.sql_chart_page_rows()}, s AS (SELECT page_id, max(n) AS n FROM p GROUP BY page_id), "
+          "r AS (SELECT page_id, count(*) AS n_chart_rows FROM chart GROUP BY page_id) SELECT s.page_id, "
+          "CAST(2 + CASE WHEN s.page_id % 4 = 2 THEN 1 ELSE 0 END + CASE WHEN s.page_id % 5 = 1 AND n >= 2 THEN 1 ELSE 0 END AS BIGINT) AS n_tables, "
+          "n + 1 + CASE WHEN s.page_id % 5 = 1 AND n >= 2 THEN 1 ELSE 0 END + CASE WHEN s.page_id % 4 = 2 THEN 61 ELSE 0 END + 1 AS n_rows, "
+          "coalesce(r.n_chart_rows, 0) AS n_chart_rows FROM s LEFT JOIN r ON s.page_id = r.page_id")
+def src_s7_generated(spark, sf_dir):
+    """Tables and rows found on each generated page, and how many chart rows came of it."""
+    pages = materialize(FX.chart_pages(spark, sf_dir), "chart_pages")
+    rows = materialize(HT.table_rows(pages), "table_rows")
+    found = rows.groupBy("page_id").agg(F.countDistinct("table_no").alias("n_tables"), F.count(F.lit(1)).alias("n_rows"))
+    chart = HT.chart_rows(pages, rows=rows).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_chart_rows"))
+    return found.join(chart, "page_id", "left").select("page_id", "n_tables", "n_rows", F.coalesce("n_chart_rows", F.lit(0)).alias("n_chart_rows"))
+
+
 # --- S11, S12: nested records ----------------------------------------------------
 
 def _track_json(c):
@@ -149,11 +172,12 @@ def incr_i4(spark, sf_dir):
 
     sink = INC.run_incremental(spark, sf_dir, schema, transform, keys=["src_order", "src_line", "partkey", "src_supp"],
                                file_filter="lineitem.parquet")
-    return spark.read.parquet(sink)
+    return INC.read_sink(spark, sink)
 
 
 # --- C5: merge positives and negatives ------------------------------------------------
 
+# The merged set's columns in their order.
 KEEP_COLS = ["label", "year", "rank", "title", "artist", "title_clean", "artist_clean", "primary_artist",
              "spotify_id", "spotify_title", "spotify_artist", "spotify_album", "album_type", "release_date",
              "release_year", "popularity", "explicit", "duration_ms", "isrc"] + FX.AUDIO_COLS + [

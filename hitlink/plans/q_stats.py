@@ -9,7 +9,8 @@ from ..functions import columns as PC
 from ..operators import stats as ST
 from ..operators.impute import group_median_impute
 from . import fixtures as FX
-from .registry import r6, register
+from .registry import REGISTRY, r6, register
+from .report import eda_report
 
 S = FX.sql_songs()
 FEAT = FX.EDA_FEATURES
@@ -175,6 +176,29 @@ def agg_a15b(spark, sf_dir):
     return _round_doubles(ST.histogram(s, "peak_rank", 50))
 
 
+@register("agg_a15_weeks_histogram",
+          _hist_sql("wks_on_chart", 40, "", f"(SELECT * FROM {S} WHERE label = 1)"))
+def agg_a15c(spark, sf_dir):
+    s = _songs(spark, sf_dir).filter(F.col("label") == 1)
+    return _round_doubles(ST.histogram(s, "wks_on_chart", 40))
+
+
+@register("agg_a15_short_duration_histogram",
+          _hist_sql("duration_min", 40, "label", f"(SELECT label, duration_ms / 60000.0 AS duration_min FROM {S} WHERE duration_ms / 60000.0 < 10)"))
+def agg_a15d(spark, sf_dir):
+    """Durations under ten minutes, by label."""
+    s = _songs(spark, sf_dir).withColumn("duration_min", PC.minutes("duration_ms")).filter(F.col("duration_min") < 10)
+    return _round_doubles(ST.histogram(s, "duration_min", 40, by=["label"]))
+
+
+@register("agg_a11_significant_split",
+          "SELECT feature, abs(t) > 5 AS significant FROM (" + _union([_welch_sql(c) for c in FEAT]) + ")")
+def agg_a11(spark, sf_dir):
+    """A11 on p < 1e-6: with these many degrees of freedom that is |t| beyond 4.9 (SQL has no t distribution)."""
+    yes, no = ST.split_significant(ST.welch_test(_songs(spark, sf_dir), "label", FEAT, alpha=5.8e-7))
+    return yes.select("feature", F.lit(True).alias("significant")).unionByName(no.select("feature", F.lit(False).alias("significant")))
+
+
 @register("agg_a16_duration_histogram",
           _hist_sql("duration_min", 50, "label", f"(SELECT label, duration_ms / 60000.0 AS duration_min FROM {S})"))
 def agg_a16(spark, sf_dir):
@@ -207,3 +231,49 @@ def agg_a18(spark, sf_dir):
 @register("agg_a22_distinct_years", f"SELECT DISTINCT year FROM {S}")
 def agg_a22(spark, sf_dir):
     return _songs(spark, sf_dir).select("year").distinct().orderBy("year")
+
+
+# --- C9: the composed report ------------------------------------------------------
+
+def _unpivot(section: str, sql: str, measures: list[str], feature: str = "''", grp: str = "''") -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, CAST({feature} AS VARCHAR) AS feature, CAST({grp} AS VARCHAR) AS grp, '{m}' AS measure, "
+                              f"round(CAST({m} AS DOUBLE), 6) AS value FROM ({sql})" for m in measures)
+
+
+def _box_sql(c):
+    return (f"SELECT s.label, '{c}' AS feature, q1, median, q3, min(CASE WHEN {c} >= q1 - 1.5 * (q3 - q1) THEN {c} END) AS whisker_low, "
+            f"max(CASE WHEN {c} <= q3 + 1.5 * (q3 - q1) THEN {c} END) AS whisker_high FROM {S} s JOIN (SELECT label, quantile_cont({c}, 0.25) AS q1, "
+            f"quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3 FROM {S} GROUP BY label) q ON s.label = q.label GROUP BY s.label, q1, median, q3")
+
+
+def _report_sql() -> str:
+    sql = {n: REGISTRY[n][1] for n in ("agg_a3_summary_statistics", "agg_a10_welch_t", "agg_a12_outliers_3iqr", "agg_a13_correlation_matrix")}
+    missing = _union([f"SELECT '{c}' AS feature, sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS missing FROM {S}" for c in FEAT + ["peak_rank", "wks_on_chart", "explicit"]])
+    decade = "CAST(floor(year / 10) * 10 AS INTEGER)"
+    both = f"concat_ws('/', {decade}, label)"
+    parts = [
+        _unpivot("balance", f"SELECT label, count(*) AS rows, count(*) / sum(count(*)) OVER () AS share FROM {S} GROUP BY label", ["rows", "share"], grp="label"),
+        _unpivot("summary", sql["agg_a3_summary_statistics"], ["count", "mean", "std", "min", "p25", "p50", "p75", "max"], "feature"),
+        _unpivot("missing", f"SELECT * FROM ({missing}) WHERE missing > 0", ["missing"], "feature"),
+        _unpivot("decades", f"SELECT {both} AS g, count(*) AS rows FROM {S} GROUP BY 1", ["rows"], grp="g"),
+        _unpivot("trends", _union([f"SELECT '{c}' AS feature, {both} AS g, avg({c}) AS mean FROM {S} GROUP BY 2" for c in _TREND]), ["mean"], "feature", "g"),
+        _unpivot("label_means", f"SELECT 'is_explicit' AS feature, label, avg(coalesce(CAST(explicit AS INTEGER), 0)) AS mean FROM {S} GROUP BY label UNION ALL "
+                 f"SELECT 'duration_min', label, avg(duration_ms / 60000.0) FROM {S} GROUP BY label", ["mean"], "feature", "label"),
+        _unpivot("welch", sql["agg_a10_welch_t"], ["mean_hits", "mean_non_hits", "difference", "t", "dof"], "feature"),
+        _unpivot("outliers", sql["agg_a12_outliers_3iqr"], ["q1", "q3", "iqr", "outliers", "pct_rows"], "feature"),
+        *[_unpivot("histograms", _hist_sql(c, 40, "label", S), ["count", "bin_start", "density"], f"'{c}'", "concat_ws('/', label, bin)") for c in FEAT],
+        _unpivot("boxes", _union([_box_sql(c) for c in _BOX]), ["q1", "median", "q3", "whisker_low", "whisker_high"], "feature", "label"),
+        _unpivot("rank_buckets", f"SELECT bucket, n AS rows FROM ({REGISTRY['agg_a18_rank_buckets'][1]}) WHERE n > 0", ["rows"], grp="bucket"),
+        _unpivot("correlations", sql["agg_a13_correlation_matrix"], ["r"], "f1", "f2"),
+    ]
+    return _union(parts)
+
+
+_BOX = ["energy", "danceability"]
+
+
+@register("pipe_c9_eda_report", _report_sql())
+def pipe_c9(spark, sf_dir):
+    """The report without the two columns that SQL has no function for (Welch p-values)."""
+    out = eda_report(_songs(spark, sf_dir), FEAT, _TREND, _BOX)
+    return out.where(~F.col("measure").isin("p_value", "significant")).withColumn("value", F.round("value", 6))

@@ -59,9 +59,13 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     return reader.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else reader.parquet(path)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> bool:
     """Overwrite through the commit protocol (tasks write to a temporary
-    location, the job commit publishes), so readers never see half a table."""
+    location, the job commit publishes), so readers never see half a table. A
+    frame without rows writes nothing, so it does not replace an earlier good
+    output; the result says whether a table was written."""
+    if df.isEmpty():
+        return False
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -69,6 +73,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         w.option("header", True).option("escape", '"').csv(path)
     else:
         w.parquet(path)
+    return True
 
 
 def next_version(base: str, version: int) -> str:
