@@ -56,6 +56,7 @@ SLICE = 1.5                     # share of the token space whose frequencies are
 RARE, COMMON = 16, 256          # greatest frequencies of tokens indexed singly and in pairs
 SMALL = 16                      # sets in a bucket whose pairs are formed
 BROADCAST_ENTRIES = 500_000     # of 8 to 16 bytes
+SENT = 100_000                  # signatures that a task holds before it sends them
 SHORT = 64                      # the band of sets whose tokens run out before their prefix is long enough; no size is in it
 
 
@@ -311,14 +312,18 @@ def _rest_buckets(stars: DataFrame, label: DataFrame, threshold: float) -> tuple
         for batch in batches:
             sizes, flat = np.asarray(batch["of"].value_lengths()), batch["of"].flatten()
             tokens, times = flat.field("token").to_numpy().view(np.uint64), flat.field("times").to_numpy()
-            ends, found = np.cumsum(sizes), []
-            pivots = mix(batch["p"].to_numpy().view(np.uint64))
+            ends, pivots = np.cumsum(sizes), mix(batch["p"].to_numpy().view(np.uint64))
+            found, at, held = [], [], 0
             for k, (low, slices) in enumerate(zip(batch["least"].to_numpy(), batch["groups"].to_numpy())):
                 part = slice(ends[k] - sizes[k], ends[k])
                 found.append(mix(rest_signatures(tokens[part], times[part], int(low), int(slices)) ^ pivots[k]))
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([*found, np.zeros(0, np.uint64)]))), *[batch[c].take(pa.array(at)) for c in ("id", "n", "label")]],
-                                             names=["sig", "id", "n", "label"])
+                at.append(np.full(len(found[-1]), k))
+                held += len(found[-1])
+                if held > SENT or k == len(sizes) - 1:  # sets with many signatures go on by themselves
+                    own_rows = pa.array(np.concatenate(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), *[batch[c].take(own_rows) for c in ("id", "n", "label")]],
+                                                     names=["sig", "id", "n", "label"])
+                    found, at, held = [], [], 0
 
     sigs = materialize(own.mapInArrow(run, "sig long, id long, n long, label long"), "rest_signatures")
     wide = sigs.groupBy("sig").agg(F.count("*").alias("bucket"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
