@@ -17,8 +17,13 @@ for their common extension on the prefix hashes and then by one byte. The common
 on the bytes. The window that starts d bytes left of the anchor is repeated just if two contexts are in one interval of
 neighbours with left extension >= d and in one with right extension >= length - d.
 
-An anchor with more than ``GROUP_CONTEXTS`` distinct contexts is not sorted in one task: its windows are counted by
-digest, with partial sums, over all tasks.
+Splitting. An anchor with more than ``GROUP_CONTEXTS`` distinct contexts (a passage that many texts share, each going on in
+its own way) is split by further prefix hashes until its parts are small. A window that starts d bytes left of the anchor,
+d in [lo, hi), has the ``lo`` bytes left of the anchor and ``length`` - hi + 1 bytes from it: two contexts that share such a
+window agree on the hash of these, so a part is an interval of d and one such hash. Contexts that agree on all bytes that windows of
+the interval can cover have all of these windows in common: their spans are known, and one of them stays for the others. Parts that
+are still large go on with a quarter of the interval each, those that are not are sorted as above. An interval of one
+d has one window, so it ends there; a context is in few parts of a level, and there are at most five levels.
 
 Texts are read twice or three times and shuffled only if the list of places for a pass is too long to broadcast
 (``BROADCAST_ENTRIES``; beyond it the pass joins by key).
@@ -45,8 +50,8 @@ from hitlink.session import materialize
 LENGTH, GRAM = 400, 128
 TASK_CONTEXTS = 4000      # in a task, about
 SORTED_CONTEXTS = 1500    # sorted together: some 1 MB of text, 60 MB of hashes and orders
-GROUP_CONTEXTS = 1500
-STRETCH = 16              # windows of a hot anchor that are ruled out together
+GROUP_CONTEXTS = 100      # of an anchor or a part of it that are sorted together
+SPLIT = 4
 BROADCAST_ENTRIES = 3_000_000  # of 8 bytes
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -286,53 +291,56 @@ def _sorted_groups(contexts: DataFrame, n: int, length: int, gram: int) -> DataF
     return contexts.groupBy(task.alias("task")).applyInPandas(run, "key long, start long, end long")
 
 
-def _counted_windows(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans of repeated windows in contexts of hot anchors, by counting digests over all tasks. The windows that start in
-    one stretch of ``STRETCH`` places share all but their ends; only stretches whose shared part comes again are looked at
-    window by window."""
+def _split_groups(contexts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (key, start, end) of windows found on the way, and the contexts of the parts to sort, ``anchor`` being the part."""
     contexts = materialize(contexts, "hot_bytes")
     digest = xxhash.xxh3_64_intdigest
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 text, left = r["bytes"], r["left"]
-                first, last = max(0, left - length + gram), min(left, len(text) - length)
-                for k in range((left - last) // STRETCH, (left - first) // STRETCH + 1):  # by the distance to the anchor
-                    core = text[left - k * STRETCH : left - k * STRETCH - STRETCH + 1 + length]  # in each of its windows
-                    rows.append((r["key"], r["at"], 1 if r["once"] else 2, k, digest(core, k) - (1 << 63)))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)],
-                                             names=["key", "at", "times", "stretch", "core"])
-
-    cores = contexts.mapInArrow(stretches, "key long, at int, times long, stretch int, core long")
-    again = cores.groupBy("core").agg(F.sum("times").alias("n")).where("n > 1").select("core")
-    live = cores.join(again, "core").groupBy("key", "at").agg(F.collect_set("stretch").alias("stretches"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, seen = [], {}
-            for r in batch.to_pylist():
-                text, left, times, alive = r["bytes"], r["left"], 1 if r["once"] else 2, set(r["stretches"])
-                first, last = max(0, left - length + gram), min(left, len(text) - length)
-                own = [(s, digest(text[s : s + length], left - s) - (1 << 63)) for s in range(first, last + 1) if (left - s) // STRETCH in alive]
-                found.append((r["key"], r["at"] - left, times, own))
-                for _, d in own:
-                    seen[d] = seen.get(d, 0) + times
-            rows = [(None, None, None, 1, d) for d, n in seen.items() if n > 1]  # for the other batches
-            for key, zero, times, own in found:
-                sure = [s for s, d in own if seen[d] > 1]
-                if sure and times == 1:
-                    rows.append((key, zero + sure[0], zero + sure[-1] + length, 0, None))
-                rows += [(key, zero + s, zero + s + length, times, d) for s, d in own if seen[d] == 1]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)],
-                                             names=["key", "start", "end", "times", "window"])
-
-    rows = materialize(contexts.join(live, ["key", "at"]).mapInArrow(windows, "key long, start long, end long, times long, window long"), "hot_windows")
-    twice = rows.where("window IS NOT NULL").groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    open_ = rows.where("key IS NOT NULL AND times = 1").join(twice, "window").select("key", "start", "end")
-    return rows.where("window IS NULL").select("key", "start", "end").unionByName(open_)
+                right = len(text) - left
+                for lo, hi in zip(r["los"], r["his"]):  # each in quarters
+                    step = max(1, -(-(hi - lo) // SPLIT))
+                    for a in range(lo, hi, step):
+                        b = min(a + step, hi)
+                        first, last = max(a, length - right), min(b - 1, left)  # the windows that the text has room for
+                        if first <= last:
+                            anchor = r["anchor"] & (1 << 64) - 1
+                            weak = digest(text[left - a : left + length - b + 1], digest(b"%d %d" % (a, b), anchor))
+                            whole = digest(text[left - last : left + length - first], digest(b"%d %d" % (last, first), weak))
+                            rows.append((r["key"], r["at"], r["once"], a, b, first, last, weak - (1 << 63), whole - (1 << 63)))
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, kinds)],
+                                             names=["key", "at", "once", "lo", "hi", "first", "last", "weak", "whole"])
+
+    kind = "key long, at int, once boolean, lo int, hi int, first int, last int, weak long, whole long"
+    active = contexts.select("*", F.array(F.lit(0)).alias("los"), F.array(F.lit(length - gram + 1)).alias("his"))
+    spans, parts = None, None
+    while True:
+        rows = materialize(active.select("key", "at", "once", "anchor", "bytes", "left", "los", "his").mapInArrow(keys, kind), "split_keys")
+        # One of the contexts that agree on all windows stays; they are repeated if there is another, or if one comes more than once.
+        wholes = rows.groupBy("weak", "whole").agg((F.count("*") + F.max((~F.col("once")).cast("long"))).alias("times"), F.min(F.struct("key", "at")).alias("one"))
+        wholes = materialize(wholes.join(wholes.groupBy("weak").agg(F.count("*").alias("kinds")), "weak"), "split_wholes")
+        again = rows.where("once").join(wholes.where("times > 1").select("weak", "whole"), ["weak", "whole"]).select(
+            "key", (F.col("at") - F.col("last")).cast("long").alias("start"), (F.col("at") - F.col("first") + length).cast("long").alias("end"))
+        spans = again if spans is None else spans.unionByName(again)
+        stay = rows.join(wholes.where("kinds > 1").select("weak", "whole", "times", "one", "kinds"), ["weak", "whole"])
+        stay = stay.where((F.col("one.key") == F.col("key")) & (F.col("one.at") == F.col("at"))).select(
+            "key", "at", "lo", "hi", "weak", "kinds", (F.col("once") & (F.col("times") == 1)).alias("once"))
+        stay = materialize(stay, "split_stay")
+        done = stay.where(F.col("kinds") <= GROUP_CONTEXTS).select("key", "at", F.col("weak").alias("anchor"), "once")
+        parts = done if parts is None else parts.unionByName(done)
+        more = stay.where(F.col("kinds") > GROUP_CONTEXTS)
+        if more.isEmpty():
+            break
+        # Whether a context's windows are known differs by interval: one row for each answer.
+        more = more.groupBy("key", "at", "once").agg(F.collect_list(F.struct("lo", "hi")).alias("of")).select(
+            "key", "at", "once", F.col("of.lo").alias("los"), F.col("of.hi").alias("his"))
+        active = contexts.drop("once").join(more, ["key", "at"])
+    return spans, parts.join(contexts.select("key", "at", "bytes", "left"), ["key", "at"])
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -356,7 +364,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if n > n_hot:
         spans = spans.unionByName(_sorted_groups(_fetch(rows, border.where("NOT hot"), n - n_hot, length, gram), n - n_hot, length, gram))
     if n_hot:
-        spans = spans.unionByName(_counted_windows(_fetch(rows, border.where("hot"), n_hot, length, gram), length, gram))
+        found, parts = _split_groups(_fetch(rows, border.where("hot"), n_hot, length, gram), length, gram)
+        parts = materialize(parts, "split_parts")
+        spans = spans.unionByName(found).unionByName(_sorted_groups(parts, parts.count(), length, gram))
     return _united(spans)
 
 
@@ -400,4 +410,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"),
+                      F.coalesce(F.array_max(F.transform("removed", lambda x: x["end"] - x["start"])), F.lit(0)).cast("long").alias("longest_removed"))
