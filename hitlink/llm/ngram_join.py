@@ -25,8 +25,8 @@ x and y link when |d(x) ^ d(y)| <= s (|x| + |y|) (^: symmetric difference), as d
 e(x) + e(y) <= 0 they link for certain, and one link to the set of least e in the group connects all such sets. Otherwise they must
 share at least (e(x) + e(y)) / 2 tokens of d, so prefixes in d, rare tokens first, find them; frequent tokens are again indexed
 in combinations, and a group that few tokens tell from its pivot is done at once. Sets that links already connect have one label;
-groups and buckets of one label are left out, and so are sets with too few tokens in common with other labels. Buckets that are
-still large have pivots of their own, all in the same round, so the rounds follow the depth of this and not the size of a group.
+groups and buckets of one label are left out, and so are sets with too few tokens in common with other labels. In buckets of at most
+``SMALL_REST`` sets pairs are formed; those that are still larger have pivots of their own, all in the same round, so the rounds follow the depth of this and not the size of a group.
 
 At scale: copies (equal sets) are one set throughout. All grouping is by hashes with partial counts; lists of frequent
 tokens, repeated signatures and wanted ids are broadcast up to a stated number of entries and joined beyond it.
@@ -54,7 +54,7 @@ from hitlink.session import materialize
 
 SLICE = 1.5                     # share of the token space whose frequencies are counted, in units of 1 - threshold
 RARE, COMMON = 16, 256          # greatest frequencies of tokens indexed singly and in pairs
-SMALL = 16                      # sets in a bucket whose pairs are formed
+SMALL, SMALL_REST = 16, 256     # sets in a bucket whose pairs are formed: of the index, under a pivot
 BROADCAST_ENTRIES = 500_000     # of 8 to 16 bytes
 SENT = 100_000                  # signatures that a task holds before it sends them
 SHORT = 64                      # the band of sets whose tokens run out before their prefix is long enough; no size is in it
@@ -332,7 +332,7 @@ def _rest_buckets(stars: DataFrame, label: DataFrame, threshold: float) -> tuple
 
 def _rest_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different labels of the small buckets under pivots."""
-    rows = buckets.where(F.col("bucket") <= SMALL)
+    rows = buckets.where(F.col("bucket") <= SMALL_REST)
     left = rows.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     right = rows.select(F.col("sig").alias("sig2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     found = left.join(right, (F.col("sig") == F.col("sig2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _compatible("na", "nb", threshold))
@@ -441,7 +441,7 @@ def similarity_links(docs: DataFrame, sets: DataFrame, named: DataFrame, n: int,
         pairs = materialize(_rest_pairs(buckets, threshold), "pairs")
         found = _linked(_compare(pairs, whole, threshold, False), threshold).unionByName(certain)
         links = links.unionByName(materialize(found, "links"))
-        pivots = materialize(_pivots(buckets, SMALL), "pivots")
+        pivots = materialize(_pivots(buckets, SMALL_REST), "pivots")
     return links
 
 

@@ -141,6 +141,40 @@ def test_short_texts_of_frequent_shingles_link(spark, monkeypatch):
     assert found(spark, rows, 5, 0.8) == all_pairs(rows, 5, 80)
 
 
+def variants(rng, n, linked):
+    """One text with a passage of it replaced at a random place: by one other passage, so that texts with nearly the same place
+    link, or by words of its own, so that none do."""
+    base, other = prose(rng, 300).split(), prose(rng, 40).split()
+    out = []
+    for k in range(n):
+        at = rng.randrange(len(base) - 40)
+        own = other if linked else [f"own{k}x{j}" for j in range(40)]
+        out.append((k, " ".join(base[:at] + own + base[at + 40 :])))
+    return out
+
+
+@pytest.mark.parametrize("linked", [True, False])
+def test_many_variants_of_one_text(spark, monkeypatch, linked):
+    """Most pairs of such a group do not link. Pairs compared grow with the group, and rounds do not."""
+    pairs, rounds = {}, {}
+    real = ngram_join.materialize
+    for n in (150, 450):
+        pairs[n] = rounds[n] = 0
+
+        def spy(df, name, n=n):
+            out = real(df, name)
+            if name in ("pairs", "pivots"):
+                pairs[n] += out.count()
+                rounds[n] += name == "pivots"
+            return out
+
+        monkeypatch.setattr(ngram_join, "materialize", spy)
+        rows = variants(random.Random(8), n, linked)
+        assert found(spark, rows, 3, 0.9) == all_pairs(rows, 3, 90)
+    assert rounds[450] <= rounds[150] + 3
+    assert pairs[450] < 6 * pairs[150] + 450 and pairs[450] < 450 * 449 / 2 / 4
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(300, 301), (301, 302), (302, 300), (5, 5), (160, 90)]
     got = {(r.id, r.component) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
