@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from hitlink.llm.common import texts
+from hitlink.llm.common import texts, trim_memory
 from hitlink.session import materialize
 
 WINDOW, UNIT = 4096, 128
@@ -49,10 +49,10 @@ class WordIds(dict):
     never joins across it, so a text's ids are its words' ids in order; words come again and again, so each is tokenized
     once."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, most: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.tokenizer, self.most = Tokenizer.from_file(tokenizer), most
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
@@ -65,7 +65,7 @@ class WordIds(dict):
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a text, the end id last."""
-        if len(self) > WORDS_KEPT:
+        if len(self) > self.most:
             self.clear()
         # The tokenizer lower-cases; doing so first makes fewer different words. Not where a special token may stand, and not
         # in a word with a mark (U+0300 to U+036F): the tokenizer composes first, and some pairs have a small composed form only.
@@ -79,9 +79,9 @@ class WordIds(dict):
 
 
 @cache
-def word_ids(tokenizer: str) -> WordIds:
+def word_ids(tokenizer: str, most: int) -> WordIds:
     """One for each worker process: its later tasks find the words of its earlier ones."""
-    return WordIds(tokenizer)
+    return WordIds(tokenizer, most)
 
 
 def cut(n: int, window: int, unit: int) -> list[int]:
@@ -91,12 +91,13 @@ def cut(n: int, window: int, unit: int) -> list[int]:
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-           unit: int = UNIT, order: tuple[str, str] | None = None) -> DataFrame:
+           unit: int = UNIT, order: tuple[str, str] | None = None, words_kept: int = WORDS_KEPT) -> DataFrame:
     """A row per piece of every document; ``row_key`` is the same for the pieces of one row of the input only. ``part`` and
     ``place`` are the columns of ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        trim_memory()  # what earlier stages left in this worker
+        words = word_ids(tokenizer, words_kept)
         for batch in batches:
             rows: list[tuple] = []
             keys = zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)))
@@ -220,12 +221,12 @@ def first_fit(lengths: list[int], window: int) -> list[int]:
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, unit: int = UNIT,
-         depth: int | None = None, order: tuple[str, str] | None = None) -> DataFrame:
+         depth: int | None = None, order: tuple[str, str] | None = None, words_kept: int = WORDS_KEPT) -> DataFrame:
     """Pieces of all documents with their sequence and their place in it. ``order`` names two columns, a part (such as a
     file) and the place in it: pieces of a length are then used in that order, so windows keep documents together that
-    follow each other; without it in an order by hash."""
+    follow each other; without it in an order by hash. ``words_kept`` bounds a worker's table of words."""
     spark, units = df.sparkSession, window // unit
-    cuts = materialize(pieces(df, tokenizer, id_col, text_col, window, unit, order), "pieces")
+    cuts = materialize(pieces(df, tokenizer, id_col, text_col, window, unit, order, words_kept), "pieces")
     main = cuts.where(F.col("length") % unit == 0).withColumn("units", (F.col("length") / unit).cast("int"))
     counts = {r.units: r.n for r in main.groupBy("units").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
