@@ -182,3 +182,25 @@ def test_append_and_pending_are_idempotent_with_a_missing_key_part(spark, tmp_pa
 def test_keep_best_orders_large_integers_exactly(spark):
     df = spark.createDataFrame([("k", 2**53, "low"), ("k", 2**53 + 1, "high")], "k string, n long, v string")
     assert [r.v for r in U.keep_best(df, ["k"], [U.desc("n")]).collect()] == ["high"]
+
+
+def test_splits_and_folds_shuffle_whole_rows_at_most_once(spark):
+    """Bucket counts are sent to the rows: nothing but a ranking window may move these, in the split that of one bucket."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).selectExpr("cast(id as string) id", "cast(id % 3 as double) label", "repeat('x', 50) wide")
+        for out in (SM.stratified_split(df, "label", "id"), SM.fold_column(df, "label", "id"), SM.shuffle_positions(df, "id")):
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+            assert out.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_split_without_test_rows_and_with_test_rows_alone(spark):
+    df = spark.range(40).selectExpr("cast(id as string) id", "id % 2 label")
+    assert SM.stratified_split(df, "label", "id", 0.0).where("is_test").count() == 0
+    assert SM.stratified_split(df, "label", "id", 1.0).where("is_test").count() == 40
+    ranked = SM.shuffle_positions(df.where("label = 1"), "id").where("pos <= 7").select("id")
+    split = SM.stratified_split(df.where("label = 1"), "label", "id", 0.35).where("is_test").select("id")
+    assert sorted(ranked.collect()) == sorted(split.collect())
