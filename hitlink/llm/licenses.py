@@ -76,8 +76,13 @@ def license_scan(df: DataFrame, known: list[tuple[str, str]] | None = None, id_c
         names = F.broadcast(names)
     docs = documents(df, id_col, text_col).select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canonical"))
     whole = docs.groupBy("doc_id").agg(F.max(digest(one_line(F.col("canonical")))).alias("digest"))
-    blocks = F.split(F.col("canonical"), BLANK_LINES)
-    units = F.concat(F.filter(blocks, lambda b: F.instr(F.btrim(b, F.lit(" \n")), "\n") > 0), F.split(F.col("canonical"), "\n"))
+
+    def units_of(text: Column) -> Column:
+        blocks = F.filter(F.split(text, BLANK_LINES), lambda b: F.instr(F.btrim(b, F.lit(" \n")), "\n") > 0)
+        return F.concat(blocks, F.split(text, "\n"))
+
+    # A lambda's variable is computed once; the column itself would be, in full, for each place that names it.
+    units = F.flatten(F.transform(F.array("canonical"), units_of))
     found = (docs.select("doc_id", F.explode(units).alias("unit"))
              .select("doc_id", digest(one_line(F.col("unit"))).alias("digest")).join(names, "digest")
              .groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices")))

@@ -408,3 +408,10 @@ def test_odd_rows_and_no_rows(odd, nothing, operator):
     ids = sorted(r.doc_id or 0 for r in out.collect())
     assert ids in (sorted(r.doc_id or 0 for r in odd.collect()), sorted({r.doc_id or 0 for r in odd.collect()}))
     assert operator(nothing).collect() == []
+
+
+def test_license_units_bring_a_text_into_canonical_form_once(spark):
+    df = spark.createDataFrame([(1, "MIT License\n\nx")], "doc_id long, text string")
+    plan = licenses.license_scan(df)._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(generated) == 1 and generated[0].count("translate(") <= 1
