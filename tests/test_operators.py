@@ -204,3 +204,25 @@ def test_split_without_test_rows_and_with_test_rows_alone(spark):
     ranked = SM.shuffle_positions(df.where("label = 1"), "id").where("pos <= 7").select("id")
     split = SM.stratified_split(df.where("label = 1"), "label", "id", 0.35).where("is_test").select("id")
     assert sorted(ranked.collect()) == sorted(split.collect())
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_group_median_impute_deals_no_row_by_group(spark, monkeypatch, sent):
+    """A few groups hold most rows: their medians go to the rows, and with too many groups only rows to be filled are dealt."""
+    from hitlink.operators import impute
+
+    monkeypatch.setattr(impute, "BROADCAST_GROUPS", 100 if sent else 0)
+    rows = [(i, None if i % 9 == 8 else 2000 + i % 2, i % 7 != 0 if i % 11 else None, float(i) if i % 5 else None) for i in range(400)]
+    rows += [(900, 1990, True, None), (901, 1990, False, 5.0), (902, 1980, False, None)]  # no value in the group; no such group
+    df = spark.createDataFrame(rows, "id int, year int, ok boolean, f double")
+    out = impute.group_median_impute(df, "year", ["f"], "ok")
+    have = pd.DataFrame([r for r in rows if r[2]], columns=["id", "year", "ok", "f"])
+    want = {}
+    for i, year, ok, f in rows:
+        group = have[have.year == year]
+        fill = group.f.median() if len(group) else have.f.median()
+        value = f if ok is not False else None if np.isnan(fill) else float(fill)
+        want[i] = (year, value, True, None if ok is None else not ok)
+    assert {r.id: (r.year, r.f, r.ok, r.features_imputed) for r in out.collect()} == want
+    if sent:
+        assert "hashpartitioning(year" not in out._jdf.queryExecution().executedPlan().toString()
