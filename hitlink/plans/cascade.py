@@ -233,7 +233,7 @@ def negative_pool(catalog_raw: DataFrame, chart_clean: DataFrame) -> DataFrame:
 
 def sample_per_year(pool: DataFrame, n: int = 400, seed: int = 42) -> DataFrame:
     """Up to n negatives per target year, repeatable."""
-    return exact_sample(pool, n, key="spotify_id", seed=seed, by=["target_year"])
+    return exact_sample(pool, n, key="spotify_id", seed=seed, by=["target_year"], few_groups=True)
 
 
 def year_status(sampled: DataFrame, target: int = 400, minimum: int = 350) -> DataFrame:
