@@ -34,9 +34,9 @@ def src_s7_counts(spark, sf_dir):
     """Tables found per page, and chart rows extracted (the stored pages carry no
     ``<table>``: every page takes the zero-table branch)."""
     pages = FX.table(spark, sf_dir, "pages")
-    rows = materialize(HT.table_rows(pages), "table_rows")
-    n_tables = rows.groupBy("page_id").agg(F.countDistinct("table_no").alias("n_tables"))
-    chart = HT.chart_rows(pages, rows=rows).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_chart_rows"))
+    tables = materialize(HT.page_table_rows(pages), "page_tables")
+    n_tables = tables.groupBy("page_id").agg(F.countDistinct("table_no").alias("n_tables"))
+    chart = HT.chart_rows(pages, tables=tables).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_chart_rows"))
     return (pages.select("page_id").join(n_tables, "page_id", "left").join(chart, "page_id", "left")
                  .select("page_id", F.coalesce("n_tables", F.lit(0)).cast("long").alias("n_tables"),
                          F.coalesce("n_chart_rows", F.lit(0)).cast("long").alias("n_chart_rows")))
@@ -63,10 +63,10 @@ def src_s9_generated(spark, sf_dir):
           "coalesce(r.n_chart_rows, 0) AS n_chart_rows FROM s LEFT JOIN r ON s.page_id = r.page_id")
 def src_s7_generated(spark, sf_dir):
     """Tables and rows found on each generated page, and how many chart rows came of it."""
-    pages = materialize(FX.chart_pages(spark, sf_dir), "chart_pages")
-    rows = materialize(HT.table_rows(pages), "table_rows")
-    found = rows.groupBy("page_id").agg(F.countDistinct("table_no").alias("n_tables"), F.count(F.lit(1)).alias("n_rows"))
-    chart = HT.chart_rows(pages, rows=rows).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_chart_rows"))
+    pages = FX.chart_pages(spark, sf_dir)
+    tables = materialize(HT.page_table_rows(pages), "page_tables")
+    found = tables.groupBy("page_id").agg(F.countDistinct("table_no").alias("n_tables"), F.sum("n_rows").alias("n_rows"))
+    chart = HT.chart_rows(pages, tables=tables).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_chart_rows"))
     return found.join(chart, "page_id", "left").select("page_id", "n_tables", "n_rows", F.coalesce("n_chart_rows", F.lit(0)).alias("n_chart_rows"))
 
 

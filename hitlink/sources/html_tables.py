@@ -1,25 +1,33 @@
 """HTML table extraction (S7-S9) as a job over a stored ``pages`` table.
 
-Parsing runs in ``mapInPandas`` with the standard library's ``html.parser``:
-one page's HTML is one row, parsed inside a task, and every table row comes out
-as ``(page_id, table_no, is_wikitable, row_no, is_header, cells)``. Choosing
-the table and mapping its header are DataFrame steps (window over per-table row
-counts, ordered CASE over header text).
+Parsing runs in ``mapInArrow`` with the standard library's ``html.parser``:
+one page's HTML is one row, parsed inside a task, and every table comes out as
+one row ``(page_id, table_no, is_wikitable, n_data, n_rows, header, head_no, head, body)``.
+Choosing the table and mapping its header are DataFrame steps (window over
+per-table row counts, ordered CASE over header text) that read no table's body.
 """
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-ROW_SCHEMA = ("page_id long, table_no int, is_wikitable boolean, row_no int, is_header boolean, "
-              "cells array<string>")
+# Of a table: rows without and with its header rows, the text of all header cells, number and cells of the first header row,
+# and the other rows.
+TABLE_SCHEMA = ("page_id long, table_no int, is_wikitable boolean, n_data long, n_rows long, header string, head_no int, "
+                "head array<string>, body array<struct<row_no: int, cells: array<string>>>")
+_ARROW = pa.schema([("page_id", pa.int64()), ("table_no", pa.int32()), ("is_wikitable", pa.bool_()), ("n_data", pa.int64()), ("n_rows", pa.int64()),
+                    ("header", pa.string()), ("head_no", pa.int32()), ("head", pa.list_(pa.string())),
+                    ("body", pa.list_(pa.struct([("row_no", pa.int32()), ("cells", pa.list_(pa.string()))])))])
+PAGES = 200  # parsed before their tables go on
 
 # --- Fixed values ---------------------------------------------------------------
 # Header fragments in the reference's dictionary order; the first contained in a
@@ -97,6 +105,9 @@ class _Tables(HTMLParser):
         self._stack: list[_Table] = []
         self._n = 0
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for line numbers
+
     def _end_row(self, table: _Table) -> None:
         row = table.end_row()
         if row:
@@ -147,32 +158,82 @@ class _Tables(HTMLParser):
             self._end_row(self._stack.pop())
 
 
+# A plain tag: an end tag, or a start tag whose attributes have no value, or one without quotes' ends, references or slashes.
+_ATTR = r"""[ \t\n\r\f]+([a-zA-Z][-a-zA-Z0-9_]*)(?:=(?:"([^"&]*)"|'([^'&]*)'|([^ \t\n\r\f"'`=<>/&]+)))?"""
+_PLAIN_ATTR = re.compile(_ATTR)
+_PLAIN_TAG = re.compile(r"<(?:/([a-zA-Z][a-zA-Z0-9]*)|([a-zA-Z][a-zA-Z0-9]*)((?:" + re.sub(r"\((?!\?)", "(?:", _ATTR) + r")*))[ \t\n\r\f]*>")
+# Elements whose content is no markup.
+RAW_TEXT = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+
+
 def page_tables(html: str | None) -> list[tuple]:
-    parser = _Tables()
-    parser.feed(html or "")
+    """Plain tags go straight to the handlers; anything else (comments, declarations, raw text, broken tags) is read by the
+    standard parser, piece by piece, until it has nothing pending."""
+    parser, html, at = _Tables(), html or "", 0
+    while at < len(html):
+        start = html.find("<", at)
+        if start != at:
+            end = start if start >= 0 else len(html)
+            parser.handle_data(unescape(html[at:end]))
+            at = end
+            continue
+        tag = _PLAIN_TAG.match(html, at)
+        if tag and tag[1]:
+            parser.handle_endtag(tag[1].lower())
+            at = tag.end()
+        elif tag and tag[2].lower() not in RAW_TEXT:
+            attrs = [(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), None)) for m in _PLAIN_ATTR.finditer(tag[3])] if tag[3] else ()
+            parser.handle_starttag(tag[2].lower(), attrs)
+            at = tag.end()
+        else:
+            while at < len(html):
+                next_ = html.find("<", at + 1)
+                next_ = next_ if next_ >= 0 else len(html)
+                parser.feed(html[at:next_])
+                at = next_
+                if not parser.rawdata and parser.cdata_elem is None:
+                    break
     parser.close()
     return parser.rows
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = [(int(pid), *row) for pid, html in zip(pdf["page_id"], pdf["html"]) for row in page_tables(html)]
-        yield pd.DataFrame(out, columns=["page_id", "table_no", "is_wikitable", "row_no", "is_header", "cells"])
+def _page_rows(page_id: int, html: str | None) -> list[tuple]:
+    """The tables of a page that have a row, as rows of ``TABLE_SCHEMA``."""
+    tables: dict[int, list] = {}
+    for number, wiki, row_no, is_header, cells in page_tables(html):
+        table = tables.setdefault(number, [wiki, [], []])
+        table[2 - is_header].append((row_no, cells))
+    out = []
+    for number, (wiki, head, body) in tables.items():
+        text = " ".join(c for _, cells in head for c in cells) if head else None
+        first = head[0] if head else (None, None)
+        out.append((page_id, number, wiki, len(body), len(head) + len(body), text, *first, [{"row_no": k, "cells": c} for k, c in body]))
+    return out
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, PAGES):
+            batch = whole.slice(at, PAGES)
+            rows = [row for pid, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in _page_rows(int(pid), html)]
+            columns = list(zip(*rows)) if rows else [[]] * len(_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
-def table_rows(pages: DataFrame) -> DataFrame:
-    """S7, parsing step: every row of every table of every page."""
-    return pages.select("page_id", "html").mapInPandas(_parse, ROW_SCHEMA)
+def page_table_rows(pages: DataFrame) -> DataFrame:
+    """S7, parsing step: every table of every page, one row each (``TABLE_SCHEMA``)."""
+    return pages.select("page_id", "html").mapInArrow(_parse, TABLE_SCHEMA)
 
 
-def choose_tables(rows: DataFrame) -> DataFrame:
+def choose_tables(tables: DataFrame) -> DataFrame:
     """S7, choice: per page, the first table with >= 50 data rows whose header
     mentions a chart keyword; else the largest table; if that has < 50 rows, the
-    largest wikitable (no minimum). Returns (page_id, table_no)."""
-    header = rows.filter("is_header").groupBy("page_id", "table_no").agg(
-        F.lower(F.concat_ws(" ", F.flatten(F.collect_list("cells")))).alias("header_text"))
-    stats = rows.groupBy("page_id", "table_no", "is_wikitable").agg(
-        F.sum(F.when(~F.col("is_header"), 1).otherwise(0)).alias("n_rows")).join(header, ["page_id", "table_no"], "left")
+    largest wikitable (no minimum). Returns (page_id, table_no, hdr), ``hdr`` being its first header row."""
+    stats = tables.groupBy("page_id", "table_no", "is_wikitable").agg(
+        F.sum("n_data").alias("n_rows"), F.min(F.when(F.col("head_no").isNotNull(), F.struct("head_no", "head"))).alias("_head"), F.collect_list("header").alias("_text"))
+    of_table = Window.partitionBy("page_id", "table_no")
+    stats = (stats.withColumn("hdr", F.min("_head").over(of_table)["head"])
+             .withColumn("header_text", F.lower(F.concat_ws(" ", F.flatten(F.collect_list("_text").over(of_table))))))
     kw = F.lit(False)
     for k in CHART_KEYWORDS:
         kw = kw | F.coalesce(F.col("header_text").contains(k), F.lit(False))
@@ -185,7 +246,7 @@ def choose_tables(rows: DataFrame) -> DataFrame:
     pick = (F.when(F.col("_first").isNotNull(), F.col("_first"))
              .when(F.col("_lg.n_rows") >= MIN_ROWS, -F.col("_lg.neg"))
              .otherwise(-F.col("_wk.neg")))
-    return s.withColumn("_pick", pick).filter(F.col("table_no") == F.col("_pick")).select("page_id", "table_no")
+    return s.withColumn("_pick", pick).filter(F.col("table_no") == F.col("_pick")).select("page_id", "table_no", "hdr")
 
 
 def map_header(name, whole_word_first: bool = True):
@@ -208,25 +269,23 @@ def _re_escape(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
 
 
-def chart_rows(pages: DataFrame, year_col: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+def chart_rows(pages: DataFrame, year_col: str | None = None, tables: DataFrame | None = None) -> DataFrame:
     """The chosen table of each page as (page_id, row_no, rank, title, artist), and ``year`` where ``year_col``
     names the pages' year; pages without rank, title and artist columns are skipped; ranks coerced and non-numeric ranks
-    dropped. Pages are parsed once; ``rows`` are those of ``table_rows`` if they have been written already."""
-    rows = materialize(table_rows(pages), "table_rows") if rows is None else rows
-    chosen = rows.join(choose_tables(rows), ["page_id", "table_no"])
-    head = chosen.filter("is_header").groupBy("page_id", "table_no").agg(F.min_by("cells", "row_no").alias("hdr"))
-    body = chosen.filter(~F.col("is_header")).join(head, ["page_id", "table_no"])
+    dropped. Pages are parsed once; ``tables`` are those of ``page_table_rows`` if they have been written already."""
+    tables = materialize(page_table_rows(pages), "page_tables") if tables is None else tables
+    chosen = choose_tables(tables).where(F.col("hdr").isNotNull())
+    body = tables.select("page_id", "table_no", "body").join(chosen, ["page_id", "table_no"])
     cols = F.transform("hdr", lambda x: map_header(x))
     b = body.withColumn("canon", cols)
+    b = b.where(F.forall(F.array(*[F.lit(c) for c in ("rank", "title", "artist")]), lambda c: F.array_contains("canon", c)))
+    b = b.select("page_id", "canon", F.inline("body"))
 
     def pick(name):
         idx = F.array_position(F.col("canon"), name)
         return F.when(idx > 0, F.element_at("cells", idx.cast("int")))
 
-    out = b.select("page_id", "row_no", pick("rank").alias("rank_raw"), pick("title").alias("title"),
-                   pick("artist").alias("artist"), F.array_position("canon", "rank").alias("_r"),
-                   F.array_position("canon", "title").alias("_t"), F.array_position("canon", "artist").alias("_a"))
-    out = out.filter((F.col("_r") > 0) & (F.col("_t") > 0) & (F.col("_a") > 0))
+    out = b.select("page_id", "row_no", pick("rank").alias("rank_raw"), pick("title").alias("title"), pick("artist").alias("artist"))
     out = out.withColumn("rank", F.col("rank_raw").try_cast("double").try_cast("int")).filter(F.col("rank").isNotNull())
     out = out.select("page_id", "row_no", "rank", "title", "artist")
     if year_col is None:

@@ -97,3 +97,34 @@ def test_chart_rows_with_a_year(spark):
     pages = spark.createDataFrame([(7, page, 1999)], "page_id long, html string, y int")
     out = HT.chart_rows(pages, "y").collect()
     assert len(out) == 60 and {r.year for r in out} == {1999} and ("Song 3", "Artist 3") in {(r.title, r.artist) for r in out}
+
+
+def test_tables_are_chosen_without_their_bodies(spark):
+    """A page's table is one row, and the choice reads counts and headers alone, each header mapped once a table."""
+    page = "<table><tr><th>Week</th></tr><tr><td>1</td></tr></table>" + _table(60, ["No.", "Title", "Artist(s)"]) + "<table></table>"
+    page += "<table class='wikitable'><tr><td>x<table><tr><td>in</table></td></tr></table>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, _table(3, ["Pos", "Song", "Act"]))], "page_id long, html string")
+    tables = HT.materialize(HT.page_table_rows(pages), "page_tables")
+    got = {(r.page_id, r.table_no): (r.n_data, r.n_rows, r.header, r.head) for r in tables.collect()}
+    assert got == {(1, 0): (1, 2, "Week", ["Week"]), (1, 1): (60, 61, "No. Title Artist(s)", ["No.", "Title", "Artist(s)"]), (1, 3): (1, 1, None, None),
+                   (1, 4): (1, 1, None, None), (3, 0): (3, 4, "Pos Song Act", ["Pos", "Song", "Act"])}
+    choice = HT.choose_tables(tables)
+    assert {(r.page_id, r.table_no) for r in choice.collect()} == {(1, 1), (3, 0)}
+    assert "body" not in choice._jdf.queryExecution().executedPlan().toString()
+    rows = HT.chart_rows(pages, tables=tables).collect()
+    assert len(rows) == 63 and {(r.page_id, r.row_no, r.rank) for r in rows} == {(1, k, k) for k in range(1, 61)} | {(3, k, k) for k in range(1, 4)}
+
+
+def test_plain_tags_are_read_as_the_standard_parser_reads_them():
+    import random
+    rng = random.Random(5)
+    pieces = ["<table>", "<TABLE class='wikitable x'>", "</table>", "<tr>", "</tr >", "<td>", "<th>", "</td>", "</th\n>", "<td colspan=2>", '<td rowspan="3" id=x>',
+              "<td colspan='2' COLSPAN=1>", "<td colspan=2/>", "<td/>", "<br>", "<br/>", "<br />", "<b>", "</b>", "a &amp; b", "&lt", "&#65;", "&", " x ", "<", ">", "< td>", "</ td>", "<td", "<!-- <td>no -->",
+              "<!doctype html>", "<!>", "<!--->", "<?php <td> ?>", "<script>if (a<b) '<td>'</script>", "<style>", "</style>", "<title>a<td></title>", "<textarea><tr>", "</textarea>", "<td title='a>b'>",
+              "<td title=\"&quot;\" rowspan=2>", "<td rowspan = 2>", "</td x=1>", "<a href=/x?a=1&b=2>", "<td class>", "<thead>", "</tbody>", "<td\tcolspan=3\n>", "<td a='1'b='2'>", "é\xa0ﬁ", "<é>", "<td-x>", "<p/ >"]
+    for _ in range(6000):
+        html = "<table><tr><td>" * rng.randrange(2) + "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        whole = HT._Tables()
+        whole.feed(html)
+        whole.close()
+        assert HT.page_tables(html) == whole.rows, html
