@@ -33,9 +33,11 @@ def strip(c) -> Column:
 
 
 def strip_quotes_v1(c) -> Column:
-    """Outer quotes, first version (asymmetric sets), then strip."""
-    pat = f"^{P.quote_class(P.QUOTES_LEAD_V1)}+|{P.quote_class(P.QUOTES_TRAIL_V1)}+{P.END}"
-    return strip(_sub(_c(c), pat))
+    """Outer quotes, first version (asymmetric sets), then strip. Trimming character sets is ~4x cheaper than a
+    regex; one final newline may follow the quotes, and the strip would drop it anyway."""
+    t = F.ltrim(_c(c), F.lit(P.QUOTES_LEAD_V1))
+    t = F.when(F.endswith(t, F.lit("\n")), F.left(t, F.length(t) - 1)).otherwise(t)
+    return strip(F.rtrim(t, F.lit(P.QUOTES_TRAIL_V1)))
 
 
 def strip_quotes_v2(c) -> Column:
@@ -50,8 +52,7 @@ def remove_footnotes(c) -> Column:
 
 def punctuation_noise(c) -> Column:
     """T4: footnotes out, pipes out, a run of one punctuation character -> one, strip."""
-    t = remove_footnotes(c)
-    t = _sub(t, P.PIPE)
+    t = _sub(_c(c), f"{P.FOOTNOTE}|{P.PIPE}")  # no footnote holds a pipe: one pass finds both
     t = _sub(t, f"({P.NOT_WORD_NOT_SPACE})\\1+", "$1")
     return strip(t)
 

@@ -97,3 +97,19 @@ def test_featuring_clause_literal_values(spark, text, title_key, lead):
     row = spark.createDataFrame([(text,)], "t string").select(
         TX.norm("t", role="title").alias("key"), F.lower(TX.lead_artist("t")).alias("lead"), TX.lead_artist_v2("t").alias("lead2")).first()
     assert (row.key, row.lead, row.lead2) == (title_key, lead, lead)
+
+
+def test_quotes_and_noise_without_regex_passes(spark):
+    """T2 trims character sets and T4 drops footnotes and pipes in one pass: same texts as by the patterns one after another."""
+    import random
+
+    from hitlink.functions import patterns as P
+    rng, parts = random.Random(1), ['"', "\u201c", "\u2018", "\u201d", "\u2019", "\n", " ", "a", "|", "[1]", "[", "x]", "!", "!!", "\xa0"]
+    df = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randrange(9))),) for _ in range(3000)] + [(None,)], "t string")
+    quotes = TX.strip(F.regexp_replace("t", f"^{P.quote_class(P.QUOTES_LEAD_V1)}+|{P.quote_class(P.QUOTES_TRAIL_V1)}+{P.END}", ""))
+    noise = F.regexp_replace(F.regexp_replace("t", P.FOOTNOTE, ""), P.PIPE, "")
+    noise = TX.strip(F.regexp_replace(noise, f"({P.NOT_WORD_NOT_SPACE})\\1+", "$1"))
+    out = df.select("t", quotes.alias("a"), TX.strip_quotes_v1("t").alias("b"), noise.alias("c"), TX.punctuation_noise("t").alias("d"))
+    assert out.where("NOT (a <=> b AND c <=> d)").count() == 0
+    plan = out.select("b", "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2
