@@ -12,6 +12,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from hitlink import session
+from hitlink.session import materialize
 from hitlink.llm import ann, langid, licenses, line_dedup, mixing, packing, pii, quality, suffix_dedup
 
 from .conftest import prose
@@ -415,3 +417,19 @@ def test_license_units_bring_a_text_into_canonical_form_once(spark):
     plan = licenses.license_scan(df)._jdf.queryExecution().optimizedPlan().toString()
     generated = [line for line in plan.splitlines() if "Generate explode" in line]
     assert len(generated) == 1 and generated[0].count("translate(") <= 1
+
+
+def test_suffix_dedup_keeps_no_table_of_all_anchors(spark, monkeypatch):
+    """The tables that grow with the texts are gone before the sorting: they were most of the disk taken."""
+    written = []
+
+    def spy(df, name):
+        out = materialize(df, name)
+        written.append((name, session._CREATED[-1]))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", spy)
+    rows = [(k, f"{k} " + "the same words once more " * 4 + f"and {k * k} others") for k in range(20)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=60, gram=20).collect()
+    assert all(r["removed"] for r in out) and {"anchors", "contexts", "spans"} <= {name for name, _ in written}
+    assert not [name for name, path in written if name in ("anchors", "contexts") and path in session._CREATED]
