@@ -20,13 +20,16 @@ whose number of shared signatures is too small for their sizes are dropped (pref
 is of whole sets.
 
 Larger buckets form no pairs. One set of a bucket, the pivot, is compared with the others, and these are joined again by
-what tells them from the pivot: the tokens that one of x and the pivot has and the other lacks, d(x). With s = (1 - t) / (1 + t),
-x and y link when |d(x) ^ d(y)| <= s (|x| + |y|) (^: symmetric difference), as d(x) ^ d(y) = x ^ y. Let e(x) = |d(x)| - s |x|. If
-e(x) + e(y) <= 0 they link for certain, and one link to the set of least e in the group connects all such sets. Otherwise they must
+what tells them from the pivot: the tokens that one of x and the pivot has and the other lacks. Those that more than half of the
+group has change sides (a set that has one loses it, the others gain it), as if the pivot were the group's median; d(x) is what is left.
+With s = (1 - t) / (1 + t), x and y link when |d(x) ^ d(y)| <= s (|x| + |y|) (^: symmetric difference), as d(x) ^ d(y) = x ^ y whatever
+set the pivot is. Let e(x) = |d(x)| - s |x|. If e(x) + e(y) <= 0 they link for certain, and one link to the set of least e in the group
+connects all such sets; they count as one label from there on. Otherwise they must
 share at least (e(x) + e(y)) / 2 tokens of d, so prefixes in d, rare tokens first, find them; frequent tokens are again indexed
 in combinations, and a group that few tokens tell from its pivot is done at once. Sets that links already connect have one label;
 groups and buckets of one label are left out, and so are sets with too few tokens in common with other labels. In buckets of at most
-``SMALL_REST`` sets pairs are formed; those that are still larger have pivots of their own, all in the same round, so the rounds follow the depth of this and not the size of a group.
+``SMALL_REST`` sets pairs are formed; those that are still larger have pivots of their own, all in the same round. No token of d is in
+more than half of its group, so no bucket is.
 
 At scale: copies (equal sets) are one set throughout. All grouping is by hashes with partial counts; lists of frequent
 tokens, repeated signatures and wanted ids are broadcast up to a stated number of entries and joined beyond it.
@@ -47,12 +50,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hitlink.llm.common import documents, lists, mix, signed, texts, word_hashes
 from hitlink.llm.components import components
 from hitlink.session import materialize
 
-SLICE = 1.5                     # share of the token space whose frequencies are counted, in units of 1 - threshold
+SLICE = 2.25                    # share of the token space whose frequencies are counted, in units of 1 - threshold
 RARE, COMMON = 16, 256          # greatest frequencies of tokens indexed singly and in pairs
 SMALL, SMALL_REST = 16, 256     # sets in a bucket whose pairs are formed: of the index, under a pivot
 BROADCAST_ENTRIES = 500_000     # of 8 to 16 bytes
@@ -285,27 +289,39 @@ def rest_signatures(tokens: np.ndarray, times: np.ndarray, least: int, groups: i
 def _rest_buckets(stars: DataFrame, label: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Buckets (sig, id, n, label, bucket) of the sets under their pivots, of more than one label each, and links (a, b) that are certain."""
     share = (1 - threshold) / (1 + threshold)
-    size = F.col("na") + F.col("nb") - 2 * F.col("shared")
-    items = stars.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("nb").alias("n"), (size - share * F.col("nb")).alias("e"), "rest")
+    items = stars.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("nb").alias("n"), "rest")
     items = items.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = items.groupBy("p").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    items = materialize(items.join(several.select("p", "k"), "p"), "star_items")
+    # What tells more than half of the sets from the pivot changes sides, as if the pivot were the group's median.
+    most = items.select("p", "k", F.explode("rest").alias("token")).groupBy("p", "token").agg(F.count("*").alias("times"), F.first("k").alias("k"))
+    most = materialize(most.where("2 * times > k").select("p", "token"), "medians")
+    turned = most.groupBy("p").agg(F.collect_list("token").alias("turned"))
+    items = items.join(_small(turned, most.count()), "p", "left")
+    rest = F.concat(F.array_except("rest", "turned"), F.array_except("turned", "rest"))
+    items = items.withColumn("rest", F.when(F.col("turned").isNull(), F.col("rest")).otherwise(rest))
+    items = materialize(items.select("p", "id", "n", (F.size("rest") - share * F.col("n")).alias("e"), "label", "rest"), "median_items")
+    # Certain links: with the set of least e, wherever the sum is not above 0. The labels that they connect are one under this pivot.
+    least = items.groupBy("p").agg(F.min(F.struct("e", "id", "label")).alias("m")).select("p", F.col("m.e").alias("me"), F.col("m.id").alias("mid"), F.col("m.label").alias("one"))
+    near = materialize(items.select("p", "id", "e", "label").join(least, "p").where((F.col("id") != F.col("mid")) & (F.col("e") + F.col("me") <= 1e-9))
+                       .select("p", "id", "mid", "label", "one"), "certain")
+    certain = near.select(F.col("mid").alias("a"), F.col("id").alias("b"))
+    items = items.join(near.select("p", "label", "one").distinct(), ["p", "label"], "left").withColumn("label", F.coalesce("one", "label"))
     groups = materialize(_least_of_others(items, "p", "e"), "groups")
     items = items.join(groups, "p").withColumn("partner", F.when(F.col("label") == F.col("low_label"), F.col("other")).otherwise(F.col("low")))
     items = materialize(items.select("p", "id", "n", "e", "partner", "label", "rest"), "items")
-    # Certain links: with the set of least e, wherever the sum is not above 0.
-    least = items.groupBy("p").agg(F.min(F.struct("e", "id")).alias("m")).select("p", F.col("m.e").alias("me"), F.col("m.id").alias("mid"))
-    certain = items.join(least, "p").where((F.col("id") != F.col("mid")) & (F.col("e") + F.col("me") <= 1e-9)).select(F.col("mid").alias("a"), F.col("id").alias("b"))
     # A linked pair that is not certain shares this many tokens at least.
     alpha = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("partner")) / 2 - 1e-9)).cast("int")
     rest = items.select("p", "id", "n", "label", alpha.alias("least"), F.explode("rest").alias("token"))
     for _ in range(2):
         shared = rest.groupBy("p", "token").agg(F.count("*").alias("times"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         rest = rest.drop("times").join(shared.select("p", "token", "times"), ["p", "token"])
-        enough = rest.groupBy("p", "id").agg(F.count("*").alias("tokens"), F.first("least").alias("least")).where(F.col("tokens") >= F.col("least"))
-        rest = materialize(rest.join(enough.select("p", "id"), ["p", "id"], "left_semi"), "rest")
+        left = F.count("*").over(Window.partitionBy("p", "id"))  # a set's own tokens
+        rest = materialize(rest.withColumn("left", left).where("left >= least").drop("left"), "rest")
     own = rest.groupBy("p", "id", "n", "label", "least").agg(F.collect_list(F.struct("token", "times")).alias("of"))  # a set's own tokens
     own = materialize(own, "rest_sets")
-    # One number of groups for all sets under a pivot: a third of the tokens that a prefix needs on average.
-    groups = own.groupBy("p").agg(F.greatest(F.lit(1), F.floor(F.avg(F.size("of") - F.col("least") + 1) / 3)).cast("int").alias("groups"))
+    # One number of groups for all sets under a pivot: half of the tokens that a prefix needs on average.
+    groups = own.groupBy("p").agg(F.greatest(F.lit(1), F.floor(F.avg(F.size("of") - F.col("least") + 1) / 2)).cast("int").alias("groups"))
     own = own.join(groups, "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

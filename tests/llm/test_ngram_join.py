@@ -175,6 +175,27 @@ def test_many_variants_of_one_text(spark, monkeypatch, linked):
     assert pairs[450] < 6 * pairs[150] + 450 and pairs[450] < 450 * 449 / 2 / 4
 
 
+def test_sets_under_an_odd_pivot_are_told_apart_by_their_own_tokens(spark):
+    """All sets lack the pivot's own tokens; these leave the differences, and sets near the group's median link for certain."""
+    base, own = list(range(100, 200)), list(range(300, 315))
+    rest = [[*own, 1000 + k] for k in range(20)] + [[*own, *range(2000 + 40 * k, 2030 + 40 * k)] for k in range(4)]
+    stars = [(1, 10 + k, 115, len(base) + len(r) - 15, 100, r) for k, r in enumerate(rest)]
+    stars = spark.createDataFrame(stars, "a long, b long, na long, nb long, shared long, rest array<long>")
+    made, real = {}, ngram_join.materialize
+
+    def spy(df, name):
+        made[name] = real(df, name)
+        return made[name]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "materialize", spy)
+        buckets, certain = ngram_join._rest_buckets(stars, spark.createDataFrame([], "id long, label long"), 0.9)
+        assert {(r.a, r.b) for r in certain.collect()} == {(10, k) for k in range(11, 30)}
+        assert {tuple(r.rest) for r in made["items"].where("id < 30").select("rest").collect()} == {(1000 + k,) for k in range(20)}
+        assert {r.label for r in made["items"].where("id < 30").select("label").collect()} == {10}
+        assert buckets.count() == 0
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(300, 301), (301, 302), (302, 300), (5, 5), (160, 90)]
     got = {(r.id, r.component) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
